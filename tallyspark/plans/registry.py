@@ -32,6 +32,11 @@ def r6(c) -> Column:
     return F.round((F.col(c) if isinstance(c, str) else c).cast("double"), 6)
 
 
+def money_sum(c) -> Column:
+    """Exact sum of a 2-decimal money column (decimal accumulation, double result)."""
+    return F.sum((F.col(c) if isinstance(c, str) else c).cast("decimal(18,2)")).cast("double")
+
+
 def load_all() -> None:
     from . import (q_aggregates, q_derived, q_graph, q_joins, q_models, q_projections,  # noqa: F401
                    q_scalar, q_windows)
