@@ -106,7 +106,8 @@ def constant_spells(df: DataFrame, by: list[str], time: str, col: str, data_end:
     """WN13: runs of a constant value: start, value, end = next run's start or the data end."""
     w = Window.partitionBy(*by).orderBy(time)
     ch = F.coalesce(F.col(col) != F.lag(col).over(w), F.lit(True))
-    starts = df.where(ch).select(*by, F.col(time).alias("spell_start"), F.col(col).alias("spell_value"))
+    starts = (df.withColumn("__ch", ch).where(F.col("__ch"))
+              .select(*by, F.col(time).alias("spell_start"), F.col(col).alias("spell_value")))
     ws = Window.partitionBy(*by).orderBy("spell_start")
     return starts.withColumn("spell_end", F.coalesce(F.lead("spell_start").over(ws), data_end))
 

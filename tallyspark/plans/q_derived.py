@@ -1 +1,418 @@
-"""Queries (filled in below)."""
+"""Derived-table queries (DT1-DT24) and source/sink queries (SRC3-SRC10).
+
+The raw forum tables are built from the test tables by ``views.forum_*``;
+the derived tables are the library's own ``forum.*`` functions.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions import timefn as tf
+from ..session import cut_lineage, ensure_checkpoint_dir
+from ..sources import io
+from ..sources.tables import Tables
+from . import forum
+from .registry import r6, register
+from .views import (FORUM_CFG, ITEM_SQL, STATS_SQL, SUB_SQL, SUBACT_SQL, TRANSFER_SQL, UPLOAD_SQL,
+                    acts, forum_item, forum_itemupload, forum_price_raw, forum_sub, forum_subact, forum_transfer,
+                    forum_user_stats, ACTS_SQL)
+
+CFG = FORUM_CFG
+
+
+def scratch(spark, name: str) -> str:
+    """A fresh folder under the shared checkpoint folder (never a machine-local one)."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tally-scratch/{name}-{uuid.uuid4().hex[:12]}"
+
+
+class Forum:
+    """The derived tables of one test-table directory.
+
+    Tables reused by several others (items, posts, transfers, fee history)
+    are checkpointed once into the shared checkpoint folder, as the study
+    caches them as parquet, so a DAG never recomputes them.
+    """
+
+    def __init__(self, spark, d):
+        self.t = Tables(spark, d)
+        self.spark = spark
+        self._memo = {}
+
+    def _once(self, name, build):
+        if name not in self._memo:
+            self._memo[name] = cut_lineage(build())
+        return self._memo[name]
+
+    def item(self):
+        return forum_item(self.t)
+
+    def terr(self):
+        return forum.territories(forum_sub(self.t), self.item())
+
+    def transfers(self):
+        return self._once("transfers", lambda: forum.territory_transfers(self.terr(), forum_transfer(self.t)))
+
+    def zaps(self):
+        return forum.zaps(acts(self.t), CFG)
+
+    def downzaps(self):
+        return forum.downzaps(acts(self.t), CFG)
+
+    def items(self):
+        return self._once("items", lambda: forum.items(self.item(), forum_itemupload(self.t), self.zaps(), self.downzaps(), CFG))
+
+    def posts(self):
+        return self._once("posts", lambda: forum.posts(self.items(), CFG))
+
+    def fees(self):
+        return self._once("fees", lambda: forum.fee_history(self.posts(), self.transfers(), CFG))
+
+    def cycles(self):
+        return forum.billing_cycles(forum_subact(self.t), CFG)
+
+    def stats(self):
+        return forum.user_stats_days(forum_user_stats(self.t))
+
+    def weekly_prices(self):
+        return forum.price_weekly(forum.price_daily(forum_price_raw(self.t)))
+
+
+TERR_SQL = f"""{SUB_SQL}, {ITEM_SQL},
+terr AS (SELECT lower(s.name) AS subName, s.userId AS currentOwner, least(s.created_at, f.first) AS created_at
+         FROM sub s LEFT JOIN (SELECT lower(COALESCE(subName, '')) AS subName, min(created_at) AS first
+                               FROM item GROUP BY 1) f ON lower(s.name) = f.subName)"""
+
+
+@register("dt1_territories", f"WITH {TERR_SQL} SELECT subName, created_at, currentOwner FROM terr")
+def dt1_territories(spark, d):
+    return Forum(spark, d).terr().select("subName", "created_at", "currentOwner")
+
+
+TRANSFERS_SQL = f"""{TERR_SQL}, {TRANSFER_SQL},
+tt AS (SELECT lower(subName) AS subName, created_at, oldUserId, newUserId FROM territorytransfer),
+fo AS (SELECT subName, arg_min(oldUserId, (created_at, oldUserId)) AS first_old FROM tt GROUP BY 1),
+transfers AS (
+  SELECT terr.created_at AS timeStamp, terr.subName, CAST(0 AS BIGINT) AS userIdFrom,
+         CAST(COALESCE(fo.first_old, terr.currentOwner) AS BIGINT) AS userIdTo
+  FROM terr LEFT JOIN fo USING (subName)
+  UNION ALL SELECT created_at, subName, CAST(oldUserId AS BIGINT), CAST(newUserId AS BIGINT) FROM tt)"""
+
+
+@register("dt2_territory_transfers", f"WITH {TRANSFERS_SQL} SELECT * FROM transfers")
+def dt2_transfers(spark, d):
+    return Forum(spark, d).transfers().select("timeStamp", "subName", "userIdFrom", "userIdTo")
+
+
+@register("dt3_billing_cycles", f"""
+WITH {SUBACT_SQL},
+b AS (SELECT lower(subName) AS subName, userId, msats / 1000 AS sats, created_at AS billing_cycle_start
+      FROM subact WHERE type = 'BILLING'),
+p AS (SELECT *, CASE WHEN billing_cycle_start < TIMESTAMP '{CFG.sub_cost_drop_date}' THEN
+        (CASE WHEN sats <= {CFG.sub_cost_monthly_pre} THEN 'MONTHLY' WHEN sats <= {CFG.sub_cost_yearly_pre}
+              THEN 'YEARLY' ELSE 'PERPETUAL' END)
+      WHEN billing_cycle_start > TIMESTAMP '{CFG.sub_cost_drop_date}' THEN
+        (CASE WHEN sats <= {CFG.sub_cost_monthly_post} THEN 'MONTHLY' WHEN sats <= {CFG.sub_cost_yearly_post}
+              THEN 'YEARLY' ELSE 'PERPETUAL' END) END AS period FROM b)
+SELECT subName, userId, billing_cycle_start, ROUND(sats, 6) AS sats, period,
+  CASE WHEN subName IN ('nation_3') THEN billing_cycle_start + INTERVAL 100 YEAR
+       WHEN period = 'MONTHLY' THEN billing_cycle_start + INTERVAL 1 MONTH + INTERVAL 5 DAY
+       WHEN period = 'YEARLY' THEN billing_cycle_start + INTERVAL 1 YEAR + INTERVAL 5 DAY
+       WHEN period = 'PERPETUAL' THEN billing_cycle_start + INTERVAL 100 YEAR END AS billing_cycle_end
+FROM p
+""")
+def dt3_billing(spark, d):
+    c = Forum(spark, d).cycles()
+    return c.select("subName", "userId", "billing_cycle_start", r6("sats").alias("sats"), "period",
+                    "billing_cycle_end")
+
+
+POSTS_SQL = f"""{ITEM_SQL}, {UPLOAD_SQL}, {ACTS_SQL},
+it AS (SELECT * REPLACE (lower(subName) AS subName), COALESCE(title = '{CFG.saloon_title}', false) AS saloon FROM item),
+up AS (SELECT itemId, COUNT(uploadId) AS n_uploads FROM itemupload GROUP BY 1),
+za AS (SELECT itemId, userId, created_at AS zap_time,
+              COALESCE(SUM(msats / 1000) FILTER (WHERE act = 'TIP'), 0) + COALESCE(SUM(msats / 1000) FILTER (WHERE act = 'FEE'), 0) AS sats
+       FROM acts WHERE invoiceActionState IS DISTINCT FROM 'FAILED' GROUP BY 1, 2, 3
+       HAVING COUNT(*) FILTER (WHERE act = 'TIP') > 0),
+z48 AS (SELECT za.itemId, SUM(za.sats) AS sats48, COUNT(DISTINCT za.userId) AS zappers48
+        FROM za JOIN it ON za.itemId = it.itemId
+        WHERE epoch_us(za.zap_time) - epoch_us(it.created_at) <= 172800000000 GROUP BY 1),
+items AS (SELECT it.*, COALESCE(up.n_uploads, 0) AS n_uploads,
+                 regexp_matches(COALESCE(it.text, ''), '(https?://\\S+)|!\\[.*?\\]\\(.*?\\)|\\[.*?\\]\\(.*?\\)') AS hasImageOrLink,
+                 COALESCE(z48.sats48, 0) AS sats48, COALESCE(z48.zappers48, 0) AS zappers48
+          FROM it LEFT JOIN up USING (itemId) LEFT JOIN z48 USING (itemId)),
+live AS (SELECT * FROM items WHERE parentId IS NULL AND NOT bio),
+lg AS (SELECT *, lag(created_at) OVER (PARTITION BY userId ORDER BY created_at, itemId) AS prev FROM live),
+ss AS (SELECT *, SUM(CASE WHEN prev IS NULL OR epoch_us(created_at) - epoch_us(prev) > {CFG.burst_gap_minutes * 60 * 1000000}
+                 THEN 1 ELSE 0 END) OVER (PARTITION BY userId ORDER BY created_at, itemId ROWS UNBOUNDED PRECEDING) AS sess
+       FROM lg),
+cm AS (SELECT itemId, row_number() OVER (PARTITION BY userId, sess ORDER BY created_at, itemId) - 1 AS cm FROM ss),
+c48 AS (SELECT c.rootId AS itemId, COUNT(*) AS comments48 FROM items c JOIN items p ON c.rootId = p.itemId
+        WHERE c.parentId IS NOT NULL AND p.parentId IS NULL AND c.invoiceActionState IS DISTINCT FROM 'FAILED'
+          AND epoch_us(c.created_at) - epoch_us(p.created_at) <= 172800000000 GROUP BY 1),
+posts AS (SELECT p.*, CAST(CASE WHEN p.bio THEN 0 WHEN p.userId = {CFG.anon_id} THEN 1 ELSE cm.cm END AS INTEGER)
+                   AS cost_modifier, COALESCE(c48.comments48, 0) AS comments48
+          FROM items p LEFT JOIN cm USING (itemId) LEFT JOIN c48 USING (itemId) WHERE p.parentId IS NULL)"""
+
+
+@register("dt4_dt5_posts", f"""
+WITH {POSTS_SQL}
+SELECT itemId, cost_modifier, comments48, ROUND(sats48, 6) AS sats48, zappers48, n_uploads, hasImageOrLink, saloon
+FROM posts
+""")
+def dt4_dt5_posts(spark, d):
+    p = Forum(spark, d).posts()
+    return p.select("itemId", F.col("cost_modifier").cast("int").alias("cost_modifier"), "comments48",
+                    r6("sats48").alias("sats48"), "zappers48", "n_uploads", "hasImageOrLink", "saloon")
+
+
+@register("dt4_items_downzaps", f"""
+WITH {ITEM_SQL}, {ACTS_SQL},
+dz AS (SELECT itemId, userId, created_at AS t, SUM(msats / 1000) AS s FROM acts
+       WHERE invoiceActionState IS DISTINCT FROM 'FAILED' AND act = 'DONT_LIKE_THIS' GROUP BY 1, 2, 3),
+d48 AS (SELECT dz.itemId, SUM(dz.s) AS downsats48, COUNT(DISTINCT dz.userId) AS downzappers48
+        FROM dz JOIN item i ON dz.itemId = i.itemId
+        WHERE epoch_us(dz.t) - epoch_us(i.created_at) <= 172800000000 GROUP BY 1),
+roots AS (SELECT itemId AS rootId, lower(subName) AS root_subName FROM item WHERE parentId IS NULL)
+SELECT i.itemId, r.root_subName, ROUND(COALESCE(d48.downsats48, 0), 6) AS downsats48,
+       COALESCE(d48.downzappers48, 0) AS downzappers48
+FROM item i LEFT JOIN d48 USING (itemId) LEFT JOIN roots r ON i.rootId = r.rootId
+""")
+def dt4_items_downzaps(spark, d):
+    it = Forum(spark, d).items()
+    return it.select("itemId", "root_subName", r6("downsats48").alias("downsats48"), "downzappers48")
+
+
+@register("dt6_comments", f"""
+WITH {ITEM_SQL} SELECT itemId, rootId FROM item WHERE parentId IS NOT NULL
+""")
+def dt6_comments(spark, d):
+    return forum.comments(Forum(spark, d).item()).select("itemId", "rootId")
+
+
+FEES_SQL = f"""{POSTS_SQL}, {TRANSFERS_SQL.replace(ITEM_SQL + ',', '')},
+ps AS (SELECT *, date_trunc('second', created_at) AS ts_s FROM posts),
+tr AS (SELECT subName, date_trunc('second', timeStamp) AS tts, max(userIdTo) AS subOwner FROM transfers GROUP BY 1, 2),
+po AS (SELECT ps.*, tr.subOwner FROM ps ASOF LEFT JOIN tr ON ps.subName = tr.subName AND ps.ts_s >= tr.tts),
+el AS (SELECT subName, CAST(CAST(created_at AS DATE) AS TIMESTAMP) AS date, MIN(cost) AS fee FROM po
+       WHERE invoiceActionState IS DISTINCT FROM 'FAILED' AND NOT bio AND NOT freebie AND NOT saloon AND cost > 0
+         AND NOT COALESCE(userId = subOwner, false) AND cost_modifier = 0 AND n_uploads = 0
+         AND itemId NOT IN {tuple(CFG.perennial_item_ids)} AND userId <> {CFG.spammer_id} AND userId <> {CFG.anon_id}
+         AND NOT hasImageOrLink AND subName IS NOT NULL
+       GROUP BY 1, 2),
+n AS (SELECT *, row_number() OVER (PARTITION BY subName ORDER BY date) AS rn,
+             lead(fee) OVER (PARTITION BY subName ORDER BY date) AS nf FROM el),
+r(subName, rn, date, out_fee) AS (
+  SELECT subName, rn, date, fee FROM n WHERE rn = 1
+  UNION ALL
+  SELECT n.subName, n.rn, n.date,
+         CASE WHEN n.nf IS NOT NULL AND ((n.fee > r.out_fee AND n.fee > n.nf) OR (n.fee < r.out_fee AND n.fee < n.nf))
+              THEN n.nf ELSE n.fee END
+  FROM r JOIN n ON n.subName = r.subName AND n.rn = r.rn + 1)"""
+
+
+@register("dt7_fee_history", f"WITH RECURSIVE {FEES_SQL} SELECT subName, date, ROUND(out_fee, 6) AS posting_fee FROM r")
+def dt7_fee_history(spark, d):
+    f = Forum(spark, d).fees()
+    return f.select("subName", F.col("date").cast("timestamp").alias("date"), r6("posting_fee").alias("posting_fee"))
+
+
+@register("dt8_territory_day_panel")
+def dt8_panel(spark, d):
+    fo = Forum(spark, d)
+    return forum.territory_day_panel(fo.fees(), fo.posts(), fo.cycles(), fo.transfers(), CFG)
+
+
+@register("dt9_zaps_table", f"""
+WITH {ACTS_SQL},
+g AS (SELECT itemId, userId, created_at, COUNT(*) FILTER (WHERE act = 'TIP') AS nt,
+             COALESCE(SUM(msats / 1000) FILTER (WHERE act = 'TIP'), 0) AS tip,
+             COALESCE(SUM(msats / 1000) FILTER (WHERE act = 'FEE'), 0) AS fee
+      FROM acts WHERE invoiceActionState IS DISTINCT FROM 'FAILED' GROUP BY 1, 2, 3)
+SELECT COUNT(*) AS n_zaps, ROUND(SUM(tip + fee), 4) AS total_sats FROM g WHERE nt > 0
+""")
+def dt9_zaps(spark, d):
+    z = Forum(spark, d).zaps()
+    return z.agg(F.count(F.lit(1)).alias("n_zaps"), F.round(F.sum("sats"), 4).alias("total_sats"))
+
+
+PRICE_CSV_SCHEMA = T.StructType([T.StructField(n, t) for n, t in (
+    ("timeOpen", T.StringType()), ("timeClose", T.StringType()), ("open", T.DoubleType()),
+    ("high", T.DoubleType()), ("low", T.DoubleType()), ("close", T.DoubleType()))])
+
+
+@register("src3_dt11_price_csv_weekly", f"""
+WITH u AS (SELECT CAST(l_shipdate AS DATE) AS d, l_extendedprice / l_quantity AS u FROM lineitem),
+dl AS (SELECT d, (max(u) + min(u)) / 2 AS mid FROM u GROUP BY 1)
+SELECT CAST(d - CAST(dayofweek(d) AS INTEGER) AS TIMESTAMP) AS week, ROUND(AVG(mid), 6) AS btc_price FROM dl GROUP BY 1
+""")
+def src3_price_csv(spark, d):
+    """Writes daily prices as a ';' CSV (SRC5) into the shared scratch folder, reads it back (SRC3)."""
+    t = Tables(spark, d)
+    path = scratch(spark, "price-csv")
+    daily = forum_price_raw(t).select(F.date_format("timeOpen", "yyyy-MM-dd'T'HH:mm:ss").alias("timeOpen"),
+                                      F.date_format("timeClose", "yyyy-MM-dd'T'HH:mm:ss").alias("timeClose"),
+                                      "open", "high", "low", "close")
+    daily.write.mode("overwrite").option("sep", ";").option("header", True).csv(path)
+    raw = io.read_delimited(spark, path, PRICE_CSV_SCHEMA, sep=";", timestamp_cols=("timeOpen", "timeClose"))
+    w = forum.price_weekly(forum.price_daily(raw))
+    return w.select(F.col("week").cast("timestamp").alias("week"), r6("btc_price").alias("btc_price"))
+
+
+@register("dt12_users", f"""
+WITH {ITEM_SQL}
+SELECT userId, min(created_at) AS first_item_date, COUNT(*) FILTER (WHERE parentId IS NULL) AS n_posts,
+       COUNT(*) FILTER (WHERE parentId IS NOT NULL) AS n_comments
+FROM item WHERE invoiceActionState IS DISTINCT FROM 'FAILED' GROUP BY 1
+""")
+def dt12_users(spark, d):
+    u = forum.users(Forum(spark, d).item(), CFG)
+    return u.select("userId", "first_item_date", "n_posts", "n_comments")
+
+
+@register("dt13_user_stats_days", f"""
+WITH {STATS_SQL}
+SELECT id AS userId, CAST(CAST(t AS DATE) AS TIMESTAMP) AS date, posts, comments,
+  ROUND(COALESCE(msats_tipped / 1000, 0), 6) AS sats_tipped, ROUND(COALESCE(msats_rewards / 1000, 0), 6) AS sats_rewards,
+  ROUND(COALESCE(msats_referrals / 1000, 0), 6) AS sats_referrals,
+  ROUND(COALESCE(msats_one_day_referrals / 1000, 0), 6) AS sats_one_day_referrals,
+  ROUND(COALESCE(msats_stacked / 1000, 0), 6) AS sats_stacked, ROUND(COALESCE(msats_fees / 1000, 0), 6) AS sats_fees,
+  ROUND(COALESCE(msats_spent / 1000, 0), 6) AS sats_spent
+FROM user_stats_days WHERE id IS NOT NULL
+""")
+def dt13_user_stats(spark, d):
+    s = Forum(spark, d).stats()
+    cols = ["sats_tipped", "sats_rewards", "sats_referrals", "sats_one_day_referrals", "sats_stacked", "sats_fees",
+            "sats_spent"]
+    return s.select("userId", F.col("date").cast("timestamp").alias("date"), "posts", "comments",
+                    *[r6(c).alias(c) for c in cols])
+
+
+def _user_panel(spark, d):
+    fo = Forum(spark, d)
+    return forum.user_week_panel(fo.stats(), fo.item(), CFG)
+
+
+@register("dt14_user_week_panel")
+def dt14_user_week_panel(spark, d):
+    p = _user_panel(spark, d)
+    return p.select("userId", "week", "account_age", "weeks_since_last_activity", "length_of_inactivity",
+                    "profit0", "rolling_profit1", "rolling_posts", "weekId")
+
+
+@register("dt15_post_quality_sample")
+def dt15_quality(spark, d):
+    fo = Forum(spark, d)
+    return forum.post_quality_sample(fo.posts(), fo.transfers(), fo.weekly_prices(), CFG).select(
+        "itemId", "subId", "subOwner", "sub_subOwner_id", "weekId", "btc_price", "num_words", "num_img_or_links",
+        "is_link_post", "link_only")
+
+
+@register("dt16_post_quantity_sample")
+def dt16_quantity(spark, d):
+    fo = Forum(spark, d)
+    pnl = forum.territory_day_panel(fo.fees(), fo.posts(), fo.cycles(), fo.transfers(), CFG)
+    return forum.post_quantity_sample(pnl, fo.weekly_prices())
+
+
+@register("dt17_internal_digraph")
+def dt17_digraph(spark, d):
+    """Items' texts hold links (built from order keys) to other items."""
+    fo = Forum(spark, d)
+    it = fo.item()
+    it = it.withColumn("text", F.when(F.col("parentId").isNull() & (F.col("title") == "1-URGENT"),
+                                      F.concat(F.coalesce("text", F.lit("")), F.lit(" https://site.example/items/"),
+                                               F.col("userId").cast("string"))).otherwise(F.col("text")))
+    return forum.internal_digraph(it, CFG)
+
+
+@register("dt18_v4v_sample")
+def dt18_v4v(spark, d):
+    fo = Forum(spark, d)
+    out = forum.v4v_sample(fo.posts(), fo.zaps(), CFG)
+    return out.select("itemId", "hi_quality", "prior_zaps", "prior_zaps_from_hi_quality", "prior_posts",
+                      "prior_hi_quality_posts", "subId", "weekId")
+
+
+@register("dt19_exit_sample")
+def dt19_exit(spark, d):
+    fo = Forum(spark, d)
+    return forum.exit_sample(_user_panel(spark, d), fo.weekly_prices(), fo.transfers(), CFG).select(
+        "userId", "week", "inactive", "became_inactive", "growth_1", "growth_4")
+
+
+@register("dt20_adoption_sample")
+def dt20_adoption(spark, d):
+    fo = Forum(spark, d)
+    u = forum.users(fo.item(), CFG)
+    return forum.adoption_sample(_user_panel(spark, d), u, "1996-01-01", "first_item_date", CFG).select(
+        "userId", "week", "regime", "adopted")
+
+
+@register("dt22_event_study_sample")
+def dt22_event_study(spark, d):
+    fo = Forum(spark, d)
+    pnl = forum.territory_day_panel(fo.fees(), fo.posts(), fo.cycles(), fo.transfers(), CFG)
+    wk = pnl.groupBy("subName", tf.as_week("date").alias("week")).agg(F.avg("posting_fee").alias("fee"))
+    return forum.event_study_sample(wk, "subName", "week", "fee", k=12)
+
+
+@register("dt24_fee_spells")
+def dt24_fee_spells(spark, d):
+    fo = Forum(spark, d)
+    return forum.fee_spells(fo.fees(), fo.posts(), F.lit(CFG.data_end).cast("timestamp"))
+
+
+@register("src6_materialize_roundtrip", f"""
+WITH {ITEM_SQL} SELECT COUNT(*) AS n, COUNT(DISTINCT userId) AS n_users FROM item
+""")
+def src6_materialize(spark, d):
+    path = scratch(spark, "items")
+    io.materialize(spark, path, lambda: Forum(spark, d).item())
+    cached = io.materialize(spark, path, lambda: None)  # second call reads the cache, builds nothing
+    return cached.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("userId").alias("n_users"))
+
+
+@register("src8_vector_store_lookup_upsert", """
+WITH s AS (SELECT sha256(CAST(vec_id AS VARCHAR)) AS text_hash, embedding FROM embeddings),
+k AS (SELECT DISTINCT sha256(CAST(doc_id AS VARCHAR)) AS text_hash FROM documents)
+SELECT COUNT(*) FILTER (WHERE s.text_hash IS NOT NULL) AS hits, COUNT(*) FILTER (WHERE s.text_hash IS NULL) AS misses
+FROM k LEFT JOIN s USING (text_hash)
+""")
+def src8_vector_store(spark, d):
+    t = Tables(spark, d)
+    store = t.embeddings.select(F.sha2(F.col("vec_id").cast("string"), 256).alias("text_hash"), "embedding",
+                                F.lit("2024-01-01").cast("timestamp").alias("last_updated_at"))
+    keys = t.documents.select(F.sha2(F.col("doc_id").cast("string"), 256).alias("text_hash"))
+    hits, misses = io.store_lookup(store, keys)
+    return hits.agg(F.count(F.lit(1)).alias("hits")).crossJoin(misses.agg(F.count(F.lit(1)).alias("misses")))
+
+
+@register("src9_metrics_upsert_last_wins", """
+WITH u AS (SELECT event_type AS key, CAST(value AS VARCHAR) AS value, ts AS updated_at, event_id FROM events)
+SELECT key, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY updated_at DESC, event_id DESC) AS rn
+                        FROM u) WHERE rn = 1
+""")
+def src9_metrics(spark, d):
+    e = Tables(spark, d).events
+    cut = F.lit("2024-01-15").cast("timestamp")
+    cur = e.where(F.col("ts") < cut).select(F.col("event_type").alias("key"),
+                                                       F.col("value").cast("string").alias("value"),
+                                                       F.col("ts").alias("updated_at"))
+    upd = e.where(F.col("ts") >= cut).select(F.col("event_type").alias("key"),
+                                                       F.col("value").cast("string").alias("value"),
+                                                       F.col("ts").alias("updated_at"))
+    return io.metrics_upsert(cur, upd).select("key", "value")
+
+
+@register("src10_graph_export_counts")
+def src10_graph_export(spark, d):
+    from .q_graph import edges
+    e = edges(Tables(spark, d))
+    nodes = e.select(F.col("src").alias("node")).union(e.select(F.col("dst").alias("node"))).distinct()
+    counts = io.export_graph(nodes, e, scratch(spark, "graph"))
+    return spark.createDataFrame([(counts["nodes"], counts["edges"])], "n_nodes long, n_edges long")
+
