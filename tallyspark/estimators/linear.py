@@ -109,30 +109,52 @@ def drop_singletons(df: DataFrame, fes: list[str]) -> DataFrame:
             return cur
 
 
-def demean(df: DataFrame, cols: list[str], fes: list[str], *, tol: float = 1e-10, max_iter: int = 500,
-           checkpoint_every: int = 5) -> DataFrame:
-    """ES2: alternating projections; subtract group means of each fixed effect until stable.
-
-    One fixed effect is exact in one sweep.
+def demean(df: DataFrame, cols: list[str], fes: list[str], *, tol: float = 1e-9, max_iter: int = 1000) -> DataFrame:
+    """ES2: remove fixed effects by backfitting (Gauss-Seidel alternating projections).
+
+    The fact table is persisted once and never rewritten: each sweep, for each
+    effect f, joins the *other* effects' current level tables (one row per
+    level) to it and averages the residual by level of f -- a partial
+    aggregation, so a hot level is pre-summed in every task.  Only the small
+    level tables are checkpointed per sweep, so the plan stays linear.  The
+    sweep stops when no level value moves by more than ``tol`` x (column
+    scale).  One fixed effect is exact in one pass.
     """
-    cur = df
+    base = df.persist()
+    scale = base.agg(*[F.stddev_pop(c).alias(c) for c in cols]).first()
+    limits = {c: tol * max(scale[c] or 0.0, 1e-300) for c in cols}
+    alpha: dict[str, DataFrame | None] = {f: None for f in fes}
+
+    def with_effects(skip: str | None) -> DataFrame:
+        r = base
+        for g in fes:
+            if g != skip and alpha[g] is not None:
+                r = r.join(alpha[g], g, "left")
+        adj = {c: F.lit(0.0) for c in cols}
+        for g in fes:
+            if g != skip and alpha[g] is not None:
+                for c in cols:
+                    adj[c] = adj[c] + F.coalesce(F.col(f"__a_{g}_{c}"), F.lit(0.0))
+        return r.select(*[x for x in base.columns if x not in cols], *[(F.col(c) - adj[c]).alias(c) for c in cols])
+
     for it in range(max_iter):
+        moved = False
         for f in fes:
-            means = cur.groupBy(f).agg(*[F.avg(c).alias(f"__m_{c}") for c in cols])
-            cur = cur.join(means, f).select(*[c for c in cur.columns if c not in cols],
-                                            *[(F.col(c) - F.col(f"__m_{c}")).alias(c) for c in cols])
-        if len(fes) == 1:
-            return cur
-        cur = cut_lineage(cur) if (it + 1) % checkpoint_every == 0 else cur.persist()
-        # convergence: largest remaining group mean over all effects
-        worst = 0.0
-        for f in fes:
-            m = cur.groupBy(f).agg(*[F.abs(F.avg(c)).alias(c) for c in cols]).agg(
-                *[F.max(c).alias(c) for c in cols]).first()
-            worst = max([worst] + [abs(v) for v in m if v is not None])
-        if worst < tol:
-            return cur
-    return cur
+            new = cut_lineage(with_effects(f).groupBy(f).agg(*[F.avg(c).alias(f"__a_{f}_{c}") for c in cols]))
+            if alpha[f] is None:
+                moved = True
+            else:
+                old = alpha[f].select(f, *[F.col(f"__a_{f}_{c}").alias(f"__o_{c}") for c in cols])
+                d = new.join(old, f, "full").agg(*[F.max(F.abs(F.coalesce(f"__a_{f}_{c}", F.lit(0.0))
+                                                                - F.coalesce(f"__o_{c}", F.lit(0.0)))).alias(c)
+                                                   for c in cols]).first()
+                if any((d[c] or 0.0) > limits[c] for c in cols):
+                    moved = True
+            alpha[f] = new
+        if len(fes) == 1 or not moved:
+            break
+    base.sparkSession.conf.set("tally.last_demean_sweeps", str(it + 1))
+    return with_effects(None)
 
 
 def feols(df: DataFrame, y: str, xs: list[str], fes: list[str], *, name: str = "feols",
@@ -144,17 +166,16 @@ def feols(df: DataFrame, y: str, xs: list[str], fes: list[str], *, name: str = "
         d = drop_singletons(d, fes)
     tss = d.agg((F.sum(F.col(y) * F.col(y)) - F.sum(y) ** 2 / F.count(F.lit(1))).alias("t")).first()["t"]
     dm = demean(d, [y, *xs], fes)
-    levels = sum(d.select(f).distinct().count() for f in fes) - (len(fes) - 1)
+    n_levels = d.agg(*[F.countDistinct(f).alias(f) for f in fes]).first().asDict()
+    levels = sum(n_levels.values()) - (len(fes) - 1)
     nested = 0
     if cluster:
         # effects nested in the cluster are not counted in the small-sample factor
         for f in fes:
-            if f == cluster or d.groupBy(f).agg(F.countDistinct(cluster).alias("c")).where("c > 1").count() == 0:
-                nested += d.select(f).distinct().count()
+            if f == cluster or d.groupBy(f).agg(F.countDistinct(cluster).alias("c")).where("c > 1").isEmpty():
+                nested += n_levels[f]
     fit = ols(dm, y, xs, name=name, intercept=False, cluster=cluster,
               absorbed_dof=levels - (nested if cluster else 0), tss_override=tss)
-    if cluster is None:
-        fit.vcov = fit.vcov  # classical errors already use n - k - levels
     return fit
 
 

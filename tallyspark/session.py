@@ -68,6 +68,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df, eager: bool = True):
-    """Reliable checkpoint into the shared checkpoint folder (never a local one)."""
+    """Reliable checkpoint into the shared checkpoint folder (never a local one).
+
+    The frame is persisted first: an eager checkpoint runs one job to count
+    and one to write, and both then read the persisted blocks instead of
+    recomputing the plan.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+    held = df.persist()
+    out = held.checkpoint(eager=eager)
+    if eager:
+        held.unpersist()
+    return out
