@@ -37,36 +37,41 @@ def with_bucket(df: DataFrame, time_col: str, bucket_us: int = DAY_US) -> DataFr
 
 def prefix_sums(df: DataFrame, by: list[str], time_col: str, values: dict[str, Column],
                 *, strict: bool = True, bucket_us: int = DAY_US, tiebreak: list[str] | None = None,
-                drop_helpers: bool = True) -> DataFrame:
+                drop_helpers: bool = True, strict_suffix: str | None = None) -> DataFrame:
     """Add ``name = sum(value)`` over earlier rows of the same key.
 
     ``strict=True``: rows with time strictly before the current row (ties excluded).
     ``strict=False``: rows before the current one in (time, *tiebreak) order, so
     ties are split by the tie-break columns (rule N8); the current row is excluded.
+    ``strict_suffix``: with ``strict=False``, also return the strict sums as
+    ``name + strict_suffix`` from the same pass (the bucket carry is shared).
     """
     d = with_bucket(df, time_col, bucket_us)
-    vals = {f"__v_{n}": v for n, v in zip(values, values.values())}
-    for k, v in vals.items():
-        d = d.withColumn(k, F.coalesce(v.cast("double"), F.lit(0.0)))
+    vals = {f"__v_{i}": v for i, v in enumerate(values.values())}
+    names = dict(zip(vals, values))
+    d = d.select("*", *[F.coalesce(v.cast("double"), F.lit(0.0)).alias(k) for k, v in vals.items()])
     part = by + [_B]
     if strict:
         w_in = Window.partitionBy(*part).orderBy(_T).rangeBetween(Window.unboundedPreceding, -1)
     else:
         order = [F.col(_T)] + [F.col(c) for c in (tiebreak or [])]
         w_in = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    for k in vals:
-        d = d.withColumn(k + "_in", F.coalesce(F.sum(k).over(w_in), F.lit(0.0)))
+    extra = []
+    if strict_suffix and not strict:
+        w_st = Window.partitionBy(*part).orderBy(_T).rangeBetween(Window.unboundedPreceding, -1)
+        extra = [F.coalesce(F.sum(k).over(w_st), F.lit(0.0)).alias(k + "_st") for k in vals]
+    d = d.select("*", *[F.coalesce(F.sum(k).over(w_in), F.lit(0.0)).alias(k + "_in") for k in vals], *extra)
     summary = d.groupBy(*part).agg(*[F.sum(k).alias(k + "_tot") for k in vals])
     w_b = Window.partitionBy(*by).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
     carry = summary.select(*part, *[F.coalesce(F.sum(k + "_tot").over(w_b), F.lit(0.0)).alias(k + "_carry")
                                     for k in vals])
     out = d.join(carry, on=part, how="left")
-    for name, k in zip(values, vals):
-        out = out.withColumn(name, F.col(k + "_in") + F.coalesce(F.col(k + "_carry"), F.lit(0.0)))
-    if drop_helpers:
-        helpers = [c for c in out.columns if c.startswith("__v_")] + [_B, _T]
-        out = out.drop(*helpers)
-    return out
+    keep = [c for c in out.columns if not (c.startswith("__v_") or c in (_B, _T))] if drop_helpers else out.columns
+    res = [(F.col(k + "_in") + F.coalesce(F.col(k + "_carry"), F.lit(0.0))).alias(names[k]) for k in vals]
+    if extra:
+        res += [(F.col(k + "_st") + F.coalesce(F.col(k + "_carry"), F.lit(0.0))).alias(names[k] + strict_suffix)
+                for k in vals]
+    return out.select(*keep, *res)
 
 
 def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_on: str,

@@ -167,20 +167,24 @@ def prior_category_means(df: DataFrame, user: str, time: str, tiebreak: str, cat
         vals[f"__num_{c}"] = is_c * F.col(y).cast("double") * wgt
         vals[f"__den_{c}"] = is_c * wgt
     by = [user] if own_only else []
-    d = scan.prefix_sums(d, by, time, vals, strict=False, tiebreak=[tiebreak])
-    if not own_only and since_user_first:
-        # sums over rows strictly before the user's first post time
-        strict = scan.prefix_sums(df.crossJoin(F.broadcast(t0)), [], time,
-                                  {k.replace("__", "__b_"): v for k, v in vals.items()}, strict=True)
-        wf = Window.partitionBy(user).orderBy(time, tiebreak)
-        base = (strict.withColumn("__rn", F.row_number().over(wf)).where(F.col("__rn") == 1)
-                .select(user, *[F.col(k.replace("__", "__b_")).alias(k.replace("__", "__base_")) for k in vals]))
-        d = d.join(base, user, "left")
-        for k in vals:
-            d = d.withColumn(k, F.col(k) - F.col(k.replace("__", "__base_")))
-    for c in categories:
-        d = d.withColumn(f"prior_mean_{c}", F.try_divide(F.col(f"__num_{c}"), F.nullif(F.col(f"__den_{c}"), F.lit(0.0))))
-    return d.drop(*[c for c in d.columns if c.startswith("__")])
+    use_base = not own_only and since_user_first
+    d = scan.prefix_sums(d, by, time, vals, strict=False, tiebreak=[tiebreak],
+                         strict_suffix="_strict" if use_base else None)
+    if use_base:
+        d = _subtract_user_first(d, user, time, tiebreak, list(vals))
+    res = [F.try_divide(F.col(f"__num_{c}"), F.nullif(F.col(f"__den_{c}"), F.lit(0.0))).alias(f"prior_mean_{c}")
+           for c in categories]
+    return d.select(*[c for c in d.columns if not c.startswith("__")], *res)
+
+
+def _subtract_user_first(d: DataFrame, user: str, time: str, tiebreak: str, cols: list[str]) -> DataFrame:
+    """Subtract, per user, the strict prefix sums at the user's first row (rows before the user's
+    first time).  The first row is found by a min_by aggregation (partial, skew-safe), not a window."""
+    first = d.groupBy(user).agg(F.min_by(F.struct(*[F.col(c + "_strict").alias(c) for c in cols]),
+                                         F.struct(time, tiebreak)).alias("__base"))
+    d = d.join(first, user, "left")
+    return d.select(*[c for c in d.columns if c not in cols and not c.endswith("_strict") and c != "__base"],
+                    *[(F.col(c) - F.col("__base")[c]).alias(c) for c in cols])
 
 
 def strictly_prior_totals(posts: DataFrame, zaps: DataFrame, user: str, time: str, flag: str, sats: str,
@@ -202,3 +206,59 @@ def strictly_prior_totals(posts: DataFrame, zaps: DataFrame, user: str, time: st
             "prior_hi_quality_posts": F.when((F.col("__is_post") == 1) & F.col(flag), F.lit(1.0))}
     out = scan.prefix_sums(u, [user], time, vals, strict=True)
     return out.where(F.col("__is_post") == 1).drop("__is_post", "__sats", "__zflag")
+
+
+def kernel_fourier_coefficients(half_life_s: float, period: float, n_terms: int) -> list[float]:
+    """Cosine-series coefficients of the wrapped activity kernel exp(-(d / sigma)^2), sigma = half-life / ln 2.
+
+    A parameter-sized numeric integral (not data)."""
+    import numpy as np
+    sigma = half_life_s / math.log(2)
+    d = np.linspace(-period / 2, period / 2, 200_001)
+    w = np.exp(-(d / sigma) ** 2)
+    return [float(np.trapezoid(w * np.cos(2 * math.pi * m * d / period), d) / period) for m in range(n_terms + 1)]
+
+
+def kernel_prior_category_means(df: DataFrame, user: str, time: str, tiebreak: str, cat: str, y: str,
+                                categories: list, *, half_life_hours: float = 3.0, n_terms: int = 12,
+                                own_only: bool = False, period: float = 86400.0) -> DataFrame:
+    """WN22: prior category means weighted by closeness of each earlier post's time of day to the
+    user's mean posting time (circular distance, kernel exp(-(d/sigma)^2)).
+
+    The kernel is periodic in (peak - s), so it is expanded in a cosine series
+    and cos(m(a - b)) splits into products: the weighted sums become 2M+1
+    plain prefix sums per category (the two-level scan), evaluated at each
+    post with its user's peak -- linear work instead of users x posts.  The
+    truncation error is set by ``n_terms``.  Information set as WN19 (all
+    users' posts since this user's first post) or, with ``own_only``, the
+    user's own earlier posts.
+    """
+    a = kernel_fourier_coefficients(half_life_hours * 3600.0, period, n_terms)
+    sod = (F.hour(time) * 3600 + F.minute(time) * 60 + F.second(time)).cast("double")
+    theta = sod * F.lit(2 * math.pi / period)
+    d = df.withColumn("__theta", theta)
+    peak = d.groupBy(user).agg((F.avg(sod) * F.lit(2 * math.pi / period)).alias("__peak"))
+    vals = {}
+    for c in categories:
+        is_c = (F.col(cat) == F.lit(c)).cast("double")
+        for kind, base in (("n", is_c * F.col(y).cast("double")), ("d", is_c)):
+            vals[f"__{kind}_{c}_0"] = base
+            for m in range(1, n_terms + 1):
+                vals[f"__{kind}_{c}_c{m}"] = base * F.cos(F.col("__theta") * m)
+                vals[f"__{kind}_{c}_s{m}"] = base * F.sin(F.col("__theta") * m)
+    by = [user] if own_only else []
+    out = scan.prefix_sums(d, by, time, vals, strict=False, tiebreak=[tiebreak],
+                           strict_suffix=None if own_only else "_strict")
+    if not own_only:
+        out = _subtract_user_first(out, user, time, tiebreak, list(vals))
+    out = out.join(peak, user, "left")
+
+    def series(kind, c):
+        s = F.lit(a[0]) * F.col(f"__{kind}_{c}_0")
+        for m in range(1, n_terms + 1):
+            s = s + F.lit(2 * a[m]) * (F.cos(F.col("__peak") * m) * F.col(f"__{kind}_{c}_c{m}")
+                                        + F.sin(F.col("__peak") * m) * F.col(f"__{kind}_{c}_s{m}"))
+        return s
+    res = [F.when(F.col(f"__d_{c}_0") > 0.5, series("n", c) / series("d", c)).alias(f"prior_kernel_mean_{c}")
+           for c in categories]
+    return out.select(*[c for c in out.columns if not c.startswith("__")], *res)

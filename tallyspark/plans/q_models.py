@@ -176,3 +176,40 @@ def es19_model_table(spark, d):
     p = tabs.groupBy("coef_name").pivot("regression_name", ["m_discount", "m_tax", "m_quantity"]).agg(
         F.first("estimate"))
     return p.select("coef_name", *[r6(c).alias(c) for c in ("m_discount", "m_tax", "m_quantity")])
+
+
+def _choice_set(spark, d):
+    from ..operators import sequences as sq
+    from ..plans import forum
+    from .q_windows import CATS, prior_posts
+    p = prior_posts(Tables(spark, d))
+    h = sq.prior_category_means(p, "o_custkey", "o_orderdate", "o_orderkey", "cat", "y", CATS)
+    for c in CATS:
+        h = h.withColumnRenamed(f"prior_mean_{c}", f"cum_avg_{c}")
+    own = sq.prior_category_means(p, "o_custkey", "o_orderdate", "o_orderkey", "cat", "y", CATS, own_only=True)
+    own = own.select("o_orderkey", *[F.col(f"prior_mean_{c}").alias(f"cum_avg_user_{c}") for c in CATS])
+    h = h.join(own, "o_orderkey")
+    cs = forum.choice_set(h, "o_custkey", "o_orderdate", "o_orderkey", "cat", CATS,
+                          {"cum_avg": "cum_avg_", "cum_avg_user": "cum_avg_user_"})
+    span = cs.agg(F.max("o_orderdate").alias("__mx"), F.min("o_orderdate").alias("__mn"))
+    cs = cs.crossJoin(F.broadcast(span)).withColumn(
+        "trend", (F.unix_micros("o_orderdate") - F.unix_micros("__mn")) / (F.unix_micros("__mx") - F.unix_micros("__mn")))
+    for i, c in enumerate(CATS[1:], 1):
+        is_c = (F.col("alternative") == c).cast("double")
+        cs = cs.withColumn(f"alt{i}", is_c).withColumn(f"alt{i}_trend", is_c * F.col("trend"))
+    return cs.drop("__mx", "__mn")
+
+
+@register("dt21_choice_set")
+def dt21_choice_set(spark, d):
+    cs = _choice_set(spark, d)
+    return cs.select("o_orderkey", "alternative", "chosen", "cum_avg", "cum_avg_user", "experience_posts")
+
+
+@register("es9_es10_es11_conditional_logit")
+def es9_clogit(spark, d):
+    from ..estimators import clogit
+    cs = _choice_set(spark, d)
+    xs = [f"alt{i}" for i in range(1, 5)] + [f"alt{i}_trend" for i in range(1, 5)] + ["cum_avg", "cum_avg_user"]
+    table, _ = clogit.fit(cs, "o_orderkey", "chosen", xs, cluster="o_custkey", alternative="alternative")
+    return _round_table(table)

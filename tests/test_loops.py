@@ -204,3 +204,48 @@ def test_prefix_sums_global_matches_cumsum(spark):
     for i, t, v in sorted(rows, key=lambda r: (r[1], r[0])):
         assert got[i]["before"] == acc
         acc += v
+
+
+def kernel_model(rows, cats, hl=3 * 3600.0, period=86400.0):
+    """Brute force: for each post, every earlier post since the user's first one, exact kernel."""
+    rows = sorted(rows, key=lambda r: (r[2], r[0]))
+    sigma = hl / math.log(2)
+    first, sods = {}, {}
+    for _, u, t, _, _ in rows:
+        first.setdefault(u, t)
+        sods.setdefault(u, []).append(t.hour * 3600 + t.minute * 60 + t.second)
+    peak = {u: sum(v) / len(v) for u, v in sods.items()}
+    out = {}
+    for idx, (i, u, t, c, y) in enumerate(rows):
+        vals = {}
+        for k in cats:
+            num = den = 0.0
+            for j in range(idx):
+                _, _, tj, cj, yj = rows[j]
+                if cj != k or tj < first[u]:
+                    continue
+                s = tj.hour * 3600 + tj.minute * 60 + tj.second
+                dd = (peak[u] - s + period / 2) % period - period / 2
+                w = math.exp(-(dd / sigma) ** 2)
+                num += w * yj
+                den += w
+            vals[k] = num / den if den > 0 else None
+        out[i] = vals
+    return out
+
+
+def test_kernel_prior_means_match_brute_force(spark):
+    rng = random.Random(8)
+    cats = [0, 1]
+    rows = [(i, rng.randrange(5), T0 + timedelta(seconds=rng.randrange(20 * 86400)), rng.choice(cats),
+             rng.random() * 3) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, user long, t timestamp, cat long, y double")
+    got = _rows(sq.kernel_prior_category_means(df, "user", "t", "id", "cat", "y", cats, n_terms=16), "id")
+    want = kernel_model(rows, cats)
+    for i, vals in want.items():
+        for k, v in vals.items():
+            g = got[i][f"prior_kernel_mean_{k}"]
+            if v is None:
+                assert g is None
+            else:
+                assert abs(g - v) < 2e-3 * max(1.0, abs(v))
