@@ -161,7 +161,8 @@ def feols(df: DataFrame, y: str, xs: list[str], fes: list[str], *, name: str = "
           cluster: str | None = None, singletons: bool = True) -> Fit:
     """ES2-ES5: OLS absorbing fixed effects, optional clustered errors; R² is the full-model R²."""
     keep = [y, *xs, *fes] + ([cluster] if cluster and cluster not in fes else [])
-    d = df.select(*keep).dropna()
+    # start the iterative part from a checkpoint of the narrow model frame
+    d = cut_lineage(df.select(*keep).dropna())
     if singletons:
         d = drop_singletons(d, fes)
     tss = d.agg((F.sum(F.col(y) * F.col(y)) - F.sum(y) ** 2 / F.count(F.lit(1))).alias("t")).first()["t"]
