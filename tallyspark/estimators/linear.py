@@ -97,19 +97,26 @@ def ols(df: DataFrame, y: str, xs: list[str], *, name: str = "ols", intercept: b
 
 
 def drop_singletons(df: DataFrame, fes: list[str]) -> DataFrame:
-    """ES3: drop rows whose level of any fixed effect has one row, repeated to a fixed point."""
+    """ES3: drop rows whose level of any fixed effect has one row, repeated to a fixed point.
+
+    One grouped count per effect decides whether anything must go; only then
+    is the frame filtered (semi joins) and checkpointed, round by round.
+    """
+    def has_singletons(frame):
+        return any(not frame.groupBy(f).agg(F.count(F.lit(1)).alias("__c")).where(F.col("__c") == 1).isEmpty()
+                   for f in fes)
+
     cur = df
-    while True:
-        before = cur.count()
+    while has_singletons(cur):
         for f in fes:
             cnt = cur.groupBy(f).agg(F.count(F.lit(1)).alias("__c"))
             cur = cur.join(cnt.where(F.col("__c") > 1).select(f), f, "left_semi")
         cur = cut_lineage(cur)
-        if cur.count() == before:
-            return cur
+    return cur
 
 
-def demean(df: DataFrame, cols: list[str], fes: list[str], *, tol: float = 1e-9, max_iter: int = 1000) -> DataFrame:
+def demean(df: DataFrame, cols: list[str], fes: list[str], *, tol: float = 1e-9, max_iter: int = 1000,
+           checkpoint_every: int = 1) -> DataFrame:
     """ES2: remove fixed effects by backfitting (Gauss-Seidel alternating projections).
 
     The fact table is persisted once and never rewritten: each sweep, for each
@@ -121,7 +128,7 @@ def demean(df: DataFrame, cols: list[str], fes: list[str], *, tol: float = 1e-9,
     scale).  One fixed effect is exact in one pass.
     """
     base = df.persist()
-    scale = base.agg(*[F.stddev_pop(c).alias(c) for c in cols]).first()
+    scale = base.agg(*[F.stddev_pop(c).alias(c) for c in cols]).first()  # also materialises the cache
     limits = {c: tol * max(scale[c] or 0.0, 1e-300) for c in cols}
     alpha: dict[str, DataFrame | None] = {f: None for f in fes}
 
@@ -140,7 +147,11 @@ def demean(df: DataFrame, cols: list[str], fes: list[str], *, tol: float = 1e-9,
     for it in range(max_iter):
         moved = False
         for f in fes:
-            new = cut_lineage(with_effects(f).groupBy(f).agg(*[F.avg(c).alias(f"__a_{f}_{c}") for c in cols]))
+            new = with_effects(f).groupBy(f).agg(*[F.avg(c).alias(f"__a_{f}_{c}") for c in cols])
+            if (it + 1) % checkpoint_every == 0:
+                new = cut_lineage(new)
+            else:
+                new = new.persist()
             if alpha[f] is None:
                 moved = True
             else:
