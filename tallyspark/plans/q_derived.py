@@ -296,11 +296,60 @@ def _user_panel(spark, d):
     return forum.user_week_panel(fo.stats(), fo.item(), CFG)
 
 
-@register("dt14_user_week_panel")
+W_SQL = "(CAST({c} AS DATE) - CAST(dayofweek({c}) AS INTEGER))"
+STAT_SUMS = ("tipped", "rewards", "referrals", "one_day_referrals", "stacked", "fees", "spent")
+USER_PANEL_SQL = f"""{ITEM_SQL}, {STATS_SQL},
+st AS (SELECT id AS userId, CAST(t AS DATE) AS date, posts, comments,
+              {", ".join(f"COALESCE(msats_{c} / 1000, 0) AS sats_{c}" for c in STAT_SUMS)}
+       FROM user_stats_days WHERE id IS NOT NULL),
+fw AS (SELECT userId, {W_SQL.format(c="CAST(min(created_at) AS DATE)")} AS fw FROM item GROUP BY 1),
+sk AS (SELECT fw.userId, CAST(g.w AS DATE) AS week
+       FROM fw, LATERAL generate_series(fw.fw, {W_SQL.format(c=f"DATE '{CFG.data_end[:10]}'")}, INTERVAL 7 DAY) g(w)
+       WHERE fw.fw <= {W_SQL.format(c=f"DATE '{CFG.data_end[:10]}'")}),
+wk AS (SELECT userId, {W_SQL.format(c="date")} AS week, SUM(posts) AS posts, SUM(comments) AS comments,
+              {", ".join(f"SUM(sats_{c}) AS sats_{c}" for c in STAT_SUMS)} FROM st GROUP BY 1, 2),
+pn AS (SELECT sk.userId, sk.week, COALESCE(wk.posts, 0) AS posts, COALESCE(wk.comments, 0) AS comments,
+              {", ".join(f"COALESCE(wk.sats_{c}, 0) AS sats_{c}" for c in STAT_SUMS)}
+       FROM sk LEFT JOIN wk ON sk.userId = wk.userId AND sk.week = wk.week),
+n AS (SELECT *, comments > 0 OR posts > 0 OR sats_spent > 0 AS activity, posts + comments AS items,
+             row_number() OVER (PARTITION BY userId ORDER BY week) AS rn, COUNT(*) OVER (PARTITION BY userId) AS cnt
+      FROM pn),
+a(userId, rn, w) AS (
+  SELECT userId, rn, 0 FROM n WHERE rn = 1
+  UNION ALL
+  SELECT n.userId, n.rn, CASE WHEN n.activity THEN 0 ELSE a.w + 1 END FROM a JOIN n ON n.userId = a.userId AND n.rn = a.rn + 1),
+nw AS (SELECT n.*, a.w FROM n JOIN a USING (userId, rn)),
+b(userId, rn, l) AS (
+  SELECT userId, rn, w FROM nw WHERE rn = cnt
+  UNION ALL
+  SELECT nw.userId, nw.rn, CASE WHEN nw.activity THEN 0 WHEN b.l = 0 THEN nw.w ELSE b.l END
+  FROM b JOIN nw ON nw.userId = b.userId AND nw.rn = b.rn - 1),
+pf AS (SELECT nw.*, b.l, sats_stacked - sats_spent AS profit0,
+              sats_tipped + sats_rewards + sats_referrals + sats_one_day_referrals - sats_fees AS profit1
+       FROM nw JOIN b USING (userId, rn)),
+rl AS (SELECT *, CASE WHEN COUNT(profit1) OVER r8 = 8 THEN SUM(profit1) OVER r8 END AS rolling_profit1,
+              CASE WHEN COUNT(posts) OVER r8 = 8 THEN SUM(posts) OVER r8 END AS rolling_posts
+       FROM pf WINDOW r8 AS (PARTITION BY userId ORDER BY week ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING)),
+codes AS (SELECT week, dense_rank() OVER (ORDER BY min(userId), week) - 1 AS weekId FROM rl GROUP BY week)"""
+
+
+@register("dt14_user_week_panel", f"""
+WITH RECURSIVE {USER_PANEL_SQL}
+SELECT rl.userId, CAST(rl.week AS TIMESTAMP) AS week, CAST(rn AS INTEGER) AS account_age,
+       CAST(w AS INTEGER) AS weeks_since_last_activity, CAST(l AS INTEGER) AS length_of_inactivity,
+       ROUND(profit0, 6) AS profit0, ROUND(rolling_profit1, 6) AS rolling_profit1,
+       CAST(rolling_posts AS DOUBLE) AS rolling_posts, CAST(codes.weekId AS INTEGER) AS weekId
+FROM rl JOIN codes USING (week)
+""")
 def dt14_user_week_panel(spark, d):
     p = _user_panel(spark, d)
-    return p.select("userId", "week", "account_age", "weeks_since_last_activity", "length_of_inactivity",
-                    "profit0", "rolling_profit1", "rolling_posts", "weekId")
+    return p.select("userId", F.col("week").cast("timestamp").alias("week"),
+                    F.col("account_age").cast("int").alias("account_age"),
+                    F.col("weeks_since_last_activity").cast("int").alias("weeks_since_last_activity"),
+                    F.col("length_of_inactivity").cast("int").alias("length_of_inactivity"),
+                    r6("profit0").alias("profit0"), r6("rolling_profit1").alias("rolling_profit1"),
+                    F.col("rolling_posts").cast("double").alias("rolling_posts"),
+                    F.col("weekId").cast("int").alias("weekId"))
 
 
 @register("dt15_post_quality_sample")
