@@ -378,12 +378,44 @@ def dt17_digraph(spark, d):
     return forum.internal_digraph(it, CFG)
 
 
-@register("dt18_v4v_sample")
+def _v4v_sql():
+    from ..config import IMG_LINK_PATTERN
+    from ..functions.textfn import WS_CLASS
+    link = IMG_LINK_PATTERN.replace("'", "''")
+    return f"""
+WITH {POSTS_SQL},
+s AS (SELECT * FROM posts WHERE invoiceActionState IS DISTINCT FROM 'FAILED' AND NOT bio AND NOT freebie AND NOT saloon
+        AND subName IS NOT NULL AND subName <> '' AND subName NOT IN {tuple(CFG.excluded_subs)}
+        AND epoch_us(TIMESTAMP '{CFG.data_end}') - epoch_us(created_at) >= 172800000000
+        AND title IS DISTINCT FROM '{CFG.deleted_title}'),
+tm AS (SELECT *, len(regexp_extract_all(COALESCE(text, ''), '{link}', 0)) AS nl,
+              len(list_filter(regexp_split_to_array(COALESCE(text, ''), '{WS_CLASS}+'), lambda x: x <> '')) AS nw,
+              url IS NOT NULL AND url <> '' AS il FROM s),
+q AS (SELECT *, (nw > 50 AND NOT il) OR (il AND nw > 50 AND nl > 0) AS hi_quality FROM tm),
+z AS (SELECT za.zap_time, za.sats, q.userId AS poster, q.hi_quality AS zhi FROM za JOIN q ON za.itemId = q.itemId),
+sc AS (SELECT subName, dense_rank() OVER (ORDER BY min((created_at, itemId))) - 1 AS subId FROM q GROUP BY 1),
+wc AS (SELECT wk, dense_rank() OVER (ORDER BY min((created_at, itemId))) - 1 AS weekId
+       FROM (SELECT *, CAST(created_at AS DATE) - CAST(dayofweek(created_at) AS INTEGER) AS wk FROM q) GROUP BY 1)
+SELECT q.itemId, q.hi_quality,
+  ROUND(COALESCE((SELECT SUM(sats) FROM z WHERE z.poster = q.userId AND z.zap_time < q.created_at), 0), 6) AS prior_zaps,
+  ROUND(COALESCE((SELECT SUM(sats) FROM z WHERE z.poster = q.userId AND z.zap_time < q.created_at AND z.zhi), 0), 6)
+    AS prior_zaps_from_hi_quality,
+  CAST((SELECT COUNT(*) FROM q q2 WHERE q2.userId = q.userId AND q2.created_at < q.created_at) AS DOUBLE) AS prior_posts,
+  CAST((SELECT COUNT(*) FROM q q2 WHERE q2.userId = q.userId AND q2.created_at < q.created_at AND q2.hi_quality)
+       AS DOUBLE) AS prior_hi_quality_posts,
+  CAST(sc.subId AS INTEGER) AS subId, CAST(wc.weekId AS INTEGER) AS weekId
+FROM q JOIN sc USING (subName) JOIN wc ON wc.wk = CAST(q.created_at AS DATE) - CAST(dayofweek(q.created_at) AS INTEGER)
+"""
+
+
+@register("dt18_v4v_sample", _v4v_sql())
 def dt18_v4v(spark, d):
     fo = Forum(spark, d)
     out = forum.v4v_sample(fo.posts(), fo.zaps(), CFG)
-    return out.select("itemId", "hi_quality", "prior_zaps", "prior_zaps_from_hi_quality", "prior_posts",
-                      "prior_hi_quality_posts", "subId", "weekId")
+    return out.select("itemId", "hi_quality", r6("prior_zaps").alias("prior_zaps"),
+                      r6("prior_zaps_from_hi_quality").alias("prior_zaps_from_hi_quality"), "prior_posts",
+                      "prior_hi_quality_posts", F.col("subId").cast("int").alias("subId"),
+                      F.col("weekId").cast("int").alias("weekId"))
 
 
 @register("dt19_exit_sample")
