@@ -352,12 +352,46 @@ def dt14_user_week_panel(spark, d):
                     F.col("weekId").cast("int").alias("weekId"))
 
 
-@register("dt15_post_quality_sample")
+def _dt15_sql():
+    from ..config import IMG_LINK_PATTERN
+    from ..functions.textfn import WS_CLASS
+    link = IMG_LINK_PATTERN.replace("'", "''")
+    blank = f"regexp_matches(COALESCE(text, ''), '^{WS_CLASS}*$')"
+    return f"""
+WITH {POSTS_SQL}, {TRANSFERS_SQL.replace(ITEM_SQL + ',', '')},
+s AS (SELECT * FROM posts WHERE invoiceActionState IS DISTINCT FROM 'FAILED' AND NOT bio AND NOT freebie AND NOT saloon
+        AND subName IS NOT NULL AND subName <> '' AND subName NOT IN {tuple(CFG.excluded_subs)}
+        AND epoch_us(TIMESTAMP '{CFG.data_end}') - epoch_us(created_at) >= 172800000000),
+ps AS (SELECT * REPLACE (date_trunc('second', created_at) AS created_at) FROM s),
+tr AS (SELECT subName, date_trunc('second', timeStamp) AS tts, max(userIdTo) AS subOwner FROM transfers GROUP BY 1, 2),
+po AS (SELECT ps.*, tr.subOwner FROM ps ASOF LEFT JOIN tr ON ps.subName = tr.subName AND ps.created_at >= tr.tts),
+k AS (SELECT *, CAST(created_at AS DATE) - CAST(dayofweek(created_at) AS INTEGER) AS week,
+             subName || '_' || CAST(subOwner AS VARCHAR) AS sub_subOwner
+      FROM po WHERE COALESCE(userId <> subOwner, false) AND cost > 0),
+dl AS (SELECT CAST(l_shipdate AS DATE) AS d, (max(l_extendedprice / l_quantity) + min(l_extendedprice / l_quantity)) / 2 AS mid
+       FROM lineitem GROUP BY 1),
+wp AS (SELECT d - CAST(dayofweek(d) AS INTEGER) AS week, AVG(mid) AS btc_price FROM dl GROUP BY 1),
+c1 AS (SELECT subName, dense_rank() OVER (ORDER BY min((created_at, itemId))) - 1 AS subId FROM k GROUP BY 1),
+c2 AS (SELECT week, dense_rank() OVER (ORDER BY min((created_at, itemId))) - 1 AS weekId FROM k GROUP BY 1),
+c3 AS (SELECT sub_subOwner, dense_rank() OVER (ORDER BY min((created_at, itemId))) - 1 AS sub_subOwner_id
+       FROM k GROUP BY 1)
+SELECT k.itemId, CAST(c1.subId AS INTEGER) AS subId, k.subOwner, CAST(c3.sub_subOwner_id AS INTEGER) AS sub_subOwner_id,
+       CAST(c2.weekId AS INTEGER) AS weekId, ROUND(wp.btc_price, 6) AS btc_price,
+       len(list_filter(regexp_split_to_array(COALESCE(text, ''), '{WS_CLASS}+'), lambda x: x <> '')) AS num_words,
+       len(regexp_extract_all(COALESCE(text, ''), '{link}', 0)) AS num_img_or_links,
+       url IS NOT NULL AND url <> '' AS is_link_post, (url IS NOT NULL AND url <> '') AND {blank} AS link_only
+FROM k JOIN c1 USING (subName) JOIN c2 USING (week) JOIN c3 USING (sub_subOwner) LEFT JOIN wp USING (week)
+"""
+
+
+@register("dt15_post_quality_sample", _dt15_sql())
 def dt15_quality(spark, d):
     fo = Forum(spark, d)
-    return forum.post_quality_sample(fo.posts(), fo.transfers(), fo.weekly_prices(), CFG).select(
-        "itemId", "subId", "subOwner", "sub_subOwner_id", "weekId", "btc_price", "num_words", "num_img_or_links",
-        "is_link_post", "link_only")
+    out = forum.post_quality_sample(fo.posts(), fo.transfers(), fo.weekly_prices(), CFG)
+    return out.select("itemId", F.col("subId").cast("int").alias("subId"), "subOwner",
+                      F.col("sub_subOwner_id").cast("int").alias("sub_subOwner_id"),
+                      F.col("weekId").cast("int").alias("weekId"), r6("btc_price").alias("btc_price"),
+                      "num_words", "num_img_or_links", "is_link_post", "link_only")
 
 
 @register("dt16_post_quantity_sample")
