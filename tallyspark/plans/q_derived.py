@@ -401,9 +401,20 @@ def dt16_quantity(spark, d):
     return forum.post_quantity_sample(pnl, fo.weekly_prices())
 
 
-@register("dt17_internal_digraph")
+@register("dt17_internal_digraph", rf"""
+WITH {ITEM_SQL},
+it0 AS (SELECT itemId, invoiceActionState,
+               CASE WHEN parentId IS NULL AND title = '1-URGENT'
+                    THEN COALESCE(text, '') || ' https://site.example/items/' || CAST(userId AS VARCHAR) ELSE text END AS text
+        FROM item),
+it AS (SELECT * FROM it0 WHERE invoiceActionState IS DISTINCT FROM 'FAILED' AND text IS NOT NULL AND length(text) > 0),
+l AS (SELECT itemId AS src,
+             CAST(unnest(regexp_extract_all(text, 'https://site\.example/items/(\d+)(?:[/?#][^\s]*)?', 1)) AS BIGINT) AS dst
+      FROM it)
+SELECT DISTINCT l.src, l.dst FROM l JOIN it ON it.itemId = l.dst WHERE l.src <> l.dst
+""")
 def dt17_digraph(spark, d):
-    """Items' texts hold links (built from order keys) to other items."""
+    """Items' texts hold links (built from user keys) to other items."""
     fo = Forum(spark, d)
     it = fo.item()
     it = it.withColumn("text", F.when(F.col("parentId").isNull() & (F.col("title") == "1-URGENT"),
@@ -452,19 +463,49 @@ def dt18_v4v(spark, d):
                       F.col("weekId").cast("int").alias("weekId"))
 
 
-@register("dt19_exit_sample")
-def dt19_exit(spark, d):
-    fo = Forum(spark, d)
-    return forum.exit_sample(_user_panel(spark, d), fo.weekly_prices(), fo.transfers(), CFG).select(
-        "userId", "week", "inactive", "became_inactive", "growth_1", "growth_4")
+PANEL_BASE_SQL = USER_PANEL_SQL + """,
+pnl AS (SELECT rl.*, codes.weekId FROM rl JOIN codes USING (week))"""
+STAFF = tuple(CFG.staff_ids)
 
 
-@register("dt20_adoption_sample")
+@register("dt19_exit_sample", f"""
+WITH RECURSIVE {PANEL_BASE_SQL}, {TRANSFERS_SQL.replace(ITEM_SQL + ',', '')},
+dl AS (SELECT CAST(l_shipdate AS DATE) AS d, (max(l_extendedprice / l_quantity) + min(l_extendedprice / l_quantity)) / 2 AS mid
+       FROM lineitem GROUP BY 1),
+wp AS (SELECT d - CAST(dayofweek(d) AS INTEGER) AS week, AVG(mid) AS btc_price FROM dl GROUP BY 1),
+g AS (SELECT week, ln(btc_price) - ln(lag(btc_price, 1) OVER (ORDER BY week)) AS growth_1,
+             ln(btc_price) - ln(lag(btc_price, 4) OVER (ORDER BY week)) AS growth_4 FROM wp),
+x AS (SELECT pnl.*, g.growth_1, g.growth_4, w >= 1 AND l >= 4 AS inactive, w = 1 AND l >= 4 AS became_inactive
+      FROM pnl LEFT JOIN g USING (week)
+      WHERE userId NOT IN {STAFF} AND userId <> {CFG.anon_id}
+        AND userId NOT IN (SELECT userIdTo FROM transfers WHERE userIdTo IS NOT NULL))
+SELECT userId, CAST(week AS TIMESTAMP) AS week, inactive, became_inactive, ROUND(growth_1, 6) AS growth_1,
+       ROUND(growth_4, 6) AS growth_4
+FROM x WHERE NOT inactive OR became_inactive
+""")
+def dt19_exit(spark, d):
+    fo = Forum(spark, d)
+    out = forum.exit_sample(_user_panel(spark, d), fo.weekly_prices(), fo.transfers(), CFG)
+    return out.select("userId", F.col("week").cast("timestamp").alias("week"), "inactive", "became_inactive",
+                      r6("growth_1").alias("growth_1"), r6("growth_4").alias("growth_4"))
+
+
+@register("dt20_adoption_sample", f"""
+WITH RECURSIVE {PANEL_BASE_SQL},
+u AS (SELECT userId, min(created_at) AS first_item_date FROM item
+      WHERE invoiceActionState IS DISTINCT FROM 'FAILED' GROUP BY 1),
+x AS (SELECT pnl.userId, pnl.week,
+             pnl.week >= DATE '1996-01-01' - CAST(dayofweek(DATE '1996-01-01') AS INTEGER) AS regime,
+             CAST(u.first_item_date AS DATE) - CAST(dayofweek(u.first_item_date) AS INTEGER) AS first_week
+      FROM pnl LEFT JOIN u USING (userId))
+SELECT userId, CAST(week AS TIMESTAMP) AS week, regime, COALESCE(week >= first_week, false) AS adopted
+FROM x WHERE userId NOT IN {STAFF} AND userId <> {CFG.anon_id} AND regime AND COALESCE(week <= first_week, false)
+""")
 def dt20_adoption(spark, d):
     fo = Forum(spark, d)
     u = forum.users(fo.item(), CFG)
-    return forum.adoption_sample(_user_panel(spark, d), u, "1996-01-01", "first_item_date", CFG).select(
-        "userId", "week", "regime", "adopted")
+    out = forum.adoption_sample(_user_panel(spark, d), u, "1996-01-01", "first_item_date", CFG)
+    return out.select("userId", F.col("week").cast("timestamp").alias("week"), "regime", "adopted")
 
 
 @register("dt22_event_study_sample")
