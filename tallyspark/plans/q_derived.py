@@ -516,10 +516,27 @@ def dt22_event_study(spark, d):
     return forum.event_study_sample(wk, "subName", "week", "fee", k=12)
 
 
-@register("dt24_fee_spells")
+@register("dt24_fee_spells", f"""
+WITH RECURSIVE {FEES_SQL},
+fe AS (SELECT subName, date AS t, out_fee AS fee FROM r),
+ch AS (SELECT *, COALESCE(fee <> lag(fee) OVER (PARTITION BY subName ORDER BY t), true) AS c FROM fe),
+sp AS (SELECT subName, t AS spell_start, fee AS spell_value,
+              COALESCE(lead(t) OVER (PARTITION BY subName ORDER BY t), TIMESTAMP '{CFG.data_end}') AS spell_end
+       FROM ch WHERE c),
+cnt AS (SELECT sp.subName, sp.spell_start, sp.spell_value, sp.spell_end, COUNT(p.itemId) AS n_posts
+        FROM sp LEFT JOIN posts p ON p.subName = sp.subName AND p.created_at >= sp.spell_start
+                                   AND p.created_at < sp.spell_end
+        GROUP BY 1, 2, 3, 4)
+SELECT subName, spell_start, ROUND(spell_value, 6) AS spell_value, spell_end, n_posts,
+       ROUND((epoch_us(spell_end) - epoch_us(spell_start)) / 86400000000.0, 6) AS days,
+       ROUND(n_posts / ((epoch_us(spell_end) - epoch_us(spell_start)) / 86400000000.0), 6) AS rate
+FROM cnt
+""")
 def dt24_fee_spells(spark, d):
     fo = Forum(spark, d)
-    return forum.fee_spells(fo.fees(), fo.posts(), F.lit(CFG.data_end).cast("timestamp"))
+    out = forum.fee_spells(fo.fees(), fo.posts(), F.lit(CFG.data_end).cast("timestamp"))
+    return out.select("subName", "spell_start", r6("spell_value").alias("spell_value"), "spell_end", "n_posts",
+                      r6("days").alias("days"), r6("rate").alias("rate"))
 
 
 @register("src6_materialize_roundtrip", f"""
