@@ -220,10 +220,55 @@ def dt7_fee_history(spark, d):
     return f.select("subName", F.col("date").cast("timestamp").alias("date"), r6("posting_fee").alias("posting_fee"))
 
 
-@register("dt8_territory_day_panel")
+CYCLES_SQL = f"""cb AS (SELECT lower(subName) AS subName, msats / 1000 AS sats, created_at AS billing_cycle_start
+       FROM subact WHERE type = 'BILLING'),
+cp AS (SELECT *, CASE WHEN billing_cycle_start < TIMESTAMP '{CFG.sub_cost_drop_date}' THEN
+        (CASE WHEN sats <= {CFG.sub_cost_monthly_pre} THEN 'MONTHLY' WHEN sats <= {CFG.sub_cost_yearly_pre}
+              THEN 'YEARLY' ELSE 'PERPETUAL' END)
+      WHEN billing_cycle_start > TIMESTAMP '{CFG.sub_cost_drop_date}' THEN
+        (CASE WHEN sats <= {CFG.sub_cost_monthly_post} THEN 'MONTHLY' WHEN sats <= {CFG.sub_cost_yearly_post}
+              THEN 'YEARLY' ELSE 'PERPETUAL' END) END AS period FROM cb),
+cycles AS (SELECT subName, billing_cycle_start,
+  CASE WHEN subName IN ('nation_3') THEN billing_cycle_start + INTERVAL 100 YEAR
+       WHEN period = 'MONTHLY' THEN billing_cycle_start + INTERVAL 1 MONTH + INTERVAL 5 DAY
+       WHEN period = 'YEARLY' THEN billing_cycle_start + INTERVAL 1 YEAR + INTERVAL 5 DAY
+       WHEN period = 'PERPETUAL' THEN billing_cycle_start + INTERVAL 100 YEAR END AS billing_cycle_end FROM cp)"""
+
+TDP_SQL = f"""{FEES_SQL}, {SUBACT_SQL}, {CYCLES_SQL},
+p2 AS (SELECT *, COALESCE(subName, '') AS sn FROM posts),
+fd AS (SELECT sn AS subName, CAST(min(created_at) AS DATE) AS fd FROM p2 GROUP BY 1),
+sk AS (SELECT fd.subName, CAST(g.d AS TIMESTAMP) AS dt
+       FROM fd, LATERAL generate_series(fd.fd, DATE '{CFG.data_end[:10]}', INTERVAL 1 DAY) g(d)
+       WHERE CAST(g.d AS DATE) >= DATE '{CFG.data_start[:10]}'),
+cyc AS (SELECT COALESCE(subName, '') AS subName, CAST(CAST(billing_cycle_start AS DATE) AS TIMESTAMP) AS ct,
+               max(CAST(billing_cycle_end AS DATE)) AS ce FROM cycles GROUP BY 1, 2),
+a1 AS (SELECT sk.*, cyc.ce FROM sk ASOF LEFT JOIN cyc ON sk.subName = cyc.subName AND sk.dt >= cyc.ct),
+np AS (SELECT sn AS subName, CAST(CAST(created_at AS DATE) AS TIMESTAMP) AS dt, COUNT(itemId) AS n_posts FROM p2
+       WHERE invoiceActionState IS DISTINCT FROM 'FAILED' GROUP BY 1, 2),
+a2 AS (SELECT a1.*, COALESCE(np.n_posts, 0) AS n_posts FROM a1 LEFT JOIN np USING (subName, dt)),
+a3 AS (SELECT * FROM a2 WHERE NOT (COALESCE(CAST(dt AS DATE) > ce, false) AND n_posts = 0) AND subName <> ''),
+a4 AS (SELECT * FROM a3 WHERE subName IN (SELECT subName FROM a3 GROUP BY 1 HAVING SUM(n_posts) > 0)),
+fe AS (SELECT subName, date AS ft, out_fee AS posting_fee FROM r),
+a5 AS (SELECT a4.*, fe.posting_fee FROM a4 ASOF LEFT JOIN fe ON a4.subName = fe.subName AND a4.dt >= fe.ft),
+a6 AS (SELECT * REPLACE (first_value(posting_fee IGNORE NULLS) OVER (PARTITION BY subName ORDER BY dt
+         ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS posting_fee) FROM a5),
+a7 AS (SELECT * FROM a6 WHERE posting_fee IS NOT NULL),
+tr2 AS (SELECT subName, date_trunc('second', timeStamp) AS tts, max(userIdTo) AS subOwner FROM transfers GROUP BY 1, 2),
+a8 AS (SELECT a7.*, tr2.subOwner FROM a7 ASOF LEFT JOIN tr2 ON a7.subName = tr2.subName AND a7.dt >= tr2.tts),
+tdp AS (SELECT subName, dt AS date, n_posts, posting_fee,
+               first_value(subOwner IGNORE NULLS) OVER (PARTITION BY subName ORDER BY dt
+                 ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS subOwner FROM a8)"""
+
+
+@register("dt8_territory_day_panel", f"""
+WITH RECURSIVE {TDP_SQL}
+SELECT subName, date, n_posts, ROUND(posting_fee, 6) AS posting_fee, CAST(subOwner AS DOUBLE) AS subOwner FROM tdp
+""")
 def dt8_panel(spark, d):
     fo = Forum(spark, d)
-    return forum.territory_day_panel(fo.fees(), fo.posts(), fo.cycles(), fo.transfers(), CFG)
+    t = forum.territory_day_panel(fo.fees(), fo.posts(), fo.cycles(), fo.transfers(), CFG)
+    return t.select("subName", F.col("date").cast("timestamp").alias("date"), "n_posts",
+                    r6("posting_fee").alias("posting_fee"), F.col("subOwner").cast("double").alias("subOwner"))
 
 
 @register("dt9_zaps_table", f"""
