@@ -274,8 +274,11 @@ def post_quality_sample(posts_df: DataFrame, transfers: DataFrame, weekly_prices
 
 def post_quantity_sample(panel_df: DataFrame, weekly_prices: DataFrame) -> DataFrame:
     """DT16 (subName, week, subOwner): weekly posts and mean fee with codes."""
+    # fees are sats with at most 6 decimals: the mean is an exact decimal sum over a count
+    fee = F.col("posting_fee").cast("decimal(24,6)")
     d = (panel_df.groupBy("subName", tf.as_week("date").alias("week"), "subOwner")
-         .agg(F.sum("n_posts").alias("n_posts"), F.avg("posting_fee").alias("posting_fee")))
+         .agg(F.sum("n_posts").alias("n_posts"),
+              (F.sum(fee).cast("double") / F.count(fee)).alias("posting_fee")))
     d = d.join(weekly_prices, "week", "left")
     order = ["subName", "week", "subOwner"]
     d = factorize(d, "subName", order, "subId")

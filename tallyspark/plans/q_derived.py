@@ -439,11 +439,35 @@ def dt15_quality(spark, d):
                       "num_words", "num_img_or_links", "is_link_post", "link_only")
 
 
-@register("dt16_post_quantity_sample")
+@register("dt16_post_quantity_sample", f"""
+WITH RECURSIVE {TDP_SQL},
+q AS (SELECT subName, CAST(date AS DATE) - CAST(dayofweek(date) AS INTEGER) AS week, subOwner,
+             SUM(n_posts) AS n_posts,
+             CAST(SUM(CAST(posting_fee AS DECIMAL(24, 6))) AS DOUBLE) / COUNT(posting_fee) AS posting_fee
+      FROM tdp GROUP BY 1, 2, 3),
+dl AS (SELECT CAST(l_shipdate AS DATE) AS d, (max(l_extendedprice / l_quantity) + min(l_extendedprice / l_quantity)) / 2 AS mid
+       FROM lineitem GROUP BY 1),
+wp AS (SELECT d - CAST(dayofweek(d) AS INTEGER) AS week, AVG(mid) AS btc_price FROM dl GROUP BY 1),
+k AS (SELECT q.*, wp.btc_price, subName || '_' || CAST(subOwner AS VARCHAR) AS sub_subOwner FROM q LEFT JOIN wp USING (week)),
+c1 AS (SELECT subName, dense_rank() OVER (ORDER BY min((subName, week, subOwner))) - 1 AS subId FROM k GROUP BY 1),
+c2 AS (SELECT week, dense_rank() OVER (ORDER BY min((subName, week, subOwner))) - 1 AS weekId FROM k GROUP BY 1),
+c3 AS (SELECT sub_subOwner, dense_rank() OVER (ORDER BY min((subName, week, subOwner))) - 1 AS sub_subOwner_id
+       FROM k GROUP BY 1)
+SELECT k.subName, CAST(k.week AS TIMESTAMP) AS week, CAST(k.subOwner AS DOUBLE) AS subOwner,
+       CAST(k.n_posts AS BIGINT) AS n_posts, ROUND(k.posting_fee, 6) AS posting_fee, ROUND(k.btc_price, 6) AS btc_price,
+       CAST(c1.subId AS INTEGER) AS subId, CAST(c2.weekId AS INTEGER) AS weekId,
+       CAST(c3.sub_subOwner_id AS INTEGER) AS sub_subOwner_id
+FROM k JOIN c1 USING (subName) JOIN c2 USING (week) JOIN c3 USING (sub_subOwner)
+""")
 def dt16_quantity(spark, d):
     fo = Forum(spark, d)
     pnl = forum.territory_day_panel(fo.fees(), fo.posts(), fo.cycles(), fo.transfers(), CFG)
-    return forum.post_quantity_sample(pnl, fo.weekly_prices())
+    q = forum.post_quantity_sample(pnl, fo.weekly_prices())
+    return q.select("subName", F.col("week").cast("timestamp").alias("week"),
+                    F.col("subOwner").cast("double").alias("subOwner"), F.col("n_posts").cast("bigint").alias("n_posts"),
+                    r6("posting_fee").alias("posting_fee"), r6("btc_price").alias("btc_price"),
+                    F.col("subId").cast("int").alias("subId"), F.col("weekId").cast("int").alias("weekId"),
+                    F.col("sub_subOwner_id").cast("int").alias("sub_subOwner_id"))
 
 
 @register("dt17_internal_digraph", rf"""
