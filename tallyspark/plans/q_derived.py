@@ -577,12 +577,78 @@ def dt20_adoption(spark, d):
     return out.select("userId", F.col("week").cast("timestamp").alias("week"), "regime", "adopted")
 
 
-@register("dt22_event_study_sample")
+DT22_SHIFTS = [f"{p}_{kind}{i}" for p in ("up", "down") for kind in ("lag", "lead") for i in range(1, 13)]
+
+
+@register("dt22_event_study_sample", f"""
+WITH RECURSIVE {TDP_SQL},
+wk AS (SELECT subName, CAST(date AS DATE) - CAST(dayofweek(date) AS INTEGER) AS week,
+              CAST(SUM(CAST(posting_fee AS DECIMAL(24, 6))) AS DOUBLE) / COUNT(posting_fee) AS fee FROM tdp GROUP BY 1, 2),
+d1 AS (SELECT *, fee - lag(fee) OVER (PARTITION BY subName ORDER BY week) AS d FROM wk),
+d2 AS (SELECT *, COALESCE(d > 0, false) AS d_up, COALESCE(d < 0, false) AS d_down FROM d1),
+fl AS (SELECT week, max(CAST(d_up AS INTEGER)) AS any_up, max(CAST(d_down AS INTEGER)) AS any_down FROM d2 GROUP BY 1),
+x AS (SELECT d2.*, fl.any_up, fl.any_down FROM d2 LEFT JOIN fl USING (week))
+SELECT subName, CAST(week AS TIMESTAMP) AS week, ROUND(fee, 6) AS fee, ROUND(d, 6) AS d, d_up, d_down, any_up, any_down,
+  CAST(lag(CAST(d_up AS INTEGER), 1) OVER w AS DOUBLE) AS up_lag1,
+  CAST(lag(CAST(d_up AS INTEGER), 2) OVER w AS DOUBLE) AS up_lag2,
+  CAST(lag(CAST(d_up AS INTEGER), 3) OVER w AS DOUBLE) AS up_lag3,
+  CAST(lag(CAST(d_up AS INTEGER), 4) OVER w AS DOUBLE) AS up_lag4,
+  CAST(lag(CAST(d_up AS INTEGER), 5) OVER w AS DOUBLE) AS up_lag5,
+  CAST(lag(CAST(d_up AS INTEGER), 6) OVER w AS DOUBLE) AS up_lag6,
+  CAST(lag(CAST(d_up AS INTEGER), 7) OVER w AS DOUBLE) AS up_lag7,
+  CAST(lag(CAST(d_up AS INTEGER), 8) OVER w AS DOUBLE) AS up_lag8,
+  CAST(lag(CAST(d_up AS INTEGER), 9) OVER w AS DOUBLE) AS up_lag9,
+  CAST(lag(CAST(d_up AS INTEGER), 10) OVER w AS DOUBLE) AS up_lag10,
+  CAST(lag(CAST(d_up AS INTEGER), 11) OVER w AS DOUBLE) AS up_lag11,
+  CAST(lag(CAST(d_up AS INTEGER), 12) OVER w AS DOUBLE) AS up_lag12,
+  CAST(lead(CAST(d_up AS INTEGER), 1) OVER w AS DOUBLE) AS up_lead1,
+  CAST(lead(CAST(d_up AS INTEGER), 2) OVER w AS DOUBLE) AS up_lead2,
+  CAST(lead(CAST(d_up AS INTEGER), 3) OVER w AS DOUBLE) AS up_lead3,
+  CAST(lead(CAST(d_up AS INTEGER), 4) OVER w AS DOUBLE) AS up_lead4,
+  CAST(lead(CAST(d_up AS INTEGER), 5) OVER w AS DOUBLE) AS up_lead5,
+  CAST(lead(CAST(d_up AS INTEGER), 6) OVER w AS DOUBLE) AS up_lead6,
+  CAST(lead(CAST(d_up AS INTEGER), 7) OVER w AS DOUBLE) AS up_lead7,
+  CAST(lead(CAST(d_up AS INTEGER), 8) OVER w AS DOUBLE) AS up_lead8,
+  CAST(lead(CAST(d_up AS INTEGER), 9) OVER w AS DOUBLE) AS up_lead9,
+  CAST(lead(CAST(d_up AS INTEGER), 10) OVER w AS DOUBLE) AS up_lead10,
+  CAST(lead(CAST(d_up AS INTEGER), 11) OVER w AS DOUBLE) AS up_lead11,
+  CAST(lead(CAST(d_up AS INTEGER), 12) OVER w AS DOUBLE) AS up_lead12,
+  CAST(lag(CAST(d_down AS INTEGER), 1) OVER w AS DOUBLE) AS down_lag1,
+  CAST(lag(CAST(d_down AS INTEGER), 2) OVER w AS DOUBLE) AS down_lag2,
+  CAST(lag(CAST(d_down AS INTEGER), 3) OVER w AS DOUBLE) AS down_lag3,
+  CAST(lag(CAST(d_down AS INTEGER), 4) OVER w AS DOUBLE) AS down_lag4,
+  CAST(lag(CAST(d_down AS INTEGER), 5) OVER w AS DOUBLE) AS down_lag5,
+  CAST(lag(CAST(d_down AS INTEGER), 6) OVER w AS DOUBLE) AS down_lag6,
+  CAST(lag(CAST(d_down AS INTEGER), 7) OVER w AS DOUBLE) AS down_lag7,
+  CAST(lag(CAST(d_down AS INTEGER), 8) OVER w AS DOUBLE) AS down_lag8,
+  CAST(lag(CAST(d_down AS INTEGER), 9) OVER w AS DOUBLE) AS down_lag9,
+  CAST(lag(CAST(d_down AS INTEGER), 10) OVER w AS DOUBLE) AS down_lag10,
+  CAST(lag(CAST(d_down AS INTEGER), 11) OVER w AS DOUBLE) AS down_lag11,
+  CAST(lag(CAST(d_down AS INTEGER), 12) OVER w AS DOUBLE) AS down_lag12,
+  CAST(lead(CAST(d_down AS INTEGER), 1) OVER w AS DOUBLE) AS down_lead1,
+  CAST(lead(CAST(d_down AS INTEGER), 2) OVER w AS DOUBLE) AS down_lead2,
+  CAST(lead(CAST(d_down AS INTEGER), 3) OVER w AS DOUBLE) AS down_lead3,
+  CAST(lead(CAST(d_down AS INTEGER), 4) OVER w AS DOUBLE) AS down_lead4,
+  CAST(lead(CAST(d_down AS INTEGER), 5) OVER w AS DOUBLE) AS down_lead5,
+  CAST(lead(CAST(d_down AS INTEGER), 6) OVER w AS DOUBLE) AS down_lead6,
+  CAST(lead(CAST(d_down AS INTEGER), 7) OVER w AS DOUBLE) AS down_lead7,
+  CAST(lead(CAST(d_down AS INTEGER), 8) OVER w AS DOUBLE) AS down_lead8,
+  CAST(lead(CAST(d_down AS INTEGER), 9) OVER w AS DOUBLE) AS down_lead9,
+  CAST(lead(CAST(d_down AS INTEGER), 10) OVER w AS DOUBLE) AS down_lead10,
+  CAST(lead(CAST(d_down AS INTEGER), 11) OVER w AS DOUBLE) AS down_lead11,
+  CAST(lead(CAST(d_down AS INTEGER), 12) OVER w AS DOUBLE) AS down_lead12
+FROM x WINDOW w AS (PARTITION BY subName ORDER BY week)
+""")
 def dt22_event_study(spark, d):
     fo = Forum(spark, d)
     pnl = forum.territory_day_panel(fo.fees(), fo.posts(), fo.cycles(), fo.transfers(), CFG)
-    wk = pnl.groupBy("subName", tf.as_week("date").alias("week")).agg(F.avg("posting_fee").alias("fee"))
-    return forum.event_study_sample(wk, "subName", "week", "fee", k=12)
+    fee = F.col("posting_fee").cast("decimal(24,6)")
+    wk = pnl.groupBy("subName", tf.as_week("date").alias("week")).agg(
+        (F.sum(fee).cast("double") / F.count(fee)).alias("fee"))
+    out = forum.event_study_sample(wk, "subName", "week", "fee", k=12)
+    return out.select("subName", F.col("week").cast("timestamp").alias("week"), r6("fee").alias("fee"),
+                      r6("d").alias("d"), "d_up", "d_down", "any_up", "any_down",
+                      *[F.col(c).cast("int").cast("double").alias(c) for c in DT22_SHIFTS])
 
 
 @register("dt24_fee_spells", f"""
