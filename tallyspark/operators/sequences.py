@@ -146,20 +146,31 @@ def cumulative_count(df: DataFrame, period: Column, out: str = "cumulative") ->
 
 
 def sequence_number(df: DataFrame, user: str, time: str, tiebreak: str) -> DataFrame:
-    """WN15: 0-based post number per user and days since the user's first post."""
-    w = Window.partitionBy(user).orderBy(time, tiebreak)
-    first = F.min(time).over(Window.partitionBy(user))
-    return (df.withColumn("experience_posts", F.row_number().over(w) - 1)
-            .withColumn("experience_days", (F.unix_micros(F.col(time)) - F.unix_micros(first)) / 86_400_000_000.0))
+    """WN15: 0-based post number per user and days since the user's first post.
+
+    The position is a two-level prefix count over (user, day) buckets and the
+    first time a grouped minimum, so a hot user is not one task.
+    """
+    d = scan.prefix_sums(df, [user], time, {"experience_posts": F.lit(1.0)}, strict=False, tiebreak=[tiebreak])
+    first = df.groupBy(user).agg(F.min(time).alias("__first"))
+    d = d.join(first, user)
+    return (d.withColumn("experience_posts", F.col("experience_posts").cast("int"))
+            .withColumn("experience_days", (F.unix_micros(F.col(time)) - F.unix_micros("__first")) / 86_400_000_000.0)
+            .drop("__first"))
 
 
 def lagged_running(df: DataFrame, user: str, order: list[str], col: str) -> DataFrame:
-    """WN17: running mean and sum of logs over earlier rows, and the lagged row number."""
-    w = Window.partitionBy(user).orderBy(*order)
-    prior = w.rowsBetween(U, -1)
-    return (df.withColumn(f"prior_mean_{col}", F.avg(col).over(prior))
-            .withColumn(f"prior_logsum_{col}", F.sum(F.log1p(col)).over(prior))
-            .withColumn("prior_n", F.row_number().over(w) - 1))
+    """WN17: running mean and sum of logs over the user's earlier rows, and the lagged row number
+    (two-level prefix sums; NULL mean and log sum before the first row, as an empty window gives)."""
+    time, tiebreak = order[0], order[1:]
+    present = F.col(col).isNotNull().cast("double")
+    d = scan.prefix_sums(df, [user], time, {"__n": F.lit(1.0), "__c": present, "__s": F.col(col),
+                                            "__l": F.log1p(col)}, strict=False, tiebreak=tiebreak)
+    has = F.col("__c") > 0
+    return (d.withColumn(f"prior_mean_{col}", F.when(has, F.col("__s") / F.col("__c")))
+            .withColumn(f"prior_logsum_{col}", F.when(has, F.col("__l")))
+            .withColumn("prior_n", F.col("__n").cast("int"))
+            .drop("__n", "__c", "__s", "__l"))
 
 
 def prior_category_means(df: DataFrame, user: str, time: str, tiebreak: str, cat: str, y: str,
