@@ -114,11 +114,25 @@ def first_difference(df: DataFrame, by: list[str], order: list[str], col: str, o
             .withColumn(out + "_down", F.coalesce(F.col(out) < 0, F.lit(False))))
 
 
-def count_changes(df: DataFrame, by: list[str], order: list[str], col: str, out: str = "n_changes") -> DataFrame:
-    """WN12: number of value changes within each key."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    ch = F.coalesce(F.col(col) != F.lag(col).over(w), F.lit(False)).cast("int")
-    return df.withColumn("__ch", ch).groupBy(*by).agg(F.sum("__ch").alias(out))
+def count_changes(df: DataFrame, by: list[str], order: list[str], col: str, out: str = "n_changes",
+                  bucket_us: int = scan.DAY_US) -> DataFrame:
+    """WN12: number of value changes within each key, in (time, tie-break) order.
+
+    Two-level: the previous value inside a (key, day) bucket comes from a
+    window over that bucket; the first row of a bucket compares with the last
+    value of the key's previous non-empty bucket (a per-bucket summary).
+    """
+    time, tiebreak = order[0], order[1:]
+    d = (df.withColumn("__t", F.unix_micros(F.col(time)))
+         .withColumn("__b", F.floor(F.col("__t") / F.lit(bucket_us))))
+    w = Window.partitionBy(*by, "__b").orderBy("__t", *tiebreak)
+    d = d.withColumn("__prev_in", F.lag(col).over(w)).withColumn("__rn", F.row_number().over(w))
+    summ = d.groupBy(*by, "__b").agg(F.max_by(col, F.struct("__t", *tiebreak)).alias("__last"))
+    summ = summ.withColumn("__prev_b", F.lag("__last").over(Window.partitionBy(*by).orderBy("__b")))
+    d = d.join(summ.select(*by, "__b", "__prev_b"), by + ["__b"])
+    prev = F.when(F.col("__rn") == 1, F.col("__prev_b")).otherwise(F.col("__prev_in"))
+    ch = F.coalesce(F.col(col) != prev, F.lit(False)).cast("int")
+    return d.withColumn("__ch", ch).groupBy(*by).agg(F.sum("__ch").alias(out))
 
 
 def constant_spells(df: DataFrame, by: list[str], time: str, col: str, data_end: Column) -> DataFrame:
