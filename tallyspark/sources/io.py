@@ -9,18 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(p) and fs.exists(jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS"))
-
-
 def dump_tables(spark: SparkSession, url: str, tables: dict[str, dict], out_dir: str,
                 properties: dict | None = None) -> dict[str, int]:
     """SRC1: copy database tables to parquet.  ``tables`` maps name -> options
@@ -67,9 +61,16 @@ def materialize(spark: SparkSession, path: str, build: Callable[[], DataFrame],
     """SRC6: read the cached table at ``path``, or build, write and read it back.
 
     The read-back cuts the lineage: later plans start from the parquet scan.
+    A missing or unreadable cache is rebuilt.
     """
-    if overwrite or not _exists(spark, path):
-        build().write.mode("overwrite").parquet(path)
+    if not overwrite:
+        try:
+            cached = spark.read.parquet(path)
+            cached.schema  # noqa: B018  (forces the footer read)
+            return cached
+        except AnalysisException:
+            pass
+    build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
@@ -115,10 +116,13 @@ def store_lookup(store: DataFrame, keys: DataFrame, key: str = "text_hash") -> t
 
 
 def store_upsert(store: DataFrame, new: DataFrame, key: str = "text_hash", ts: str = "last_updated_at") -> DataFrame:
-    """SRC8 overwrite: union, keep the latest row per key (last write wins)."""
+    """SRC8 overwrite: union, keep the latest row per key (last write wins).
+
+    A grouped ``max_by`` (partial aggregation), so a key written many times is
+    reduced in every task before the shuffle."""
     u = store.unionByName(new, allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy(F.col(ts).desc_nulls_last())
-    return u.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") == 1).drop("__rn")
+    latest = F.struct(F.col(ts).isNotNull(), F.col(ts))
+    return u.groupBy(key).agg(F.max_by(F.struct(*[F.col(c) for c in u.columns]), latest).alias("__r")).select("__r.*")
 
 
 def metrics_upsert(current: DataFrame, updates: DataFrame) -> DataFrame:
