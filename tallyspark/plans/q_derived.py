@@ -651,6 +651,45 @@ def dt22_event_study(spark, d):
                       *[F.col(c).cast("int").cast("double").alias(c) for c in DT22_SHIFTS])
 
 
+def _dt23_sql():
+    from ..config import IMG_LINK_PATTERN
+    from ..functions.textfn import WS_CLASS
+    link = IMG_LINK_PATTERN.replace("'", "''")
+    return rf"""
+WITH {POSTS_SQL},
+it0 AS (SELECT itemId, invoiceActionState,
+               CASE WHEN parentId IS NULL AND title = '1-URGENT'
+                    THEN COALESCE(text, '') || ' https://site.example/items/' || CAST(userId AS VARCHAR) ELSE text END AS text
+        FROM item),
+itl AS (SELECT * FROM it0 WHERE invoiceActionState IS DISTINCT FROM 'FAILED' AND text IS NOT NULL AND length(text) > 0),
+l AS (SELECT itemId AS src,
+             CAST(unnest(regexp_extract_all(text, 'https://site\.example/items/(\d+)(?:[/?#][^\s]*)?', 1)) AS BIGINT) AS dst
+      FROM itl),
+edges AS (SELECT DISTINCT l.src, l.dst FROM l JOIN itl ON itl.itemId = l.dst WHERE l.src <> l.dst),
+s AS (SELECT * FROM posts WHERE invoiceActionState IS DISTINCT FROM 'FAILED' AND NOT bio AND NOT freebie AND NOT saloon
+        AND subName IS NOT NULL AND subName <> '' AND subName NOT IN {tuple(CFG.excluded_subs)}
+        AND epoch_us(TIMESTAMP '{CFG.data_end}') - epoch_us(created_at) >= 172800000000)
+SELECT s.itemId, COALESCE(i.n, 0) AS in_degree, COALESCE(o.n, 0) AS out_degree,
+       len(list_filter(regexp_split_to_array(COALESCE(text, ''), '{WS_CLASS}+'), lambda x: x <> '')) AS num_words,
+       len(regexp_extract_all(COALESCE(text, ''), '{link}', 0)) AS num_img_or_links
+FROM s LEFT JOIN (SELECT dst, COUNT(*) AS n FROM edges GROUP BY 1) i ON s.itemId = i.dst
+LEFT JOIN (SELECT src, COUNT(*) AS n FROM edges GROUP BY 1) o ON s.itemId = o.src
+"""
+
+
+@register("dt23_degree_enriched_posts", _dt23_sql())
+def dt23_degree_posts(spark, d):
+    """GR1 degrees of the internal link graph, zero-filled onto the analysis sample, with text metrics."""
+    from ..functions import predicates as prd
+    from ..operators import graph
+    fo = Forum(spark, d)
+    e = dt17_digraph(spark, d)
+    p = fo.posts().where(prd.analysis_sample(CFG))
+    p = forum.text_metrics(p)
+    out = graph.degrees(e, p.select(F.col("itemId"), "num_words", "num_img_or_links"), "itemId")
+    return out.select("itemId", "in_degree", "out_degree", "num_words", "num_img_or_links")
+
+
 @register("dt24_fee_spells", f"""
 WITH RECURSIVE {FEES_SQL},
 fe AS (SELECT subName, date AS t, out_fee AS fee FROM r),
