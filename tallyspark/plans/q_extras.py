@@ -184,3 +184,21 @@ def ag27_importance_groups(spark, d):
                                     ("importance_is_en", "language")], "metric string, feature_group string")
     return (m.join(F.broadcast(groups), "metric").groupBy("feature_group")
             .agg(F.sum("value").alias("importance")))
+
+
+@register("src4_weekly_csv_roundtrip", """
+SELECT CAST(CAST(ts AS DATE) - CAST(dayofweek(ts) AS INTEGER) AS TIMESTAMP) AS week_start,
+       CAST(COUNT(*) AS INTEGER) AS searches
+FROM events WHERE event_type = 'view' GROUP BY 1
+""")
+def src4_weekly_csv(spark, d):
+    """A weekly series written as CSV (SRC5) and read back with its week start parsed as UTC (SRC4)."""
+    from pyspark.sql import types as T
+    e = Tables(spark, d).events.where(F.col("event_type") == "view")
+    wk = e.groupBy(tf.as_week("ts").alias("week_start")).agg(F.count(F.lit(1)).cast("int").alias("searches"))
+    path = scratch(spark, "weekly-csv")
+    io.write_table(wk.select(F.date_format("week_start", "yyyy-MM-dd").alias("week_start"), "searches"), path,
+                   fmt="csv")
+    schema = T.StructType([T.StructField("week_start", T.StringType()), T.StructField("searches", T.IntegerType())])
+    back = io.read_delimited(spark, path, schema, sep=",", timestamp_cols=("week_start",), fmt="yyyy-MM-dd")
+    return back.select("week_start", "searches")
