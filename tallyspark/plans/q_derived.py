@@ -260,6 +260,23 @@ tdp AS (SELECT subName, dt AS date, n_posts, posting_fee,
                  ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS subOwner FROM a8)"""
 
 
+@register("prj7_fee_eligible_posts", f"""
+WITH RECURSIVE {FEES_SQL}
+SELECT itemId, subName, ROUND(cost, 6) AS cost FROM po
+WHERE invoiceActionState IS DISTINCT FROM 'FAILED' AND NOT bio AND NOT freebie AND NOT saloon AND cost > 0
+  AND NOT COALESCE(userId = subOwner, false) AND cost_modifier = 0 AND n_uploads = 0
+  AND itemId NOT IN {tuple(CFG.perennial_item_ids)} AND userId <> {CFG.spammer_id} AND userId <> {CFG.anon_id}
+  AND NOT hasImageOrLink
+""")
+def prj7_fee_eligible(spark, d):
+    """The 12-conjunct fee-eligibility predicate on posts with their owner at post time."""
+    from ..functions import predicates as prd
+    fo = Forum(spark, d)
+    p = forum.find_subowner(fo.posts(), fo.transfers())
+    p = p.withColumn("user_is_subOwner", F.coalesce(F.col("userId") == F.col("subOwner"), F.lit(False)))
+    return p.where(prd.fee_eligible(CFG)).select("itemId", "subName", r6("cost").alias("cost"))
+
+
 @register("dt8_territory_day_panel", f"""
 WITH RECURSIVE {TDP_SQL}
 SELECT subName, date, n_posts, ROUND(posting_fee, 6) AS posting_fee, CAST(subOwner AS DOUBLE) AS subOwner FROM tdp
