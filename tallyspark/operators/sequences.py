@@ -135,14 +135,35 @@ def count_changes(df: DataFrame, by: list[str], order: list[str], col: str, out:
     return d.withColumn("__ch", ch).groupBy(*by).agg(F.sum("__ch").alias(out))
 
 
-def constant_spells(df: DataFrame, by: list[str], time: str, col: str, data_end: Column) -> DataFrame:
-    """WN13: runs of a constant value: start, value, end = next run's start or the data end."""
-    w = Window.partitionBy(*by).orderBy(time)
-    ch = F.coalesce(F.col(col) != F.lag(col).over(w), F.lit(True))
-    starts = (df.withColumn("__ch", ch).where(F.col("__ch"))
-              .select(*by, F.col(time).alias("spell_start"), F.col(col).alias("spell_value")))
-    ws = Window.partitionBy(*by).orderBy("spell_start")
-    return starts.withColumn("spell_end", F.coalesce(F.lead("spell_start").over(ws), data_end))
+def constant_spells(df: DataFrame, by: list[str], time: str, col: str, data_end: Column,
+                    tiebreak: list[str] | None = None, bucket_us: int = scan.DAY_US) -> DataFrame:
+    """WN13: runs of a constant value: start, value, end = next run's start or the data end.
+
+    Two-level, like :func:`count_changes`: the previous value and the next run
+    start cross (key, day) bucket edges through per-bucket summaries, so a key
+    with a third of the rows is still spread over its days.
+    """
+    tb = tiebreak or []
+    d = (df.withColumn("__cs_t", F.unix_micros(F.col(time)))
+         .withColumn("__cs_b", F.floor(F.col("__cs_t") / F.lit(bucket_us))))
+    part = by + ["__cs_b"]
+    w = Window.partitionBy(*part).orderBy("__cs_t", *tb)
+    wb = Window.partitionBy(*by).orderBy("__cs_b")
+    d = d.withColumn("__prev_in", F.lag(col).over(w)).withColumn("__rn", F.row_number().over(w))
+    summ = d.groupBy(*part).agg(F.max_by(col, F.struct("__cs_t", *tb)).alias("__last"))
+    summ = summ.withColumn("__prev_b", F.lag("__last").over(wb))
+    d = d.join(summ.select(*part, "__prev_b"), part)
+    prev = F.when(F.col("__rn") == 1, F.col("__prev_b")).otherwise(F.col("__prev_in"))
+    starts = (d.withColumn("__ch", F.coalesce(F.col(col) != prev, F.lit(True)))
+              .where(F.col("__ch"))
+              .select(*by, "__cs_b", "__cs_t", *tb, F.col(time).alias("spell_start"), F.col(col).alias("spell_value")))
+    ws = Window.partitionBy(*part).orderBy("__cs_t", *tb)
+    starts = starts.withColumn("__next_in", F.lead("spell_start").over(ws))
+    firsts = starts.groupBy(*part).agg(F.min_by("spell_start", F.struct("__cs_t", *tb)).alias("__first"))
+    firsts = firsts.withColumn("__next_b", F.lead("__first").over(wb))
+    out = starts.join(firsts.select(*part, "__next_b"), part)
+    return out.select(*by, "spell_start", "spell_value",
+                      F.coalesce("__next_in", "__next_b", data_end).alias("spell_end"))
 
 
 def growth(df: DataFrame, order: str, col: str, lags: tuple = (1, 4, 8, 52)) -> DataFrame:

@@ -224,13 +224,9 @@ GROUP BY 1, 2, 3, 4
 def wn13_constant_spells(spark, d):
     from ..operators import intervals
     e = Tables(spark, d).events
-    end = e.agg(F.max("ts").alias("__end"))
-    x = e.crossJoin(F.broadcast(end))
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    ch = F.coalesce(F.col("event_type") != F.lag("event_type").over(w), F.lit(True))
-    s = (x.withColumn("__ch", ch).where("__ch")
-         .select("user_id", F.col("ts").alias("spell_start"), F.col("event_type").alias("spell_value"),
-                 F.coalesce(F.lead("ts").over(w), F.col("__end")).alias("spell_end")))
+    end = e.agg(F.max("ts").alias("__end"))  # one row
+    s = sq.constant_spells(e, ["user_id"], "ts", "event_type", F.lit(None).cast("timestamp"), tiebreak=["event_id"])
+    s = s.crossJoin(F.broadcast(end)).withColumn("spell_end", F.coalesce("spell_end", "__end")).drop("__end")
     cnt = intervals.count_in_contiguous_spells(s, e.select("user_id", "ts", "event_id"), ["user_id"],
                                                "spell_start", "spell_end", "ts", "n_events")
     return cnt.select("user_id", "spell_start", "spell_value", "spell_end",
