@@ -9,7 +9,6 @@ events are user acts (signup = ownership change, purchase = billing).
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import timefn as tf
@@ -170,12 +169,14 @@ FROM s LEFT JOIN events e ON e.user_id = s.user_id AND e.event_type = 'purchase'
 GROUP BY 1, 2, 3
 """)
 def jn7_interval_count(spark, d):
+    from ..operators import sequences as sq
     e = Tables(spark, d).events
-    end = e.agg(F.max("ts").alias("__end"))
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    spells = (e.where(F.col("event_type") == "signup").crossJoin(F.broadcast(end))
-              .select("user_id", F.col("ts").alias("spell_start"),
-                      F.coalesce(F.lead("ts").over(w), F.col("__end")).alias("spell_end")))
+    end = e.agg(F.max("ts").alias("__end"))  # one row
+    # every signup starts a spell (its id never repeats); the next start ends it (two-level scan)
+    starts = sq.constant_spells(e.where(F.col("event_type") == "signup"), ["user_id"], "ts", "event_id",
+                                F.lit(None).cast("timestamp"), tiebreak=["event_id"])
+    spells = (starts.crossJoin(F.broadcast(end))
+              .select("user_id", "spell_start", F.coalesce("spell_end", "__end").alias("spell_end")))
     pts = e.where(F.col("event_type") == "purchase").select("user_id", "ts", "event_id")
     return intervals.count_in_contiguous_spells(spells, pts, ["user_id"], "spell_start", "spell_end", "ts",
                                                 "n_purchases")
