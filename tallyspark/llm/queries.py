@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import public_tokenizers
 
 from ..sources.tables import read_table
-from . import mixing, sharding
+from . import bpe, mixing, sharding
 from .registry import register
 
 #: Bytes of text that a shard may hold (operator 5).
@@ -66,3 +66,8 @@ FROM cut
 """)
 def op9_mixing(spark, sf_dir):
     return mixing.mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@register("op1_bpe")
+def op1_bpe(spark, sf_dir):
+    return bpe.round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
