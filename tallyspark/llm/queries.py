@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from ..sources.tables import read_table
-from . import bpe, mixing, sharding
+from . import bpe, mixing, quality, sharding
 from .registry import register
 
 #: Bytes of text that a shard may hold (operator 5).
@@ -71,3 +71,8 @@ def op9_mixing(spark, sf_dir):
 @register("op1_bpe")
 def op1_bpe(spark, sf_dir):
     return bpe.round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@register("op6_quality")
+def op6_quality(spark, sf_dir):
+    return quality.measures(read_table(spark, sf_dir, "documents"))

@@ -118,3 +118,29 @@ def block_count(docs: DataFrame, block_bytes: int, text_col: str = "text") -> in
 def crc_remainder(id_col: str, mod: int):
     """crc32 of the id's decimal text, modulo ``mod``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % F.lit(mod)
+
+
+def row_slices(offs: np.ndarray, step: int):
+    """(first row, past last row) of consecutive slices of about ``step`` bytes; a longer row is a slice of its own."""
+    i, n = 0, len(offs) - 1
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(offs, offs[i] + step, "right")) - 1)
+        yield i, min(j, n)
+        i = min(j, n)
+
+
+def take_rows(buf: np.ndarray, offs: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buffer and offsets of some rows (ascending)."""
+    size = offs[rows + 1] - offs[rows]
+    new = np.concatenate(([0], np.cumsum(size)))
+    at = np.arange(new[-1]) + np.repeat(offs[rows] - new[:-1], size)
+    return buf[at], new
+
+
+def repeated(keys: np.ndarray) -> np.ndarray:
+    """Whether each key stands more than once among ``keys`` (uint64)."""
+    s = np.sort(keys)
+    twice = np.unique(s[1:][s[1:] == s[:-1]])
+    if not len(twice):
+        return np.zeros(len(keys), bool)
+    return twice[np.minimum(np.searchsorted(twice, keys), len(twice) - 1)] == keys
