@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import bpe, mixing, quality, sharding
+from . import bpe, langid, mixing, quality, sharding
 from .registry import register
+from .textblocks import crc_remainder
 
 #: Bytes of text that a shard may hold (operator 5).
 SHARD_BYTES = 4 << 20
@@ -76,3 +78,11 @@ def op1_bpe(spark, sf_dir):
 @register("op6_quality")
 def op6_quality(spark, sf_dir):
     return quality.measures(read_table(spark, sf_dir, "documents"))
+
+
+@register("op8_langid")
+def op8_langid(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    held = crc_remainder("doc_id", 4) == 2
+    model = langid.train(docs.where(~held))
+    return langid.predict(docs.withColumn("held_out", held), model, keep=("held_out",))
