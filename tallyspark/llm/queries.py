@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import bpe, langid, mixing, quality, sharding
+from . import bpe, langid, mixing, quality, sharding, topk
 from .registry import register
 from .textblocks import crc_remainder
 
@@ -86,3 +86,21 @@ def op8_langid(spark, sf_dir):
     held = crc_remainder("doc_id", 4) == 2
     model = langid.train(docs.where(~held))
     return langid.predict(docs.withColumn("held_out", held), model, keep=("held_out",))
+
+
+@register("op7_topk", """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+flat AS (SELECT vec_id, unnest(x) AS x, generate_subscripts(x, 1) AS d FROM v),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, sum(q.x * c.x)::BIGINT AS score
+  FROM flat q JOIN flat c ON q.d = c.d AND q.vec_id <> c.vec_id
+  WHERE q.vec_id % 50 = 0 GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+""")
+def op7_topk(spark, sf_dir):
+    return topk.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
