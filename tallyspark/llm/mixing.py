@@ -31,7 +31,7 @@ from .textblocks import WORD_PATTERN
 
 WEIGHTS = (3, 1, 2)
 #: Rows that a hash bucket holds on average, within one source and size.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 500
 
 
 def id_hash(id_col: str = "doc_id"):
