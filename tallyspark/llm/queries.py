@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import bpe, langid, mixing, quality, sharding, topk
+from . import bpe, langid, mixing, neardup, quality, sharding, topk
 from .registry import register
 from .textblocks import crc_remainder
 
@@ -104,3 +104,8 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """)
 def op7_topk(spark, sf_dir):
     return topk.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@register("op10_neardup")
+def op10_neardup(spark, sf_dir):
+    return neardup.classes(read_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
