@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import bpe, langid, mixing, neardup, quality, sharding, topk
+from . import bpe, langid, lm, mixing, neardup, quality, sharding, topk
 from .registry import register
 from .textblocks import crc_remainder
 
@@ -109,3 +109,8 @@ def op7_topk(spark, sf_dir):
 @register("op10_neardup")
 def op10_neardup(spark, sf_dir):
     return neardup.classes(read_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
+
+
+@register("op3_lm")
+def op3_lm(spark, sf_dir):
+    return lm.score(read_table(spark, sf_dir, "documents"))

@@ -1,17 +1,50 @@
-"""Written tables: the lineage of long jobs ends in Parquet files in the shared folder of ``spark.checkpoint.dir``."""
+"""What jobs of several passes share: written tables, and columns of numbers packed into binary rows."""
 
 from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..session import ensure_checkpoint_dir
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_ZSTD = pa.Codec("zstd", 1)
+
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The frame, written once and read back; every executor sees the files, whichever wrote them."""
+    """The frame, written once into the shared folder of ``spark.checkpoint.dir`` and read back.
+
+    Lineage ends there: every executor sees the files, whichever wrote them.
+    The job's shuffle files are dropped as soon as it has ended."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def pack(numbers: np.ndarray, ascending: bool = False) -> bytes:
+    """Unsigned numbers as compressed byte planes; ascending ones by their differences."""
+    x = numbers.astype(np.uint64)
+    if ascending and len(x):
+        x = np.concatenate((x[:1], x[1:] - x[:-1]))
+    width = max(1, -(-int(x.max()).bit_length() // 8)) if len(x) else 1
+    planes = x.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    small = _ZSTD.compress(planes, asbytes=True) if planes else b""
+    return len(x).to_bytes(4, "little") + bytes([width]) + small
+
+
+def unpack(blob: bytes, ascending: bool = False) -> np.ndarray:
+    n, width = int.from_bytes(blob[:4], "little"), blob[4]
+    out = np.zeros((n, 8), np.uint8)
+    if n:
+        out[:, :width] = np.frombuffer(_ZSTD.decompress(blob[5:], n * width, asbytes=True), np.uint8).reshape(width, n).T
+    x = out.view(np.uint64).ravel()
+    return np.cumsum(x, dtype=np.uint64) if ascending else x
