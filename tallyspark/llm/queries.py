@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import bpe, langid, lm, mixing, neardup, quality, sharding, topk
+from . import bpe, langid, lm, mixing, neardup, quality, sharding, suffixes, topk
 from .registry import register
 from .textblocks import crc_remainder
 
@@ -114,3 +114,8 @@ def op10_neardup(spark, sf_dir):
 @register("op3_lm")
 def op3_lm(spark, sf_dir):
     return lm.score(read_table(spark, sf_dir, "documents"))
+
+
+@register("op4_repeats")
+def op4_repeats(spark, sf_dir):
+    return suffixes.digests(read_table(spark, sf_dir, "documents"))

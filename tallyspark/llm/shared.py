@@ -48,3 +48,11 @@ def unpack(blob: bytes, ascending: bool = False) -> np.ndarray:
         out[:, :width] = np.frombuffer(_ZSTD.decompress(blob[5:], n * width, asbytes=True), np.uint8).reshape(width, n).T
     x = out.view(np.uint64).ravel()
     return np.cumsum(x, dtype=np.uint64) if ascending else x
+
+
+def squeeze(data: bytes) -> bytes:
+    return _ZSTD.compress(data, asbytes=True)
+
+
+def restore(blob: bytes, size: int) -> bytes:
+    return _ZSTD.decompress(blob, size, asbytes=True) if size else b""
