@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import bpe, langid, lm, mixing, neardup, quality, sharding, suffixes, topk
+from . import bpe, idfiles, langid, lm, mixing, neardup, quality, sharding, suffixes, topk
 from .registry import register
 from .textblocks import crc_remainder
 
@@ -119,3 +119,9 @@ def op3_lm(spark, sf_dir):
 @register("op4_repeats")
 def op4_repeats(spark, sf_dir):
     return suffixes.digests(read_table(spark, sf_dir, "documents"))
+
+
+@register("op2_idfiles")
+def op2_idfiles(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    return idfiles.read_files(idfiles.write_files(docs, public_tokenizers.path("byte_bpe_50k.json")))
