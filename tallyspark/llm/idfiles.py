@@ -12,7 +12,7 @@ drives a 48-bit range coder with 16-bit output words.
 
 File.  ``MAGIC``, then the document index (ids, lengths), then blocks of ``BLOCK_IDS`` ids.  A
 block starts from an empty model and carries its length and the crc32 of its
-ids, the index its own crc32: any block can be read, and checked, alone.  Because
+ids and of its bytes, the index its own crc32: any block can be read, and checked, alone.  Because
 blocks are independent, coder and decoder step through all blocks of a file side
 by side, one id of each at a time, so a step is a few numpy operations on a vector.
 
@@ -311,7 +311,7 @@ def pieces(spec: str) -> Pieces:
 
 # ---- files --------------------------------------------------------------------------------------------------------
 
-_HEAD, _BLOCK = struct.Struct("<IQIII"), struct.Struct("<III")
+_HEAD, _BLOCK = struct.Struct("<IQIII"), struct.Struct("<IIII")
 
 
 def file_image(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, vocabulary: int) -> bytes:
@@ -321,7 +321,7 @@ def file_image(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, vocabu
     out = [MAGIC, _HEAD.pack(len(doc_ids), len(ids), vocabulary, len(packed), zlib.crc32(index)), packed]
     blocks = [ids[i:i + BLOCK_IDS] for i in range(0, len(ids), BLOCK_IDS)]
     for block, coded in zip(blocks, encode_blocks(blocks, vocabulary) if blocks else []):
-        out += [_BLOCK.pack(len(block), _crc(block), len(coded)), coded]
+        out += [_BLOCK.pack(len(block), _crc(block), zlib.crc32(coded), len(coded)), coded]
     return b"".join(out)
 
 
@@ -336,9 +336,11 @@ def read_image(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         raise ValueError("the document index is damaged")
     at, coded, lengths, crcs = at + size, [], [], []
     while at < len(data):
-        n, crc, size = _BLOCK.unpack_from(data, at)
+        n, crc, coded_crc, size = _BLOCK.unpack_from(data, at)
         at += _BLOCK.size
         coded.append(data[at:at + size])
+        if zlib.crc32(coded[-1]) != coded_crc:
+            raise ValueError(f"block {len(coded) - 1} is damaged")
         lengths.append(n)
         crcs.append(crc)
         at += size

@@ -37,7 +37,8 @@ ORDER = 2
 BLOCK_BYTES, RANGE_KEYS = 12 << 20, 4 << 20
 #: Remainders of crc32(doc_id) modulo FOLDS: HELD_OUT is never learned from, TUNE sets the weights.
 FOLDS, HELD_OUT, TUNE = 10, 0, 1
-MAX_ROUNDS, TOLERANCE = 100, 1e-4
+#: Learning stops when a round gains less than TOLERANCE in log10 probability a held-out token.
+MAX_ROUNDS, TOLERANCE = 1000, 1e-6
 _BEGIN, _END = mix64(np.array([11, 13], U))
 _BUCKETS = 65
 
@@ -149,7 +150,7 @@ def mixed(parts: list[np.ndarray], weights: np.ndarray, n: float, v: float, orde
 
 def learn_weights(held: DataFrame, n: float, v: float, order: int) -> np.ndarray:
     """EM over the held-out counts (columns c<k>, x<k>, times): a few sums per order and bucket reach the driver each round."""
-    lam = np.full((order, _BUCKETS), 0.5)
+    lam, before = np.full((order, _BUCKETS), 0.5), -np.inf
     if n <= 0 or held.isEmpty():
         lam[:] = 0.5 if n > 0 else 0.0
         return lam
@@ -168,16 +169,19 @@ def learn_weights(held: DataFrame, n: float, v: float, order: int) -> np.ndarray
             d = d.withColumn(f"n{k}", F.col("reach")).withColumn(f"g{k}", F.col("reach") * F.col(f"r{k}"))
             d = d.withColumn("reach", F.col("reach") * (1 - F.col(f"r{k}")))
         stats = d.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), (F.col(f"b{k}") if k > 1 else F.lit(0)).alias("b"),
-                                                      F.col(f"g{k}").alias("g"), F.col(f"n{k}").alias("n"))
+                                                      F.col(f"g{k}").alias("g"), F.col(f"n{k}").alias("n"),
+                                                      (F.col("times") * F.log10("p")).alias("fit"))
                                              for k in range(1, order + 1)])).alias("s")).select("s.*")
-        new = lam.copy()
-        for r in stats.groupBy("k", "b").agg(F.sum("g").alias("g"), F.sum("n").alias("n")).collect():
+        new, fit, tokens = lam.copy(), 0.0, 0.0
+        for r in stats.groupBy("k", "b").agg(F.sum("g").alias("g"), F.sum("n").alias("n"), F.sum("fit").alias("fit")).collect():
+            if r["k"] == order:
+                fit, tokens = fit + r["fit"], tokens + r["n"]
             if r["n"] > 0 and (r["k"] == 1 or r["b"] > 0):
                 new[r["k"] - 1, r["b"]] = min(max(r["g"] / r["n"], 1e-6), 1 - 1e-6)
-        step, lam = np.abs(new - lam).max(), new
-        if step < TOLERANCE:
+        lam, gain, before = new, fit / tokens - before, fit / tokens
+        if gain < TOLERANCE:
             return lam
-    raise RuntimeError(f"the weights still move by {step:.2g} after {MAX_ROUNDS} rounds")
+    raise RuntimeError(f"the weights still gain {gain:.2g} a token after {MAX_ROUNDS} rounds")
 
 
 def score(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -27,6 +27,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import numbered
 from .textblocks import WORD_PATTERN
 
 WEIGHTS = (3, 1, 2)
@@ -104,9 +105,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return out.select("doc_id", "size", "source", "source_size", "target", "copies", "taken", "kept.*") if keep else out
 
 
-def mixed_documents(docs: DataFrame, source_col: str = "source", **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mix itself: each document once per copy taken, with its own columns."""
-    out = mix(docs.withColumn("__all", F.struct(*[F.col(f"`{c}`") for c in docs.columns])), source_col=source_col,
-              keep=("__all",), **options)
-    return (out.where("copies > 0").select("__all", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("__n"))
-            .select("__all.*"))
+    rows, (own_id, text, source) = numbered(docs, id_col, text_col, source_col)
+    out = mix(rows, own_id, text, source, keep=tuple(rows.columns), **options)
+    return (out.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+            .select(*rows.columns).toDF(*docs.columns))

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from .shared import written
+from .shared import numbered, written
 from .textblocks import U, mix64, pair_hash, row_slices, span_hashes, text_buffer, word_spans
 
 SHINGLE_WORDS, THRESHOLD = 5, 0.8
@@ -247,8 +247,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The documents without near-duplicates: of each class the one with the smallest id, one row of it."""
     kept = (classes(docs, id_col, text_col, threshold).where("is_first")
-            .groupBy(F.col("doc_id").alias("__id"), F.col("node").alias("__node")).agg((F.count(F.lit(1)) > 1).alias("__twice")))
-    rows = docs.withColumn("__text", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    rows = rows.join(kept, (F.col("__text") == F.col("__node")) & F.col(id_col).eqNullSafe(F.col("__id")))
-    return (rows.where("NOT __twice").unionByName(rows.where("__twice").dropDuplicates(["__node", "__id"]))
-            .select(*[F.col(f"`{c}`") for c in docs.columns]))
+            .groupBy(F.col("doc_id").alias("id"), "node").agg((F.count(F.lit(1)) > 1).alias("twice")))
+    rows, (own_id, text) = numbered(docs, id_col, text_col)
+    columns = rows.columns
+    rows = rows.withColumn("hash", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    rows = rows.join(kept, (F.col("hash") == F.col("node")) & F.col(own_id).eqNullSafe(F.col("id")))
+    # Only rows of an id and text that stand more than once are grouped.
+    return (rows.where("NOT twice").unionByName(rows.where("twice").dropDuplicates(["node", "id"]))
+            .select(*columns).toDF(*docs.columns))

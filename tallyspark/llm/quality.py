@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import numbered
 from .textblocks import _IS_SPACE, pair_hash, repeated, row_slices, span_hashes, take_rows, text_buffer, word_spans
 
 SAMPLE_ROWS = 2_000
@@ -216,6 +217,7 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that no rule, base rules included, rejects, with all their columns."""
     rules, at = _ordered(docs, BASE_RULES + RULES, id_col, text_col), docs.columns.index(text_col)
+    rows, _ = numbered(docs)
 
     def run(batches):
         for batch in batches:
@@ -224,4 +226,4 @@ def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             if kept:
                 yield batch.filter(pa.array(np.concatenate(kept)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)

@@ -30,6 +30,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, *columns: str) -> tuple[DataFrame, list[str]]:
+    """The frame with columns c0, c1, ..., and the new names of ``columns``: whatever the frame's own names are,
+    they clash with nothing that is added on the way.  ``toDF(*docs.columns)`` brings them back."""
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]), [f"c{docs.columns.index(c)}" for c in columns]
+
+
 def pack(numbers: np.ndarray, ascending: bool = False) -> bytes:
     """Unsigned numbers as compressed byte planes; ascending ones by their differences."""
     x = numbers.astype(np.uint64)
