@@ -15,11 +15,13 @@ two draws.  ``BANDS`` bands of ``ROWS`` slots give candidate buckets; a pair at
 
 Only distinct texts take part (copies share a hash of the whole text).  In a
 bucket not all pairs are formed: every member is verified against one pivot,
-the member whose buckets are fullest, usually the common original; then the
-same again among buckets that still hold several classes; then, for those left,
-the pairs between different classes that no round tested.  So a link can be skipped only
-where both ends are in one class already.  Before texts are compared a pair
-passes a check of its whole signatures, set five standard errors below the
+the member whose buckets are fullest, usually the common original.  Members of
+buckets that still hold several classes are then closed if they cannot have a
+partner: either similarity is at most the share of a text's shingles, by count
+or by number, that stand in any other such text.  What is left goes through another pivot round,
+and then through the pairs between different classes that no round tested.  So a
+link can be skipped only where both ends are in one class already, or where it
+is proved not to exist.  Before texts are compared a pair passes a check of its whole signatures, set five standard errors below the
 threshold.  Verification is exact: a pair is linked if its probability Jaccard
 or the plain Jaccard of its shingle sets reaches the threshold.
 
@@ -150,6 +152,38 @@ def _signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {kind}, node long, bands array<long>, sketch binary")
 
 
+def _texts(used: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(node, text) of the nodes in ``used``: the text of the node's smallest id, or of a row without id if none is known."""
+    where = used.join(nodes.select("node", F.col("first_id").alias("__first")), "node")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return (docs.select(F.col(id_col).alias("__id"), F.xxhash64(text).alias("node"), text.alias("text"))
+            .join(where, "node").where(F.col("__id").eqNullSafe(F.col("__first"))).select("node", "text"))
+
+
+def _without_partner(open_rows: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
+    """The nodes of ``open_rows`` that reach the threshold with no other: too many of their shingles stand in no other text."""
+    texts = _texts(open_rows.select("node").distinct(), nodes, docs, id_col, text_col)
+
+    def count(batches):
+        for batch in batches:
+            buf, offs = text_buffer(batch.column(1))
+            own = batch.column(0).to_numpy()
+            for i, j in row_slices(offs, SLICE_BYTES):
+                row, key, weight = shingles(buf[offs[i]:offs[j]], offs[i:j + 1] - offs[i])
+                n, w = np.bincount(row, minlength=j - i), np.bincount(row, weight, j - i).astype(np.int64)
+                yield pa.record_batch([pa.array(own[i:j][row]), pa.array(key.view(np.int64)), pa.array(weight.astype(np.int64)),
+                                       pa.array(n[row].astype(np.int64)), pa.array(w[row])], names=["node", "key", "w", "n_all", "w_all"])
+
+    grams = texts.mapInArrow(count, "node long, key long, w long, n_all long, w_all long")
+    alone = (grams.groupBy("key").agg(F.min("node").alias("node"), F.max("node").alias("other"), F.min("w").alias("w"),
+                                      F.min("n_all").alias("n_all"), F.min("w_all").alias("w_all")).where("node = other")
+             .groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"), F.first("n_all").alias("n_all"),
+                                  F.first("w_all").alias("w_all")))
+    enough = F.lit(threshold - 1e-9)
+    return alone.where((F.col("n_all") - F.col("n") < enough * F.col("n_all"))
+                       & (F.col("w_all") - F.col("w") < enough * F.col("w_all"))).select("node")
+
+
 def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
     """The pairs (a, b) of nodes whose texts reach the threshold."""
     m = BANDS * ROWS
@@ -167,12 +201,8 @@ def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, tex
             .join(s.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b").select("a", "b", "sa", "sb")
             .mapInArrow(agree, "a long, b long"))
     near = written(near, "near-pairs")
-    # One row holds each node's text: that of the smallest id, or any of its rows if no id is known.
-    used = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct()
-    where = used.join(nodes.select("node", F.col("first_id").alias("__first")), "node")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    texts = (docs.select(F.col(id_col).alias("__id"), F.xxhash64(text).alias("node"), text.alias("text"))
-             .join(where, "node").where(F.col("__id").eqNullSafe(F.col("__first"))).select("node", "text"))
+    texts = _texts(near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct(),
+                   nodes, docs, id_col, text_col)
 
     def verify(batches):
         for batch in batches:
@@ -187,6 +217,12 @@ def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, tex
     return written(both.mapInArrow(verify, "a long, b long").distinct(), "links")
 
 
+def _several(labelled: DataFrame) -> DataFrame:
+    """The rows of the buckets that hold more than one class."""
+    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
+    return labelled.join(mixed.select("bucket"), "bucket").select("bucket", "node", "score", "label")
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, class_id, class_size, node, is_first) per document; ``is_first`` holds for the rows of the smallest id."""
     signed = written(_signed(docs, id_col, text_col), "signatures")
@@ -229,8 +265,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
                 labelled = labelled.withColumn("label", F.coalesce("label", "node"))
             else:
                 labelled = rows.withColumn("label", F.col("node"))
-            several = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-            open_rows = written(labelled.join(several.select("bucket"), "bucket").select("bucket", "node", "score", "label"), "open")
+            open_rows = written(_several(labelled), "open")
+            if not turn:
+                closed = written(_without_partner(open_rows, nodes, docs, id_col, text_col, threshold), "closed")
+                rows = written(rows.join(closed, "node", "left_anti"), "rows")
+                open_rows = written(_several(open_rows.join(closed, "node", "left_anti")), "open")
     member = nodes.select("node", "first_id", "n_docs")
     if label is not None:
         member = member.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
