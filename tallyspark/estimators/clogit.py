@@ -65,6 +65,8 @@ def fit(df: DataFrame, choice: str, chosen: str, xs: list[str], *, cluster: str
         beta = beta + delta
         if np.max(np.abs(delta)) < tol:
             break
+    else:
+        raise RuntimeError(f"the coefficients still move by {np.max(np.abs(delta)):.2g} after {max_iter} steps")
     ll, g, h = _step(d, choice, chosen, xs, beta)
     hinv = np.linalg.inv(-h)
     vcov = hinv

@@ -17,6 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.scan import join_on
 from ..session import cut_lineage
 
 COEF_SCHEMA = "regression_name string, coef_name string, estimate double, serr double"
@@ -164,6 +165,8 @@ def demean(df: DataFrame, cols: list[str], fes: list[str], *, tol: float = 1e-9,
             alpha[f] = new
         if len(fes) == 1 or not moved:
             break
+    else:
+        raise RuntimeError(f"the fixed effects still move after {max_iter} sweeps")
     base.sparkSession.conf.set("tally.last_demean_sweeps", str(it + 1))
     return with_effects(None)
 
@@ -201,46 +204,43 @@ def fitted_residuals(df: DataFrame, fit: Fit, y: str, keys: list[str],
 
 
 def fixed_effects(df: DataFrame, fit: Fit, y: str, fes: list[str], *, tol: float = 1e-10,
-                  max_iter: int = 200) -> dict[str, DataFrame]:
-    """ES6: recover the fixed-effect values (first effect carries the level, others centred at 0)."""
+                  max_iter: int = 1000) -> dict[str, DataFrame]:
+    """ES6: recover the fixed-effect values (first effect carries the level, others centred at 0).
+
+    The fact table is persisted once; a sweep joins the other effects' level
+    tables to it and averages by level, until no level moves by more than
+    ``tol`` x the residual's scale; a sweep too many is an error."""
     r = df.select(*fes, (F.col(y) - sum((F.lit(float(b)) * F.col(n) for n, b in zip(fit.names, fit.beta)),
-                                        F.lit(0.0))).alias("__r"))
-    effects = {f: None for f in fes}
-    cur = r
-    for it in range(max_iter if len(fes) > 1 else 1):
+                                        F.lit(0.0))).alias("__r")).persist()
+    limit = tol * max(r.agg(F.stddev_pop("__r")).first()[0] or 0.0, 1e-300)
+    effects: dict[str, DataFrame | None] = {f: None for f in fes}
+    for _ in range(max_iter):
+        moved = False
         for f in fes:
-            others = F.lit(0.0)
-            for g in fes:
+            cur, others = r, F.lit(0.0)
+            for i, g in enumerate(fes):
                 if g != f and effects[g] is not None:
-                    cur = cur.drop(f"__e_{g}").join(effects[g].withColumnRenamed("effect", f"__e_{g}"), g, "left")
-                    others = others + F.coalesce(F.col(f"__e_{g}"), F.lit(0.0))
-            effects[f] = cur.groupBy(f).agg(F.avg(F.col("__r") - others).alias("effect"),
-                                            F.count(F.lit(1)).alias("n_obs"))
-            effects[f] = cut_lineage(effects[f])
-        if len(fes) == 1 or it > 20:
+                    cur = join_on(cur, effects[g].select(g, F.col("effect").alias(f"__e{i}")), [g], "left")
+                    others = others + F.col(f"__e{i}")
+            new = cut_lineage(cur.groupBy(f).agg(F.avg(F.col("__r") - others).alias("effect"), F.count(F.lit(1)).alias("n_obs")))
+            if effects[f] is None:
+                moved = True
+            else:
+                old = effects[f].select(f, F.col("effect").alias("__old"))
+                step = join_on(new, old, [f]).agg(F.max(F.abs(F.col("effect") - F.col("__old")))).first()[0]
+                moved |= (step or 0.0) > limit
+            effects[f] = new
+        if len(fes) == 1 or not moved:
             break
-    for f in fes[1:]:
+    else:
+        raise RuntimeError(f"the fixed effects still move after {max_iter} sweeps")
+    r.unpersist()
+    for f in fes[1:]:  # what centring takes from an effect goes to the first
         m = effects[f].agg(F.avg("effect")).first()[0]
         effects[f] = effects[f].withColumn("effect", F.col("effect") - F.lit(m))
+        effects[fes[0]] = effects[fes[0]].withColumn("effect", F.col("effect") + F.lit(m))
     return effects
 
 
 def event_time_name(k: int) -> str:
     return f"lead{-k}" if k < 0 else f"lag{k}"
-
-
-def parse_event_time(name: str):
-    """ES7: coefficient name -> signed event time (leads negative)."""
-    if name.startswith("lead"):
-        return -int(name[4:])
-    if name.startswith("lag"):
-        return int(name[3:])
-    return None
-
-
-def normal_band(est: float, se: float, z: float = 1.96):
-    return est - z * se, est + z * se
-
-
-def safe_log(x: float) -> float:
-    return math.log(x) if x and x > 0 else float("nan")

@@ -16,7 +16,9 @@ def logit(df: DataFrame, y: str, xs: list[str], name: str = "logit") -> DataFram
     """ES8: binomial GLM with logit link; coefficients and standard errors as a coefficient table."""
     d = VectorAssembler(inputCols=xs, outputCol="__f").transform(df.select(y, *xs).dropna())
     m = GeneralizedLinearRegression(family="binomial", link="logit", featuresCol="__f", labelCol=y,
-                                    maxIter=50).fit(d)
+                                    maxIter=200).fit(d)
+    if m.summary.numIterations >= 200:
+        raise RuntimeError("the logit model did not converge in 200 iterations")
     se = m.summary.coefficientStandardErrors  # coefficients then intercept
     rows = [(name, "(Intercept)", float(m.intercept), float(se[-1]))]
     rows += [(name, x, float(b), float(s)) for x, b, s in zip(xs, m.coefficients, se[:-1])]

@@ -42,6 +42,14 @@ def exclude_keys(df: DataFrame, deny: DataFrame, on: str, deny_on: str | None =
     return df.join(keys, df[on] == keys["__deny_key"], "left_anti")
 
 
+def eligible_post(cfg: ForumConfig = DEFAULT, *, state="invoiceActionState", bio="bio", freebie="freebie",
+                  saloon="saloon", sub="subName") -> Column:
+    """PRJ6, the short form of the degree table: not failed, not bio/freebie/saloon, not in an excluded
+    territory; posts without a territory and posts of the last two days stay."""
+    return (not_failed(state, cfg.failed_state) & ~_c(bio) & ~_c(freebie) & ~_c(saloon)
+            & (_c(sub).isNull() | not_in(sub, cfg.excluded_subs)))
+
+
 def analysis_sample(cfg: ForumConfig = DEFAULT, *, state="invoiceActionState", bio="bio",
                     freebie="freebie", saloon="saloon", sub="subName", created="created_at",
                     data_end=None, min_age_hours: float = 48, title: str | None = None) -> Column:

@@ -86,14 +86,7 @@ def uuid5_dns(text) -> Column:
 @F.pandas_udf(T.StringType())
 def sanitize(s):
     """NFKD, drop combining marks, keep ``[A-Za-z0-9_]`` (Arrow-batched; NFKD has no built-in)."""
-    import re
-
-    def one(x):
-        if x is None:
-            return None
-        y = "".join(ch for ch in unicodedata.normalize("NFKD", x) if not unicodedata.combining(ch))
-        return re.sub(r"[^A-Za-z0-9_]", "", y)
-    return s.map(one)
+    return s.str.normalize("NFKD").str.replace(r"[^A-Za-z0-9_]", "", regex=True)
 
 
 # Pluggable tokenizer for chunking: words and single punctuation marks.

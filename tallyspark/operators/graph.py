@@ -65,6 +65,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
         if sig == prev:
             break
         prev = sig
+    else:
+        raise RuntimeError(f"the components still change after {max_rounds} rounds")
     e.sparkSession.conf.set("tally.cc_rounds", str(i + 1))
     star = e.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("component"))
     return nodes.join(star, "node", "left").select("node", F.coalesce("component", "node").alias("component"))

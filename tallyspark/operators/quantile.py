@@ -1,17 +1,16 @@
 """Exact linear-interpolation quantiles without gathering a column in one task (N12).
 
 ``percentile`` keeps every value of a group in one buffer; for a global
-quantile over a fact table that is the whole column.  Here:
+quantile over a fact table that is the whole column.  Here, in two passes:
 
-1. ``approx_percentile`` (rank error <= n / accuracy) brackets the target
-   ranks from both sides;
-2. one distributed pass counts the rows below the bracket and gathers only
-   the values inside it -- about 4 n / accuracy values, a bound set by the
-   accuracy, not the data;
-3. the exact k-th and (k+1)-th values come from that sorted band.
+1. ``approx_percentile`` (rank error <= n / accuracy) brackets the target ranks
+   from both sides, and the rows are counted;
+2. rows below the bracket are counted, and those inside it counted per distinct
+   value.  A value that holds half the rows is one row of that table; the values
+   strictly inside the bracket are at most about 4 n / accuracy rows.
 
-If a bracket misses (it cannot, given the guarantee, but ties are checked),
-the bracket widens and the pass repeats.
+The k-th and (k+1)-th values follow from the running counts.  If a bracket
+misses (it cannot, given the guarantee, but it is checked), it widens.
 """
 
 from __future__ import annotations
@@ -25,32 +24,29 @@ from pyspark.sql import functions as F
 def exact_quantile(df: DataFrame, col: str | Column, q: float, accuracy: int = 1_000_000) -> float | None:
     c = F.col(col) if isinstance(col, str) else col
     v = df.select(c.cast("double").alias("__x")).where(F.col("__x").isNotNull() & ~F.isnan("__x"))
-    n = v.count()
-    if n == 0:
-        return None
-    pos = q * (n - 1)
-    k = int(math.floor(pos))
-    frac = pos - k
     delta = 2.0 / accuracy
     while True:
         lo_q, hi_q = max(0.0, q - delta), min(1.0, q + delta)
-        lo, hi = v.agg(F.approx_percentile("__x", [lo_q, hi_q], accuracy).alias("b")).first()["b"]
-        if lo_q == 0.0:
-            lo = -math.inf
-        if hi_q == 1.0:
-            hi = math.inf
-        row = (v.agg(F.count(F.when(F.col("__x") < lo, 1)).alias("below"),
-                     F.sort_array(F.collect_list(F.when((F.col("__x") >= lo) & (F.col("__x") <= hi),
-                                                        F.col("__x")))).alias("band"))
-               .first())
-        below, band = row["below"], row["band"]
-        need_hi = k + 1 if frac > 0 and k + 1 < n else k
-        if below <= k and below + len(band) > need_hi:
-            a = band[k - below]
-            b = band[need_hi - below]
-            return a + (b - a) * frac
+        n, bounds = v.agg(F.count(F.lit(1)), F.approx_percentile("__x", [lo_q, hi_q], accuracy)).first()
+        if n == 0:
+            return None
+        lo, hi = (-math.inf if lo_q == 0.0 else bounds[0]), (math.inf if hi_q == 1.0 else bounds[1])
+        pos = q * (n - 1)
+        k = int(math.floor(pos))
+        last = min(k + 1, n - 1) if pos > k else k
+        counts = (v.where(F.col("__x") <= F.lit(hi)).groupBy(F.when(F.col("__x") >= F.lit(lo), F.col("__x")).alias("x"))
+                  .agg(F.count(F.lit(1)).alias("n")).collect())
+        seen, found = sum(r["n"] for r in counts if r["x"] is None), {}
+        if seen <= k:
+            for r in sorted((r for r in counts if r["x"] is not None), key=lambda r: r["x"]):
+                for want in (k, last):
+                    if seen <= want < seen + r["n"]:
+                        found[want] = r["x"]
+                seen += r["n"]
+        if k in found and last in found:
+            return found[k] + (found[last] - found[k]) * (pos - k)
         if lo_q == 0.0 and hi_q == 1.0:
-            raise RuntimeError("quantile band did not cover the target rank")
+            raise RuntimeError("the bracket of the quantile does not cover its rank")
         delta *= 4
 
 

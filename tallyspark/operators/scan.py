@@ -35,6 +35,14 @@ def with_bucket(df: DataFrame, time_col: str, bucket_us: int = DAY_US) -> DataFr
             .withColumn(_B, F.floor(F.col(_T) / F.lit(bucket_us))))
 
 
+def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where NULL equals NULL (as it does in a grouping), so no row with a NULL key is lost."""
+    names = {k: f"__k_{i}" for i, k in enumerate(keys)}
+    r = right.withColumnsRenamed(names)
+    cond = [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()]
+    return left.join(r, cond, how).drop(*names.values())
+
+
 def prefix_sums(df: DataFrame, by: list[str], time_col: str, values: dict[str, Column],
                 *, strict: bool = True, bucket_us: int = DAY_US, tiebreak: list[str] | None = None,
                 drop_helpers: bool = True, strict_suffix: str | None = None) -> DataFrame:
@@ -65,7 +73,7 @@ def prefix_sums(df: DataFrame, by: list[str], time_col: str, values: dict[str, C
     w_b = Window.partitionBy(*by).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
     carry = summary.select(*part, *[F.coalesce(F.sum(k + "_tot").over(w_b), F.lit(0.0)).alias(k + "_carry")
                                     for k in vals])
-    out = d.join(carry, on=part, how="left")
+    out = join_on(d, carry, part, "left")
     keep = [c for c in out.columns if not (c.startswith("__v_") or c in (_B, _T))] if drop_helpers else out.columns
     res = [(F.col(k + "_in") + F.coalesce(F.col(k + "_carry"), F.lit(0.0))).alias(names[k]) for k in vals]
     if extra:
@@ -108,7 +116,7 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_on: str, ri
                .agg(F.max_by("__r", F.when(F.col("__side") == 0, F.struct(_T, "__ro"))).alias("__last")))
     w_b = Window.partitionBy(*by).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
     carry = summary.select(*part, F.last("__last", ignorenulls=True).over(w_b).alias("__carry"))
-    res = (u.where(F.col("__side") == 1).join(carry, on=part, how="left")
+    res = (join_on(u.where(F.col("__side") == 1), carry, part, "left")
            .select("__l.*", F.coalesce("__hit", "__carry").alias("__m")))
     return res.select(*[F.col(c) for c in lcols], *[F.col("__m")[c].alias(c) for c in cols])
 
@@ -131,9 +139,3 @@ def backfill(df: DataFrame, by: list[str], order: list[str], cols: list[str]) ->
         df = df.withColumn(c, F.first(c, ignorenulls=True).over(w))
     return df
 
-
-def forward_fill(df: DataFrame, by: list[str], order: list[str], cols: list[str]) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    for c in cols:
-        df = df.withColumn(c, F.last(c, ignorenulls=True).over(w))
-    return df

@@ -44,14 +44,14 @@ def burst_counter(df: DataFrame, user: str, time: str, tiebreak: str, gap_us: in
     summ = x.groupBy(*part).agg(F.max("__t").alias("__last_t"), F.count(F.lit(1)).alias("__n"))
     summ = (summ.withColumn("__prev_bucket_t", F.lag("__last_t").over(wb))
             .withColumn("__before", F.coalesce(F.sum("__n").over(wb.rowsBetween(U, -1)), F.lit(0))))
-    x = x.join(summ.select(*part, "__prev_bucket_t", "__before"), part)
+    x = scan.join_on(x, summ.select(*part, "__prev_bucket_t", "__before"), part)
     prev = F.coalesce(F.col("__prev_in"), F.col("__prev_bucket_t"))
     x = x.withColumn("__pos", F.col("__pos_in") + F.col("__before"))
     x = x.withColumn("__start_pos", F.when(prev.isNull() | (F.col("__t") - prev > gap_us), F.col("__pos")))
     x = x.withColumn("__start_in", F.max("__start_pos").over(w.rowsBetween(U, 0)))
     starts = x.groupBy(*part).agg(F.max("__start_pos").alias("__bucket_start"))
     starts = starts.withColumn("__carry_start", F.max("__bucket_start").over(wb.rowsBetween(U, -1)))
-    x = x.join(starts.select(*part, "__carry_start"), part)
+    x = scan.join_on(x, starts.select(*part, "__carry_start"), part)
     x = x.withColumn(out, F.col("__pos") - F.coalesce(F.col("__start_in"), F.col("__carry_start")))
     cols = [c for c in df.columns]
     return x.select(*cols, out).unionByName(fixed.select(*cols, out))
@@ -129,7 +129,7 @@ def count_changes(df: DataFrame, by: list[str], order: list[str], col: str, out:
     d = d.withColumn("__prev_in", F.lag(col).over(w)).withColumn("__rn", F.row_number().over(w))
     summ = d.groupBy(*by, "__b").agg(F.max_by(col, F.struct("__t", *tiebreak)).alias("__last"))
     summ = summ.withColumn("__prev_b", F.lag("__last").over(Window.partitionBy(*by).orderBy("__b")))
-    d = d.join(summ.select(*by, "__b", "__prev_b"), by + ["__b"])
+    d = scan.join_on(d, summ.select(*by, "__b", "__prev_b"), by + ["__b"])
     prev = F.when(F.col("__rn") == 1, F.col("__prev_b")).otherwise(F.col("__prev_in"))
     ch = F.coalesce(F.col(col) != prev, F.lit(False)).cast("int")
     return d.withColumn("__ch", ch).groupBy(*by).agg(F.sum("__ch").alias(out))
@@ -152,7 +152,7 @@ def constant_spells(df: DataFrame, by: list[str], time: str, col: str, data_end:
     d = d.withColumn("__prev_in", F.lag(col).over(w)).withColumn("__rn", F.row_number().over(w))
     summ = d.groupBy(*part).agg(F.max_by(col, F.struct("__cs_t", *tb)).alias("__last"))
     summ = summ.withColumn("__prev_b", F.lag("__last").over(wb))
-    d = d.join(summ.select(*part, "__prev_b"), part)
+    d = scan.join_on(d, summ.select(*part, "__prev_b"), part)
     prev = F.when(F.col("__rn") == 1, F.col("__prev_b")).otherwise(F.col("__prev_in"))
     starts = (d.withColumn("__ch", F.coalesce(F.col(col) != prev, F.lit(True)))
               .where(F.col("__ch"))
@@ -161,7 +161,7 @@ def constant_spells(df: DataFrame, by: list[str], time: str, col: str, data_end:
     starts = starts.withColumn("__next_in", F.lead("spell_start").over(ws))
     firsts = starts.groupBy(*part).agg(F.min_by("spell_start", F.struct("__cs_t", *tb)).alias("__first"))
     firsts = firsts.withColumn("__next_b", F.lead("__first").over(wb))
-    out = starts.join(firsts.select(*part, "__next_b"), part)
+    out = scan.join_on(starts, firsts.select(*part, "__next_b"), part)
     return out.select(*by, "spell_start", "spell_value",
                       F.coalesce("__next_in", "__next_b", data_end).alias("spell_end"))
 
@@ -188,24 +188,25 @@ def sequence_number(df: DataFrame, user: str, time: str, tiebreak: str) -> DataF
     """
     d = scan.prefix_sums(df, [user], time, {"experience_posts": F.lit(1.0)}, strict=False, tiebreak=[tiebreak])
     first = df.groupBy(user).agg(F.min(time).alias("__first"))
-    d = d.join(first, user)
+    d = scan.join_on(d, first, [user])
     return (d.withColumn("experience_posts", F.col("experience_posts").cast("int"))
             .withColumn("experience_days", (F.unix_micros(F.col(time)) - F.unix_micros("__first")) / 86_400_000_000.0)
             .drop("__first"))
 
 
 def lagged_running(df: DataFrame, user: str, order: list[str], col: str) -> DataFrame:
-    """WN17: running mean and sum of logs over the user's earlier rows, and the lagged row number
-    (two-level prefix sums; NULL mean and log sum before the first row, as an empty window gives)."""
+    """WN17: mean and log of the running sum, ``log(1 + sum)``, over the user's earlier rows, and how many
+    these are, plain and as ``log(1 + n)``; all NULL on the user's first row (two-level prefix sums)."""
     time, tiebreak = order[0], order[1:]
     present = F.col(col).isNotNull().cast("double")
-    d = scan.prefix_sums(df, [user], time, {"__n": F.lit(1.0), "__c": present, "__s": F.col(col),
-                                            "__l": F.log1p(col)}, strict=False, tiebreak=tiebreak)
-    has = F.col("__c") > 0
+    d = scan.prefix_sums(df, [user], time, {"__n": F.lit(1.0), "__c": present, "__s": F.col(col)},
+                         strict=False, tiebreak=tiebreak)
+    has, later = F.col("__c") > 0, F.col("__n") > 0
     return (d.withColumn(f"prior_mean_{col}", F.when(has, F.col("__s") / F.col("__c")))
-            .withColumn(f"prior_logsum_{col}", F.when(has, F.col("__l")))
-            .withColumn("prior_n", F.col("__n").cast("int"))
-            .drop("__n", "__c", "__s", "__l"))
+            .withColumn(f"log_prior_{col}", F.when(later, F.log1p("__s")))
+            .withColumn("prior_n", F.when(later, F.col("__n").cast("int")))
+            .withColumn("log_prior_n", F.when(later, F.log1p("__n")))
+            .drop("__n", "__c", "__s"))
 
 
 def prior_category_means(df: DataFrame, user: str, time: str, tiebreak: str, cat: str, y: str,

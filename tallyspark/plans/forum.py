@@ -262,12 +262,13 @@ def post_quality_sample(posts_df: DataFrame, transfers: DataFrame, weekly_prices
     weekly price, territory/week/territory-owner codes, text metrics."""
     p = posts_df.where(pr.analysis_sample(cfg, data_end=data_end))
     p = find_subowner(p, transfers)
-    p = p.where(pr.is_true(F.col("userId") != F.col("subOwner")) & (F.col("cost") > 0))
+    # a post of a territory without a known owner is nobody's own (rule N1: a comparison with NULL is "differs")
+    p = p.where(~pr.is_true(F.col("userId") == F.col("subOwner")) & (F.col("cost") > 0))
     p = p.withColumn("week", tf.as_week("created_at")).join(weekly_prices, "week", "left")
     order = ["created_at", "itemId"]
     p = factorize(p, "subName", order, "subId")
     p = factorize(p, "week", order, "weekId")
-    p = p.withColumn("sub_subOwner", F.concat_ws("_", "subName", F.col("subOwner").cast("string")))
+    p = p.withColumn("sub_subOwner", F.concat_ws("_", "subName", F.coalesce(F.col("subOwner").cast("string"), F.lit("nan"))))
     p = factorize(p, "sub_subOwner", order, "sub_subOwner_id")
     return text_metrics(p)
 
@@ -283,7 +284,7 @@ def post_quantity_sample(panel_df: DataFrame, weekly_prices: DataFrame) -> DataF
     order = ["subName", "week", "subOwner"]
     d = factorize(d, "subName", order, "subId")
     d = factorize(d, "week", order, "weekId")
-    d = d.withColumn("sub_subOwner", F.concat_ws("_", "subName", F.col("subOwner").cast("string")))
+    d = d.withColumn("sub_subOwner", F.concat_ws("_", "subName", F.coalesce(F.col("subOwner").cast("string"), F.lit("nan"))))
     return factorize(d, "sub_subOwner", order, "sub_subOwner_id")
 
 
@@ -356,20 +357,30 @@ def choice_set(df: DataFrame, user: str, time: str, key: str, cat: str, categori
             .withColumn("chosen", F.col("alternative") == F.col("choice")))
 
 
-def event_study_sample(panel_df: DataFrame, key: str, period: str, col: str, k: int = 12) -> DataFrame:
-    """DT22: first differences, change flags, their period max, and +-k event-time shifts."""
-    d = sq.first_difference(panel_df, [key], [period], col, out="d")
-    flags = d.groupBy(period).agg(F.max(F.col("d_up").cast("int")).alias("any_up"),
-                                  F.max(F.col("d_down").cast("int")).alias("any_down"))
-    d = d.join(flags, period, "left")
-    d = sq.leads_lags(d, [key], [period], "d_up", k, prefix="up")
-    return sq.leads_lags(d, [key], [period], "d_down", k, prefix="down")
+def event_study_sample(panel_df: DataFrame, key: str, date: str, col: str, k: int = 12) -> DataFrame:
+    """DT22 (key, week): whether ``col`` rose or fell on any day of the key's week (first differences of the
+    daily panel), and the same of the k weeks before (``_L``) and after (``_F``)."""
+    d = sq.first_difference(panel_df, [key], [date], col, out="d")
+    w = d.groupBy(key, tf.as_week(date).alias("week")).agg(F.max(F.col("d_up").cast("int")).alias("fee_chg_pos"),
+                                                           F.max(F.col("d_down").cast("int")).alias("fee_chg_neg"))
+    win = Window.partitionBy(key).orderBy("week")  # one row a week
+    return w.select("*", *[f(c, i).over(win).alias(f"{c}_{s}{i}") for c in ("fee_chg_pos", "fee_chg_neg")
+                           for s, f in (("F", F.lead), ("L", F.lag)) for i in range(1, k + 1)])
+
+
+def pretrend_quantity(quantity: DataFrame, changes: DataFrame) -> DataFrame:
+    """DT22 (subName, week, subOwner): the quantity sample with the week's fee changes, and WN11: the growth control,
+    log posts one row before minus log posts twelve rows before, in the territory's order of weeks."""
+    w = Window.partitionBy("subName").orderBy("week", "subOwner")  # one row a week and owner
+    d = quantity.join(changes, ["subName", "week"], "left")
+    return d.withColumn("L12_growth", F.log1p(F.lag("n_posts", 1).over(w)) - F.log1p(F.lag("n_posts", 12).over(w)))
 
 
 def fee_spells(fees: DataFrame, posts_df: DataFrame, data_end: Column) -> DataFrame:
-    """DT24: constant-fee spells with days, posts inside [start, end) and the posting rate."""
+    """DT24: constant-fee spells with days, posts inside [start, end) and the posting rate; the last
+    spell of a territory ends at the *date* of the data end."""
     s = sq.constant_spells(fees.withColumn("__t", F.col("date").cast("timestamp")), ["subName"], "__t",
-                           "posting_fee", data_end)
+                           "posting_fee", F.date_trunc("day", data_end))
     p = posts_df.select("subName", "created_at", "itemId")
     c = intervals.count_in_contiguous_spells(s, p, ["subName"], "spell_start", "spell_end", "created_at",
                                              "n_posts")

@@ -428,8 +428,8 @@ ps AS (SELECT * REPLACE (date_trunc('second', created_at) AS created_at) FROM s)
 tr AS (SELECT subName, date_trunc('second', timeStamp) AS tts, max(userIdTo) AS subOwner FROM transfers GROUP BY 1, 2),
 po AS (SELECT ps.*, tr.subOwner FROM ps ASOF LEFT JOIN tr ON ps.subName = tr.subName AND ps.created_at >= tr.tts),
 k AS (SELECT *, CAST(created_at AS DATE) - CAST(dayofweek(created_at) AS INTEGER) AS week,
-             subName || '_' || CAST(subOwner AS VARCHAR) AS sub_subOwner
-      FROM po WHERE COALESCE(userId <> subOwner, false) AND cost > 0),
+             subName || '_' || COALESCE(CAST(subOwner AS VARCHAR), 'nan') AS sub_subOwner
+      FROM po WHERE NOT COALESCE(userId = subOwner, false) AND cost > 0),
 dl AS (SELECT CAST(l_shipdate AS DATE) AS d, (max(l_extendedprice / l_quantity) + min(l_extendedprice / l_quantity)) / 2 AS mid
        FROM lineitem GROUP BY 1),
 wp AS (SELECT d - CAST(dayofweek(d) AS INTEGER) AS week, AVG(mid) AS btc_price FROM dl GROUP BY 1),
@@ -465,7 +465,7 @@ q AS (SELECT subName, CAST(date AS DATE) - CAST(dayofweek(date) AS INTEGER) AS w
 dl AS (SELECT CAST(l_shipdate AS DATE) AS d, (max(l_extendedprice / l_quantity) + min(l_extendedprice / l_quantity)) / 2 AS mid
        FROM lineitem GROUP BY 1),
 wp AS (SELECT d - CAST(dayofweek(d) AS INTEGER) AS week, AVG(mid) AS btc_price FROM dl GROUP BY 1),
-k AS (SELECT q.*, wp.btc_price, subName || '_' || CAST(subOwner AS VARCHAR) AS sub_subOwner FROM q LEFT JOIN wp USING (week)),
+k AS (SELECT q.*, wp.btc_price, subName || '_' || COALESCE(CAST(subOwner AS VARCHAR), 'nan') AS sub_subOwner FROM q LEFT JOIN wp USING (week)),
 c1 AS (SELECT subName, dense_rank() OVER (ORDER BY min((subName, week, subOwner))) - 1 AS subId FROM k GROUP BY 1),
 c2 AS (SELECT week, dense_rank() OVER (ORDER BY min((subName, week, subOwner))) - 1 AS weekId FROM k GROUP BY 1),
 c3 AS (SELECT sub_subOwner, dense_rank() OVER (ORDER BY min((subName, week, subOwner))) - 1 AS sub_subOwner_id
@@ -594,78 +594,47 @@ def dt20_adoption(spark, d):
     return out.select("userId", F.col("week").cast("timestamp").alias("week"), "regime", "adopted")
 
 
-DT22_SHIFTS = [f"{p}_{kind}{i}" for p in ("up", "down") for kind in ("lag", "lead") for i in range(1, 13)]
+DT22_SHIFTS = [(f"{c}_{s}{i}", f, c, i) for c in ("fee_chg_pos", "fee_chg_neg") for s, f in (("F", "lead"), ("L", "lag"))
+               for i in range(1, 13)]
+DT22_SQL = f"""{TDP_SQL},
+dd AS (SELECT *, posting_fee - lag(posting_fee) OVER (PARTITION BY subName ORDER BY date) AS d FROM tdp),
+tw AS (SELECT subName, CAST(date AS DATE) - CAST(dayofweek(date) AS INTEGER) AS week,
+              max(CAST(COALESCE(d > 0, false) AS INTEGER)) AS fee_chg_pos,
+              max(CAST(COALESCE(d < 0, false) AS INTEGER)) AS fee_chg_neg FROM dd GROUP BY 1, 2)"""
 
 
 @register("dt22_event_study_sample", f"""
-WITH RECURSIVE {TDP_SQL},
-wk AS (SELECT subName, CAST(date AS DATE) - CAST(dayofweek(date) AS INTEGER) AS week,
-              CAST(SUM(CAST(posting_fee AS DECIMAL(24, 6))) AS DOUBLE) / COUNT(posting_fee) AS fee FROM tdp GROUP BY 1, 2),
-d1 AS (SELECT *, fee - lag(fee) OVER (PARTITION BY subName ORDER BY week) AS d FROM wk),
-d2 AS (SELECT *, COALESCE(d > 0, false) AS d_up, COALESCE(d < 0, false) AS d_down FROM d1),
-fl AS (SELECT week, max(CAST(d_up AS INTEGER)) AS any_up, max(CAST(d_down AS INTEGER)) AS any_down FROM d2 GROUP BY 1),
-x AS (SELECT d2.*, fl.any_up, fl.any_down FROM d2 LEFT JOIN fl USING (week))
-SELECT subName, CAST(week AS TIMESTAMP) AS week, ROUND(fee, 6) AS fee, ROUND(d, 6) AS d, d_up, d_down, any_up, any_down,
-  CAST(lag(CAST(d_up AS INTEGER), 1) OVER w AS DOUBLE) AS up_lag1,
-  CAST(lag(CAST(d_up AS INTEGER), 2) OVER w AS DOUBLE) AS up_lag2,
-  CAST(lag(CAST(d_up AS INTEGER), 3) OVER w AS DOUBLE) AS up_lag3,
-  CAST(lag(CAST(d_up AS INTEGER), 4) OVER w AS DOUBLE) AS up_lag4,
-  CAST(lag(CAST(d_up AS INTEGER), 5) OVER w AS DOUBLE) AS up_lag5,
-  CAST(lag(CAST(d_up AS INTEGER), 6) OVER w AS DOUBLE) AS up_lag6,
-  CAST(lag(CAST(d_up AS INTEGER), 7) OVER w AS DOUBLE) AS up_lag7,
-  CAST(lag(CAST(d_up AS INTEGER), 8) OVER w AS DOUBLE) AS up_lag8,
-  CAST(lag(CAST(d_up AS INTEGER), 9) OVER w AS DOUBLE) AS up_lag9,
-  CAST(lag(CAST(d_up AS INTEGER), 10) OVER w AS DOUBLE) AS up_lag10,
-  CAST(lag(CAST(d_up AS INTEGER), 11) OVER w AS DOUBLE) AS up_lag11,
-  CAST(lag(CAST(d_up AS INTEGER), 12) OVER w AS DOUBLE) AS up_lag12,
-  CAST(lead(CAST(d_up AS INTEGER), 1) OVER w AS DOUBLE) AS up_lead1,
-  CAST(lead(CAST(d_up AS INTEGER), 2) OVER w AS DOUBLE) AS up_lead2,
-  CAST(lead(CAST(d_up AS INTEGER), 3) OVER w AS DOUBLE) AS up_lead3,
-  CAST(lead(CAST(d_up AS INTEGER), 4) OVER w AS DOUBLE) AS up_lead4,
-  CAST(lead(CAST(d_up AS INTEGER), 5) OVER w AS DOUBLE) AS up_lead5,
-  CAST(lead(CAST(d_up AS INTEGER), 6) OVER w AS DOUBLE) AS up_lead6,
-  CAST(lead(CAST(d_up AS INTEGER), 7) OVER w AS DOUBLE) AS up_lead7,
-  CAST(lead(CAST(d_up AS INTEGER), 8) OVER w AS DOUBLE) AS up_lead8,
-  CAST(lead(CAST(d_up AS INTEGER), 9) OVER w AS DOUBLE) AS up_lead9,
-  CAST(lead(CAST(d_up AS INTEGER), 10) OVER w AS DOUBLE) AS up_lead10,
-  CAST(lead(CAST(d_up AS INTEGER), 11) OVER w AS DOUBLE) AS up_lead11,
-  CAST(lead(CAST(d_up AS INTEGER), 12) OVER w AS DOUBLE) AS up_lead12,
-  CAST(lag(CAST(d_down AS INTEGER), 1) OVER w AS DOUBLE) AS down_lag1,
-  CAST(lag(CAST(d_down AS INTEGER), 2) OVER w AS DOUBLE) AS down_lag2,
-  CAST(lag(CAST(d_down AS INTEGER), 3) OVER w AS DOUBLE) AS down_lag3,
-  CAST(lag(CAST(d_down AS INTEGER), 4) OVER w AS DOUBLE) AS down_lag4,
-  CAST(lag(CAST(d_down AS INTEGER), 5) OVER w AS DOUBLE) AS down_lag5,
-  CAST(lag(CAST(d_down AS INTEGER), 6) OVER w AS DOUBLE) AS down_lag6,
-  CAST(lag(CAST(d_down AS INTEGER), 7) OVER w AS DOUBLE) AS down_lag7,
-  CAST(lag(CAST(d_down AS INTEGER), 8) OVER w AS DOUBLE) AS down_lag8,
-  CAST(lag(CAST(d_down AS INTEGER), 9) OVER w AS DOUBLE) AS down_lag9,
-  CAST(lag(CAST(d_down AS INTEGER), 10) OVER w AS DOUBLE) AS down_lag10,
-  CAST(lag(CAST(d_down AS INTEGER), 11) OVER w AS DOUBLE) AS down_lag11,
-  CAST(lag(CAST(d_down AS INTEGER), 12) OVER w AS DOUBLE) AS down_lag12,
-  CAST(lead(CAST(d_down AS INTEGER), 1) OVER w AS DOUBLE) AS down_lead1,
-  CAST(lead(CAST(d_down AS INTEGER), 2) OVER w AS DOUBLE) AS down_lead2,
-  CAST(lead(CAST(d_down AS INTEGER), 3) OVER w AS DOUBLE) AS down_lead3,
-  CAST(lead(CAST(d_down AS INTEGER), 4) OVER w AS DOUBLE) AS down_lead4,
-  CAST(lead(CAST(d_down AS INTEGER), 5) OVER w AS DOUBLE) AS down_lead5,
-  CAST(lead(CAST(d_down AS INTEGER), 6) OVER w AS DOUBLE) AS down_lead6,
-  CAST(lead(CAST(d_down AS INTEGER), 7) OVER w AS DOUBLE) AS down_lead7,
-  CAST(lead(CAST(d_down AS INTEGER), 8) OVER w AS DOUBLE) AS down_lead8,
-  CAST(lead(CAST(d_down AS INTEGER), 9) OVER w AS DOUBLE) AS down_lead9,
-  CAST(lead(CAST(d_down AS INTEGER), 10) OVER w AS DOUBLE) AS down_lead10,
-  CAST(lead(CAST(d_down AS INTEGER), 11) OVER w AS DOUBLE) AS down_lead11,
-  CAST(lead(CAST(d_down AS INTEGER), 12) OVER w AS DOUBLE) AS down_lead12
-FROM x WINDOW w AS (PARTITION BY subName ORDER BY week)
+WITH RECURSIVE {DT22_SQL}
+SELECT subName, CAST(week AS TIMESTAMP) AS week, fee_chg_pos, fee_chg_neg,
+  {", ".join(f"CAST({f}({c}, {i}) OVER w AS DOUBLE) AS {n}" for n, f, c, i in DT22_SHIFTS)}
+FROM tw WINDOW w AS (PARTITION BY subName ORDER BY week)
 """)
 def dt22_event_study(spark, d):
     fo = Forum(spark, d)
     pnl = forum.territory_day_panel(fo.fees(), fo.posts(), fo.cycles(), fo.transfers(), CFG)
-    fee = F.col("posting_fee").cast("decimal(24,6)")
-    wk = pnl.groupBy("subName", tf.as_week("date").alias("week")).agg(
-        (F.sum(fee).cast("double") / F.count(fee)).alias("fee"))
-    out = forum.event_study_sample(wk, "subName", "week", "fee", k=12)
-    return out.select("subName", F.col("week").cast("timestamp").alias("week"), r6("fee").alias("fee"),
-                      r6("d").alias("d"), "d_up", "d_down", "any_up", "any_down",
-                      *[F.col(c).cast("int").cast("double").alias(c) for c in DT22_SHIFTS])
+    out = forum.event_study_sample(pnl, "subName", "date", "posting_fee", k=12)
+    return out.select("subName", F.col("week").cast("timestamp").alias("week"), "fee_chg_pos", "fee_chg_neg",
+                      *[F.col(n).cast("double").alias(n) for n, *_ in DT22_SHIFTS])
+
+
+@register("wn11_dt22_pretrend_quantity", f"""
+WITH RECURSIVE {DT22_SQL},
+q AS (SELECT subName, CAST(date AS DATE) - CAST(dayofweek(date) AS INTEGER) AS week, subOwner, SUM(n_posts) AS n_posts
+      FROM tdp GROUP BY 1, 2, 3),
+g AS (SELECT *, ln(1 + lag(n_posts, 1) OVER w) - ln(1 + lag(n_posts, 12) OVER w) AS growth
+      FROM q WINDOW w AS (PARTITION BY subName ORDER BY week, subOwner NULLS FIRST))
+SELECT g.subName, CAST(g.week AS TIMESTAMP) AS week, CAST(g.subOwner AS DOUBLE) AS subOwner, CAST(g.n_posts AS BIGINT) AS n_posts,
+       ROUND(growth, 6) AS l12_growth, fee_chg_pos, fee_chg_neg
+FROM g LEFT JOIN tw USING (subName, week)
+""")
+def wn11_pretrend_quantity(spark, d):
+    fo = Forum(spark, d)
+    pnl = forum.territory_day_panel(fo.fees(), fo.posts(), fo.cycles(), fo.transfers(), CFG)
+    q = forum.post_quantity_sample(pnl, fo.weekly_prices())
+    out = forum.pretrend_quantity(q, forum.event_study_sample(pnl, "subName", "date", "posting_fee"))
+    return out.select("subName", F.col("week").cast("timestamp").alias("week"), F.col("subOwner").cast("double").alias("subOwner"),
+                      F.col("n_posts").cast("bigint").alias("n_posts"), r6("L12_growth").alias("l12_growth"),
+                      "fee_chg_pos", "fee_chg_neg")
 
 
 def _dt23_sql():
@@ -684,8 +653,7 @@ l AS (SELECT itemId AS src,
       FROM itl),
 edges AS (SELECT DISTINCT l.src, l.dst FROM l JOIN itl ON itl.itemId = l.dst WHERE l.src <> l.dst),
 s AS (SELECT * FROM posts WHERE invoiceActionState IS DISTINCT FROM 'FAILED' AND NOT bio AND NOT freebie AND NOT saloon
-        AND subName IS NOT NULL AND subName <> '' AND subName NOT IN {tuple(CFG.excluded_subs)}
-        AND epoch_us(TIMESTAMP '{CFG.data_end}') - epoch_us(created_at) >= 172800000000)
+        AND (subName IS NULL OR subName NOT IN {tuple(CFG.excluded_subs)}))
 SELECT s.itemId, COALESCE(i.n, 0) AS in_degree, COALESCE(o.n, 0) AS out_degree,
        len(list_filter(regexp_split_to_array(COALESCE(text, ''), '{WS_CLASS}+'), lambda x: x <> '')) AS num_words,
        len(regexp_extract_all(COALESCE(text, ''), '{link}', 0)) AS num_img_or_links
@@ -696,12 +664,12 @@ LEFT JOIN (SELECT src, COUNT(*) AS n FROM edges GROUP BY 1) o ON s.itemId = o.sr
 
 @register("dt23_degree_enriched_posts", _dt23_sql())
 def dt23_degree_posts(spark, d):
-    """GR1 degrees of the internal link graph, zero-filled onto the analysis sample, with text metrics."""
+    """GR1 degrees of the internal link graph, zero-filled onto the eligible posts (of any territory and age), with text metrics."""
     from ..functions import predicates as prd
     from ..operators import graph
     fo = Forum(spark, d)
     e = dt17_digraph(spark, d)
-    p = fo.posts().where(prd.analysis_sample(CFG))
+    p = fo.posts().where(prd.eligible_post(CFG))
     p = forum.text_metrics(p)
     out = graph.degrees(e, p.select(F.col("itemId"), "num_words", "num_img_or_links"), "itemId")
     return out.select("itemId", "in_degree", "out_degree", "num_words", "num_img_or_links")
@@ -712,7 +680,7 @@ WITH RECURSIVE {FEES_SQL},
 fe AS (SELECT subName, date AS t, out_fee AS fee FROM r),
 ch AS (SELECT *, COALESCE(fee <> lag(fee) OVER (PARTITION BY subName ORDER BY t), true) AS c FROM fe),
 sp AS (SELECT subName, t AS spell_start, fee AS spell_value,
-              COALESCE(lead(t) OVER (PARTITION BY subName ORDER BY t), TIMESTAMP '{CFG.data_end}') AS spell_end
+              COALESCE(lead(t) OVER (PARTITION BY subName ORDER BY t), date_trunc('day', TIMESTAMP '{CFG.data_end}')) AS spell_end
        FROM ch WHERE c),
 cnt AS (SELECT sp.subName, sp.spell_start, sp.spell_value, sp.spell_end, COUNT(p.itemId) AS n_posts
         FROM sp LEFT JOIN posts p ON p.subName = sp.subName AND p.created_at >= sp.spell_start

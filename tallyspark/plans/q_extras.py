@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..estimators import linear, ml
@@ -83,6 +84,21 @@ def es6_fixed_effects(spark, d):
     return eff.join(names, "l_suppkey", "left").select("s_name", r6("effect").alias("effect"), "n_obs")
 
 
+@register("es6_two_effects_balanced", f"""
+WITH {WEEKLY_SQL}
+SELECT 'sub' AS effect_of, sub AS level, ROUND(AVG(log_posts), 6) AS effect, COUNT(*) AS n_obs FROM wk GROUP BY sub
+UNION ALL
+SELECT 'week', strftime(week, '%Y-%m-%d'), ROUND(AVG(log_posts) - (SELECT AVG(log_posts) FROM wk), 6), COUNT(*) FROM wk GROUP BY week
+""")
+def es6_two_effects(spark, d):
+    """Two-way effects of a balanced panel: the unit means, and the week means about the grand mean."""
+    w = weekly_posts(Tables(spark, d)).withColumn("week", F.date_format("week", "yyyy-MM-dd"))
+    fit = linear.Fit("means", [], np.zeros(0), np.zeros((0, 0)), 0, 0.0, 0)
+    eff = linear.fixed_effects(w, fit, "log_posts", ["sub", "week"])
+    out = [e.select(F.lit(f).alias("effect_of"), F.col(f).alias("level"), r6("effect").alias("effect"), "n_obs") for f, e in eff.items()]
+    return out[0].unionByName(out[1])
+
+
 @register("es7_event_study")
 def es7_event_study(spark, d):
     """Leads/lags of an event (each unit's busiest week) with unit and week effects, clustered by unit."""

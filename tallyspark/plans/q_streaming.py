@@ -35,6 +35,6 @@ FROM s GROUP BY user_id, sess
 def stream_wn1_sessions(spark, d):
     e = jobs.table_stream(spark, d, "events").where(F.col("event_type") != "error")
     s = jobs.burst_sessions(e.select("user_id", "ts"), "user_id", "ts", 6 * 3600)
-    out = jobs.run_to_memory(s, "complete")
+    out = jobs.run_complete(s)
     return out.select("user_id", F.col("session.start").alias("session_start"),
                       F.col("session.end").alias("session_end"), "n_acts")

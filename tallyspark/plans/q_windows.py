@@ -286,19 +286,19 @@ def wn16_strictly_prior(spark, d):
 
 
 @register("wn17_lagged_running", """
-SELECT o_orderkey,
-  ROUND(AVG(o_totalprice) OVER w, 6) AS prior_mean_o_totalprice,
-  ROUND(SUM(ln(1 + o_totalprice)) OVER w, 6) AS prior_logsum_o_totalprice,
-  CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS INTEGER) AS prior_n
-FROM orders
-WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+WITH c AS (
+  SELECT *, ln(1 + SUM(o_totalprice) OVER w) AS l, row_number() OVER w AS i, AVG(o_totalprice) OVER w AS m FROM orders
+  WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING))
+SELECT o_orderkey, ROUND(lag(m) OVER w, 6) AS prior_mean_o_totalprice, ROUND(lag(l) OVER w, 6) AS log_prior_o_totalprice,
+  CAST(lag(i) OVER w AS DOUBLE) AS prior_n, ROUND(ln(1 + lag(i) OVER w), 6) AS log_prior_n
+FROM c WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)
 """)
 def wn17_lagged_running(spark, d):
     o = Tables(spark, d).orders
     out = sq.lagged_running(o, "o_custkey", ["o_orderdate", "o_orderkey"], "o_totalprice")
     return out.select("o_orderkey", r6("prior_mean_o_totalprice").alias("prior_mean_o_totalprice"),
-                      r6("prior_logsum_o_totalprice").alias("prior_logsum_o_totalprice"),
-                      F.col("prior_n").cast("int").alias("prior_n"))
+                      r6("log_prior_o_totalprice").alias("log_prior_o_totalprice"),
+                      F.col("prior_n").cast("double").alias("prior_n"), r6("log_prior_n").alias("log_prior_n"))
 
 
 @register("wn18_count_per_partition", f"""
@@ -307,8 +307,9 @@ FROM orders
 """)
 def wn18_count_per_partition(spark, d):
     o = Tables(spark, d).orders
-    w = Window.partitionBy("o_orderpriority", tf.as_week("o_orderdate"))
-    return o.select("o_orderkey", F.count(F.lit(1)).over(w).alias("congestion"))
+    o = o.select("o_orderkey", "o_orderpriority", tf.as_week("o_orderdate").alias("week"))
+    n = o.groupBy("o_orderpriority", "week").agg(F.count(F.lit(1)).alias("congestion"))
+    return scan.join_on(o, n, ["o_orderpriority", "week"]).select("o_orderkey", "congestion")
 
 
 CATS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]

@@ -121,7 +121,8 @@ def store_upsert(store: DataFrame, new: DataFrame, key: str = "text_hash", ts: s
     A grouped ``max_by`` (partial aggregation), so a key written many times is
     reduced in every task before the shuffle."""
     u = store.unionByName(new, allowMissingColumns=True)
-    latest = F.struct(F.col(ts).isNotNull(), F.col(ts))
+    # rows of one time: the larger hash of all columns, so that reruns agree
+    latest = F.struct(F.col(ts).isNotNull(), F.col(ts), F.xxhash64(*[F.col(c) for c in u.columns]))
     return u.groupBy(key).agg(F.max_by(F.struct(*[F.col(c) for c in u.columns]), latest).alias("__r")).select("__r.*")
 
 

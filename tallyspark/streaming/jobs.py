@@ -21,14 +21,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from ..sources.tables import SCHEMAS
+from ..sources.tables import SCHEMAS, table_path
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int | None = None) -> DataFrame:
-    r = spark.readStream.schema(SCHEMAS[name]).option("pathGlobFilter", f"{name}.parquet")
+    """The table as a stream of its files: a folder of part files, or one file beside the other tables."""
+    r, path = spark.readStream.schema(SCHEMAS[name]), table_path(sf_dir, name)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
-    return r.parquet(sf_dir)
+    files = spark.read.schema(SCHEMAS[name]).parquet(path).inputFiles()
+    if len(files) == 1 and files[0].rstrip("/").endswith(f"/{name}.parquet"):
+        return r.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return r.parquet(path)
 
 
 def attribution_pairs(zaps: DataFrame, posts: DataFrame, *, zap_key: str, zap_time: str, post_key: str,
@@ -65,12 +69,12 @@ def run_available_now(df: DataFrame, output_mode: str = "append", fmt: str = "pa
     return base + "/out"
 
 
-def run_to_memory(df: DataFrame, output_mode: str = "update") -> DataFrame:
-    """Run over everything available into an in-process memory table (no server); return it."""
+def run_complete(df: DataFrame) -> DataFrame:
+    """Run over everything available in complete mode; each micro-batch replaces the result's files, and the
+    last one is returned: nothing of the result stands on the driver."""
     spark = df.sparkSession
-    name = f"tally_stream_{uuid.uuid4().hex[:12]}"
-    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tally-streams/{name}"
-    q = (df.writeStream.format("memory").queryName(name).outputMode(output_mode)
-         .option("checkpointLocation", base).trigger(availableNow=True).start())
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tally-streams/{uuid.uuid4().hex[:12]}"
+    q = (df.writeStream.outputMode("complete").option("checkpointLocation", base + "/_chk").trigger(availableNow=True)
+         .foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(base + "/out")).start())
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(df.schema).parquet(base + "/out")

@@ -249,3 +249,87 @@ def test_kernel_prior_means_match_brute_force(spark):
                 assert g is None
             else:
                 assert abs(g - v) < 2e-3 * max(1.0, abs(v))
+
+
+# ---- rows with NULL keys, first rows, fee changes, owners ---------------------------------------------------------
+
+def test_null_users_are_kept(spark):
+    rows = [(1, 7, T0), (2, 7, T0 + timedelta(minutes=5)), (3, None, T0), (4, None, T0 + timedelta(days=2)),
+            (5, None, T0 + timedelta(days=2, minutes=3))]
+    df = spark.createDataFrame(rows, "id long, user long, t timestamp")
+    got = {r["id"]: r["cost_modifier"] for r in sq.burst_counter(df, "user", "t", "id", 10 * 60 * 1_000_000).collect()}
+    assert got == {1: 0, 2: 1, 3: 0, 4: 0, 5: 1}
+    seq = {r["id"]: r["experience_posts"] for r in sq.sequence_number(df, "user", "t", "id").collect()}
+    assert seq == {1: 0, 2: 1, 3: 0, 4: 1, 5: 2}
+    ch = sq.count_changes(df.withColumn("v", F.col("id") % 2), ["user"], ["t", "id"], "v").collect()
+    assert {r["user"]: r["n_changes"] for r in ch} == {7: 1, None: 2}
+    sp = sq.constant_spells(df.withColumn("v", F.col("id") % 2), ["user"], "t", "v", F.lit(T0 + timedelta(days=9)), ["id"])
+    assert sorted((r["user"] or 0, r["spell_value"]) for r in sp.collect()) == [(0, 0), (0, 1), (0, 1), (7, 0), (7, 1)]
+
+
+def test_lagged_running_first_row_is_null(spark):
+    rows = [(1, 7, T0, 2.0), (2, 7, T0 + timedelta(days=1), 4.0), (3, 7, T0 + timedelta(days=2), 1.0)]
+    df = spark.createDataFrame(rows, "id long, user long, t timestamp, x double")
+    got = {r["id"]: r for r in sq.lagged_running(df, "user", ["t", "id"], "x").collect()}
+    assert got[1]["prior_mean_x"] is None and got[1]["log_prior_x"] is None and got[1]["prior_n"] is None
+    assert math.isclose(got[3]["log_prior_x"], math.log(1 + 2.0 + 4.0)) and got[3]["prior_mean_x"] == 3.0
+    assert got[3]["prior_n"] == 2 and math.isclose(got[3]["log_prior_n"], math.log(3))
+
+
+def test_two_fee_changes_in_one_week(spark):
+    from tallyspark.plans import forum
+    fees = [10.0, 12.0, 11.0] + [11.0] * 11
+    df = spark.createDataFrame([("a", datetime(2024, 1, 7) + timedelta(days=i), f) for i, f in enumerate(fees)],
+                               "subName string, date timestamp, fee double")
+    got = forum.event_study_sample(df, "subName", "date", "fee", k=1).orderBy("week").collect()
+    assert [(r["fee_chg_pos"], r["fee_chg_neg"], r["fee_chg_pos_L1"], r["fee_chg_pos_F1"]) for r in got] == \
+        [(1, 1, None, 0), (0, 0, 1, None)]
+
+
+def test_fee_spells_end_at_the_date(spark):
+    from tallyspark.plans import forum
+    fees = spark.createDataFrame([("a", T0, 5.0)], "subName string, date timestamp, posting_fee double")
+    posts = spark.createDataFrame([("a", T0 + timedelta(hours=1), 1)], "subName string, created_at timestamp, itemId long")
+    end = F.lit(T0 + timedelta(days=3, hours=7)).cast("timestamp")
+    r = forum.fee_spells(fees, posts, end).first()
+    assert r["days"] == 3.0 and r["n_posts"] == 1
+
+
+def test_quantile_with_one_value_holding_half(spark):
+    from tallyspark.operators.quantile import exact_quantile
+    import numpy as np
+    x = [3.0] * 500 + [float(i) for i in range(499)]
+    df = spark.createDataFrame([(v,) for v in x], "x double")
+    for q in (0.0, 0.25, 0.5, 0.731, 1.0):
+        assert exact_quantile(df, "x", q, accuracy=100) == np.quantile(x, q)
+
+
+def test_two_chained_effects_are_recovered(spark):
+    """Exact-fit data whose effects meet in one chain: the slowest case for the sweeps."""
+    import numpy as np
+    from tallyspark.estimators import linear
+    a, b = {i: 0.5 * i for i in range(6)}, {i: (-1.0) ** i for i in range(6)}
+    rows = [(i, j, a[i] + b[j]) for i in range(6) for j in (i, i + 1) if j < 6]
+    df = spark.createDataFrame(rows, "f long, g long, y double")
+    fit = linear.Fit("m", [], np.zeros(0), np.zeros((0, 0)), 0, 0.0, 0)
+    eff = linear.fixed_effects(df, fit, "y", ["f", "g"], tol=1e-7)
+    ef, eg = ({r[k]: r["effect"] for r in eff[k].collect()} for k in ("f", "g"))
+    assert max(abs(ef[i] + eg[j] - y) for i, j, y in rows) < 1e-5
+    assert abs(sum(eg.values())) < 1e-9
+
+
+def test_no_convergence_is_an_error(spark):
+    import pytest
+    from tallyspark.operators.graph import connected_components
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "src long, dst long")
+    with pytest.raises(RuntimeError, match="still change"):
+        connected_components(edges, max_rounds=1)
+
+
+def test_stream_reads_a_folder_of_part_files(spark, tmp_path):
+    from tallyspark.sources.tables import read_table
+    from tallyspark.streaming import jobs
+    events = read_table(spark, "/root/testdata/sf0.001", "events")
+    events.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    out = jobs.run_available_now(jobs.table_stream(spark, str(tmp_path), "events").select("event_id"))
+    assert spark.read.parquet(out).count() == events.count()
