@@ -46,10 +46,10 @@ from .bpe import read_spec
 from .shared import written
 
 MAGIC, END = b"TIDS\x01", 0
-BLOCK_IDS, GROUPS, FILE_BYTES = 4096, 1024, 16 << 20
+BLOCK_IDS, GROUPS, FILE_BYTES = 1024, 1024, 8 << 20
 #: Entries of the order-1 and order-2 tables of a block, steps between sums of the order-0 counts, and its count step.
-ENTRIES, RENEW, COUNT_STEP = 1024, 32, 32
-REMEMBERED_PIECES = 300_000
+ENTRIES, RENEW, COUNT_STEP = 512, 64, 32
+REMEMBERED_PIECES = 900_000
 _TOP, _LEAST = np.uint64(1 << 48), np.uint64(1 << 32)
 _ONE = 1 << 16
 #: Learned shares move between these two, of 2**16, so that no outcome has a share of 0.
@@ -75,26 +75,24 @@ class _Model:
         self.right2 = np.full(blocks * 4, _ONE // 4, np.int64)
         self.right1 = np.full(blocks * 4, _ONE // 8, np.int64)
         self.right0 = np.full(blocks, _ONE // 2, np.int64)
-        self.counts = np.ones((blocks, GROUPS), np.int32)
+        self.counts = np.ones(blocks * GROUPS, np.int32)
         self.last = np.zeros(blocks * GROUPS, np.int64)
-        self.offset = np.arange(blocks, dtype=np.int64) << 20
-        self.sums = np.zeros((blocks, GROUPS + 1), np.int64)
+        self.sums = np.zeros(blocks * (GROUPS + 1), np.int32)
         self.lane = np.arange(blocks)
+        self.of_entry, self.of_share = self.lane * ENTRIES, self.lane * 4
+        self.of_group, self.of_sum = self.lane * GROUPS, self.lane * (GROUPS + 1)
         self.one, self.two = np.zeros(blocks, np.int64), np.zeros(blocks, np.int64)
 
     def renew(self, a: int) -> None:
-        np.cumsum(self.counts[:a], axis=1, out=self.sums[:a, 1:])
-        self.sums[:a, 0] = 0
-        self.sums[:a] += self.offset[:a, None]
+        np.cumsum(self.counts.reshape(-1, GROUPS)[:a], axis=1, out=self.sums.reshape(-1, GROUPS + 1)[:a, 1:])
 
     def predict(self, a: int):
         """(predicted id + 1 and mass) of order 2 and order 1 for the first ``a`` blocks."""
-        lane = self.lane[:a]
-        one, two = self.one[:a], self.two[:a]
-        self.at1 = lane * ENTRIES + (one * 40503 >> 4 & ENTRIES - 1)
-        self.at2 = lane * ENTRIES + ((two * 30011 + one * 40503) >> 3 & ENTRIES - 1)
+        h = self.one[:a] * 40503
+        self.at1 = self.of_entry[:a] + (h >> 4 & ENTRIES - 1)
+        self.at2 = self.of_entry[:a] + (self.two[:a] * 30011 + h >> 3 & ENTRIES - 1)
         self.e2, self.e1 = self.seen2[self.at2], self.seen1[self.at1]
-        self.k2, self.k1 = lane * 4 + (self.e2 & 3), lane * 4 + (self.e1 & 3)
+        self.k2, self.k1 = self.of_share[:a] + (self.e2 & 3), self.of_share[:a] + (self.e1 & 3)
         p2, p1 = self.e2 >> 2, self.e1 >> 2
         m2 = self.right2[self.k2] * (p2 > 0)
         m1 = (self.right1[self.k1] * (_ONE - m2) >> 16) * ((p1 > 0) & (p1 != p2))
@@ -106,11 +104,13 @@ class _Model:
         for seen, at, e, p, right, k in ((self.seen2, self.at2, self.e2, p2, self.right2, self.k2),
                                          (self.seen1, self.at1, self.e1, p1, self.right1, self.k1)):
             hit, c = p == ids, e & 3
-            right[k] += (hit * _RANGE + _FLOOR - right[k]) * (p > 0) >> 5
-            seen[at] = np.where(hit, (e & ~3) | np.minimum(c + 1, 3), np.where(c > 0, e - 1, ids << 2))
-        g = x[rest] & GROUPS - 1
-        self.counts[rest, g] += COUNT_STEP
-        self.last[rest * GROUPS + g] = (x[rest] >> 10) + 1
+            was = right[k]
+            right[k] = was + ((hit * _RANGE + _FLOOR - was) * (p > 0) >> 5)
+            seen[at] = np.where(hit, e + (c < 3), np.where(c > 0, e - 1, ids << 2))
+        of = x[rest]
+        at = self.of_group[rest] + (of & GROUPS - 1)
+        self.counts[at] += COUNT_STEP
+        self.last[at] = (of >> 10) + 1
         self.two[:a] = self.one[:a]
         self.one[:a] = ids
 
@@ -163,22 +163,24 @@ def encode_blocks(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
         low[:a] += r * start.astype(u64)
         rng[:a] = r * freq.astype(u64)
         if len(rest):
-            g, j = x[rest] & GROUPS - 1, x[rest] >> 10
-            begin = m.sums[rest, g] - m.offset[rest]
-            f, total = m.sums[rest, g + 1] - m.sums[rest, g], m.sums[rest, GROUPS] - m.offset[rest]
+            of = x[rest]
+            g, j = of & GROUPS - 1, of >> 10
+            at = m.of_sum[rest] + g
+            begin = m.sums[at]
+            f, total = m.sums[at + 1] - begin, m.sums[m.of_sum[rest] + GROUPS]
             r = rng[rest] // total.astype(u64)
             low[rest] += r * begin.astype(u64)
             rng[rest] = r * f.astype(u64)
             fill(rest)
-            before = m.last[rest * GROUPS + g]
-            mass = m.right0[rest] * (before > 0)
+            before, share = m.last[m.of_group[rest] + g], m.right0[rest]
+            mass = share * (before > 0)
             hit = before == j + 1
             lo, hi = (mass + ((_ONE - mass) * m.shares[j + d] >> 16) for d in (0, 1))
             start, freq = np.where(hit, 0, lo), np.where(hit, mass, hi - lo)
             r = rng[rest] >> u64(16)
             low[rest] += r * start.astype(u64)
             rng[rest] = r * freq.astype(u64)
-            m.right0[rest] += (hit * _RANGE + _FLOOR - m.right0[rest]) * (before > 0) >> 5
+            m.right0[rest] = share + ((hit * _RANGE + _FLOOR - share) * (before > 0) >> 5)
         fill(m.lane[:a])
         m.learn(a, x, p2, p1, rest)
     for _ in range(3):
@@ -214,7 +216,6 @@ def decode_blocks(coded: list[bytes], lengths: list[int], vocabulary: int) -> li
 
     u64 = np.uint64
     active = np.searchsorted(-size, -np.arange(1, n + 1), "right")
-    sums = m.sums.reshape(-1)
     for t in range(n):
         a = int(active[t])
         if t % RENEW == 0:
@@ -231,17 +232,20 @@ def decode_blocks(coded: list[bytes], lengths: list[int], vocabulary: int) -> li
         x = np.where(hit2, p2, p1) - 1
         rest = np.flatnonzero(~(hit2 | hit1))
         if len(rest):
-            total = m.sums[rest, GROUPS] - m.offset[rest]
+            first = m.of_sum[rest]
+            total = m.sums[first + GROUPS]
             r = rng[rest] // total.astype(u64)
-            v = np.minimum((code[rest] // r).astype(np.int64), total - 1)
-            # One search over all rows: each row's sums stand above those of the row before.
-            at = np.searchsorted(sums[:a * (GROUPS + 1)], v + m.offset[rest], "right") - 1
-            g = at - rest * (GROUPS + 1)
-            code[rest] -= r * (sums[at] - m.offset[rest]).astype(u64)
-            rng[rest] = r * (sums[at + 1] - sums[at]).astype(u64)
+            v = np.minimum((code[rest] // r).astype(np.int32), total - 1)
+            at, step = first.copy(), GROUPS >> 1
+            while step:  # the last group whose sum of those before is at most v
+                at += (m.sums[at + step] <= v) * step
+                step >>= 1
+            g, begin = at - first, m.sums[at]
+            code[rest] -= r * begin.astype(u64)
+            rng[rest] = r * (m.sums[at + 1] - begin).astype(u64)
             fill(rest)
-            before = m.last[rest * GROUPS + g]
-            mass = m.right0[rest] * (before > 0)
+            before, share = m.last[m.of_group[rest] + g], m.right0[rest]
+            mass = share * (before > 0)
             r = rng[rest] >> u64(16)
             v = np.minimum(code[rest] // r, u64(_ONE - 1)).astype(np.int64)
             hit = v < mass
@@ -252,7 +256,7 @@ def decode_blocks(coded: list[bytes], lengths: list[int], vocabulary: int) -> li
             start, freq = np.where(hit, 0, lo), np.where(hit, mass, hi - lo)
             code[rest] -= r * start.astype(u64)
             rng[rest] = r * freq.astype(u64)
-            m.right0[rest] += (hit * _RANGE + _FLOOR - m.right0[rest]) * (before > 0) >> 5
+            m.right0[rest] = share + ((hit * _RANGE + _FLOOR - share) * (before > 0) >> 5)
             x[rest] = j * GROUPS + g
         fill(m.lane[:a])
         ids[t, :a] = x
