@@ -120,55 +120,52 @@ def demean(df: DataFrame, cols: list[str], fes: list[str], *, tol: float = 1e-9,
            checkpoint_every: int = 1) -> DataFrame:
     """ES2: remove fixed effects by backfitting (Gauss-Seidel alternating projections).
 
-    The fact table is persisted once and never rewritten: each sweep, for each
-    effect f, joins the *other* effects' current level tables (one row per
-    level) to it and averages the residual by level of f -- a partial
-    aggregation, so a hot level is pre-summed in every task.  Only the small
+    The facts are read twice: once to sum them up per cell (combination of
+    levels, with partial aggregation, so a hot cell is pre-summed in every
+    task) and once at the end, to take the effects off.  A sweep works on the
+    cells alone: for each effect f it joins the *other* effects' current level
+    tables (one row per level) and averages the rest by level of f.  Only the
     level tables are checkpointed per sweep, so the plan stays linear.  The
-    sweep stops when no level value moves by more than ``tol`` x (column
-    scale).  One fixed effect is exact in one pass.
+    sweeps stop when no level moves by more than ``tol`` x (column scale); a
+    sweep too many is an error.  One fixed effect is exact in one pass.
     """
-    base = df.persist()
-    scale = base.agg(*[F.stddev_pop(c).alias(c) for c in cols]).first()  # also materialises the cache
+    scale = df.agg(*[F.stddev_pop(c).alias(c) for c in cols]).first()
     limits = {c: tol * max(scale[c] or 0.0, 1e-300) for c in cols}
+    cells = df.groupBy(*fes).agg(F.count(F.lit(1)).alias("__n"), *[F.sum(c).alias(f"__s_{c}") for c in cols]).persist()
     alpha: dict[str, DataFrame | None] = {f: None for f in fes}
 
-    def with_effects(skip: str | None) -> DataFrame:
-        r = base
+    def others(frame: DataFrame, skip: str | None) -> tuple[DataFrame, dict]:
+        """The frame with the levels of all effects but one, and their sum by column."""
+        add = {c: F.lit(0.0) for c in cols}
         for g in fes:
             if g != skip and alpha[g] is not None:
-                r = r.join(alpha[g], g, "left")
-        adj = {c: F.lit(0.0) for c in cols}
-        for g in fes:
-            if g != skip and alpha[g] is not None:
-                for c in cols:
-                    adj[c] = adj[c] + F.coalesce(F.col(f"__a_{g}_{c}"), F.lit(0.0))
-        return r.select(*[x for x in base.columns if x not in cols], *[(F.col(c) - adj[c]).alias(c) for c in cols])
+                frame = join_on(frame, alpha[g], [g], "left")
+                add = {c: add[c] + F.coalesce(F.col(f"__a_{g}_{c}"), F.lit(0.0)) for c in cols}
+        return frame, add
 
     for it in range(max_iter):
         moved = False
         for f in fes:
-            new = with_effects(f).groupBy(f).agg(*[F.avg(c).alias(f"__a_{f}_{c}") for c in cols])
-            if (it + 1) % checkpoint_every == 0:
-                new = cut_lineage(new)
-            else:
-                new = new.persist()
+            frame, add = others(cells, f)
+            new = frame.groupBy(f).agg(*[(F.sum(F.col(f"__s_{c}") - F.col("__n") * add[c]) / F.sum("__n")).alias(f"__a_{f}_{c}")
+                                         for c in cols])
+            new = cut_lineage(new) if (it + 1) % checkpoint_every == 0 else new.persist()
             if alpha[f] is None:
                 moved = True
             else:
                 old = alpha[f].select(f, *[F.col(f"__a_{f}_{c}").alias(f"__o_{c}") for c in cols])
-                d = new.join(old, f, "full").agg(*[F.max(F.abs(F.coalesce(f"__a_{f}_{c}", F.lit(0.0))
-                                                                - F.coalesce(f"__o_{c}", F.lit(0.0)))).alias(c)
-                                                   for c in cols]).first()
-                if any((d[c] or 0.0) > limits[c] for c in cols):
-                    moved = True
+                d = join_on(new, old, [f]).agg(*[F.max(F.abs(F.col(f"__a_{f}_{c}") - F.col(f"__o_{c}"))).alias(c)
+                                                 for c in cols]).first()
+                moved |= any((d[c] or 0.0) > limits[c] for c in cols)
             alpha[f] = new
         if len(fes) == 1 or not moved:
             break
     else:
         raise RuntimeError(f"the fixed effects still move after {max_iter} sweeps")
-    base.sparkSession.conf.set("tally.last_demean_sweeps", str(it + 1))
-    return with_effects(None)
+    cells.unpersist()
+    df.sparkSession.conf.set("tally.last_demean_sweeps", str(it + 1))
+    frame, add = others(df, None)
+    return frame.select(*[x for x in df.columns if x not in cols], *[(F.col(c) - add[c]).alias(c) for c in cols])
 
 
 def feols(df: DataFrame, y: str, xs: list[str], fes: list[str], *, name: str = "feols",
