@@ -16,6 +16,7 @@ from ..session import cut_lineage, ensure_checkpoint_dir
 from ..sources import io
 from ..sources.tables import Tables
 from . import forum
+from .q_graph import EDGES_SQL as GRAPH_EDGES_SQL
 from .registry import r6, register
 from .views import (FORUM_CFG, ITEM_SQL, STATS_SQL, SUB_SQL, SUBACT_SQL, TRANSFER_SQL, UPLOAD_SQL,
                     acts, forum_item, forum_itemupload, forum_price_raw, forum_sub, forum_subact, forum_transfer,
@@ -740,7 +741,10 @@ def src9_metrics(spark, d):
     return io.metrics_upsert(cur, upd).select("key", "value")
 
 
-@register("src10_graph_export_counts")
+@register("src10_graph_export_counts", f"""
+WITH {GRAPH_EDGES_SQL}
+SELECT (SELECT COUNT(*) FROM (SELECT src FROM edges UNION SELECT dst FROM edges)) AS n_nodes, (SELECT COUNT(*) FROM edges) AS n_edges
+""")
 def src10_graph_export(spark, d):
     from .q_graph import edges
     e = edges(Tables(spark, d))

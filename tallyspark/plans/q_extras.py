@@ -175,7 +175,12 @@ def prj16_not_inactive(spark, d):
     return p.where(~inactive | became).select("user_id", "day")
 
 
-@register("src7_jsonl_results_ingest")
+@register("src7_jsonl_results_ingest", """
+SELECT COUNT(*) AS requests, COUNT(*) FILTER (label IS DISTINCT FROM 0) AS written, COUNT(*) FILTER (label = 0) AS errors,
+       COUNT(*) FILTER (label IS DISTINCT FROM 0 AND vec_id < 10) AS existing,
+       COUNT(*) FILTER (label IS DISTINCT FROM 0 AND vec_id >= 10) AS new
+FROM embeddings
+""")
 def src7_ingest(spark, d):
     """Batch-result JSON lines built from the embeddings table; label 0 rows come back as errors."""
     e = Tables(spark, d).embeddings
