@@ -18,8 +18,8 @@ bucket not all pairs are formed: every member is verified against one pivot,
 the member whose buckets are fullest, usually the common original.  Members of
 buckets that still hold several classes are then closed if they cannot have a
 partner: either similarity is at most the share of a text's shingles, by count
-or by number, that stand in any other such text.  What is left goes through another pivot round,
-and then through the pairs between different classes that no round tested.  So a
+or by number, that stand in any other such text.  Of what is left, the pairs between
+different classes that were not tested yet are verified too.  So a
 link can be skipped only where both ends are in one class already, or where it
 is proved not to exist.  Before texts are compared a pair passes a check of its whole signatures, set five standard errors below the
 threshold.  Verification is exact: a pair is linked if its probability Jaccard
@@ -42,14 +42,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.graph import connected_components
 from .shared import numbered, written
 from .textblocks import U, mix64, pair_hash, row_slices, span_hashes, text_buffer, word_spans
 
 SHINGLE_WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 5
-#: Rounds of one pivot a bucket before the remaining pairs between classes are formed.
-PIVOT_ROUNDS = 2
 SLICE_BYTES = 4 << 20
 
 
@@ -217,6 +214,37 @@ def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, tex
     return written(both.mapInArrow(verify, "a long, b long").distinct(), "links")
 
 
+def components(links: DataFrame) -> DataFrame:
+    """(node, label) of the nodes that have links (a, b): the smallest node that links lead to.
+
+    Each round every node follows its smallest neighbour, and that one's, and the links
+    are drawn anew between the nodes arrived at, until no link is left.  Nodes are hashes, so their order is
+    random along any chain: a fixed share of the nodes goes each round, and rounds are few."""
+    steps = []
+    edges = links.where("a <> b").select("a", "b")
+    while True:
+        ends = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = ends.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("to"))
+        low = low.select("node", F.least("node", "to").alias("to"))
+        step = low.join(low.select(F.col("node").alias("to"), F.col("to").alias("next")), "to").select("node", F.col("next").alias("to"))
+        step = written(step, "step")
+        steps.append(step)
+        for end in ("a", "b"):
+            edges = edges.join(step.withColumnsRenamed({"node": end, "to": f"n{end}"}), end).drop(end)
+        edges = written(edges.where("na <> nb").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).distinct(), "edges")
+        if edges.isEmpty():
+            break
+    label = steps[0]
+    for step in steps[1:]:
+        label = (label.join(step.select(F.col("node").alias("to"), F.col("to").alias("next")), "to", "left")
+                 .select("node", F.coalesce("next", "to").alias("to")))
+    return written(label.withColumnRenamed("to", "label"), "labels")
+
+
+def _labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
+    return rows.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
 def _several(labelled: DataFrame) -> DataFrame:
     """The rows of the buckets that hold more than one class."""
     mixed = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
@@ -233,48 +261,28 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     rows = rows.join(full, "bucket")
     score = rows.groupBy("node").agg(F.sum("size").alias("score"))
     rows = written(rows.join(score, "node").select("bucket", "node", "score"), "buckets")
-    open_rows, links, tested, label = rows.withColumn("label", F.col("node")), None, None, None
-    for turn in range(PIVOT_ROUNDS + 1):
-        if turn < PIVOT_ROUNDS:
-            # The pivot: the fullest member; after the first round, of another class than the bucket's first pivot.
-            pivot = open_rows.groupBy("bucket").agg(F.max(F.struct("score", "node", "label")).alias("p"))
-            if turn:
-                others = open_rows.join(pivot, "bucket").where(F.col("label") != F.col("p.label"))
-                pivot = others.groupBy("bucket").agg(F.max(F.struct("score", "node", "label")).alias("p"))
-            met = open_rows.join(pivot, "bucket").where(F.col("label") != F.col("p.label"))
-            pairs = met.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
-        else:
-            x = open_rows.select("bucket", F.col("node").alias("x"), F.col("label").alias("lx"))
-            y = open_rows.select("bucket", F.col("node").alias("y"), F.col("label").alias("ly"))
-            pairs = (x.join(y, "bucket").where("lx < ly")
-                     .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        if pairs.isEmpty():
-            break
-        tested = pairs if tested is None else tested.unionByName(pairs)
+    # The pivot is the fullest member of a bucket.
+    pivot = rows.groupBy("bucket").agg(F.max(F.struct("score", "node")).alias("p"))
+    met = rows.join(pivot, "bucket").where(F.col("node") != F.col("p.node"))
+    tested = written(met.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct(), "pairs")
+    label = components(_links(tested, nodes, docs, id_col, text_col, threshold))
+    open_rows = written(_several(_labelled(rows, label)), "open")
+    closed = written(_without_partner(open_rows, nodes, docs, id_col, text_col, threshold), "closed")
+    open_rows = written(_several(open_rows.join(closed, "node", "left_anti")), "open")
+    x = open_rows.select("bucket", F.col("node").alias("x"), F.col("label").alias("lx"))
+    y = open_rows.select("bucket", F.col("node").alias("y"), F.col("label").alias("ly"))
+    pairs = x.join(y, "bucket").where("lx < ly").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+    if not pairs.isEmpty():  # the new links join classes
         new = _links(pairs, nodes, docs, id_col, text_col, threshold)
-        links = new if links is None else links.unionByName(new)
-        if not new.isEmpty():
-            label = written(connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "labels")
-        if turn < PIVOT_ROUNDS:
-            labelled = rows
-            if label is not None:
-                labelled = rows.join(label.withColumnRenamed("component", "label"), "node", "left")
-                labelled = labelled.withColumn("label", F.coalesce("label", "node"))
-            else:
-                labelled = rows.withColumn("label", F.col("node"))
-            open_rows = written(_several(labelled), "open")
-            if not turn:
-                closed = written(_without_partner(open_rows, nodes, docs, id_col, text_col, threshold), "closed")
-                rows = written(rows.join(closed, "node", "left_anti"), "rows")
-                open_rows = written(_several(open_rows.join(closed, "node", "left_anti")), "open")
+        for end in ("a", "b"):
+            new = new.join(label.withColumnsRenamed({"node": end, "label": f"l{end}"}), end, "left")
+        new = new.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+        joined = components(new)
+        both = label.join(joined.select(F.col("node").alias("label"), F.col("label").alias("joined")), "label", "full")
+        label = both.select(F.coalesce("node", "label").alias("node"), F.coalesce("joined", "label").alias("label"))
     member = nodes.select("node", "first_id", "n_docs")
-    if label is not None:
-        member = member.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    else:
-        member = member.withColumn("component", F.col("node"))
+    member = member.join(label, "node", "left").withColumn("component", F.coalesce("label", "node")).drop("label")
     first = F.min(F.struct(F.col("first_id").isNull().alias("none"), F.col("first_id"), F.col("node"))).alias("f")
     by_class = member.groupBy("component").agg(first, F.sum("n_docs").alias("class_size"))
     member = member.join(by_class, "component").select("node", "f", "class_size")
