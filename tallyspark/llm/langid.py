@@ -107,7 +107,8 @@ def gram_hashes(sym: np.ndarray, order: int):
         at = np.flatnonzero(age >= max(k - 1, 1))  # nothing ends at an opening mark
         if k > 1:
             prev = np.zeros(n, U)
-            prev[k - 1:] = s[:n - k + 1]
+            if k <= n:
+                prev[k - 1:] = s[:n - k + 1]
             h = mix64(h * U(0x9FB21C651E98DF25) + prev * U(2 * k + 1))
         yield k, at, h[at]
 
