@@ -10,8 +10,10 @@ probability Jaccard
 
 (the plain Jaccard where all counts are 1).  A shingle stops as soon as its next
 arrival is later than the latest slot of its text, so most shingles need one or
-two draws.  ``BANDS`` bands of ``ROWS`` slots give candidate buckets; a pair at
-0.8 shares none with probability below 1e-5.
+two draws.  A second signature takes every count as 1, so its slots agree with
+probability equal to the plain Jaccard; where no shingle repeats both are one.
+``BANDS`` bands of ``ROWS`` slots of either signature give candidate buckets; a pair at
+0.8 by either measure shares none with probability below 1e-5.
 
 Only distinct texts take part (copies share a hash of the whole text).  In a
 bucket not all pairs are formed: every member is verified against one pivot,
@@ -21,8 +23,8 @@ partner: either similarity is at most the share of a text's shingles, by count
 or by number, that stand in any other such text.  Of what is left, the pairs between
 different classes that were not tested yet are verified too.  So a
 link can be skipped only where both ends are in one class already, or where it
-is proved not to exist.  Before texts are compared a pair passes a check of its whole signatures, set five standard errors below the
-threshold.  Verification is exact: a pair is linked if its probability Jaccard
+is proved not to exist.  Before texts are compared a pair passes a check of its whole signatures: the larger of the two agreements
+is at most five standard errors below the threshold.  Verification is exact: a pair is linked if its probability Jaccard
 or the plain Jaccard of its shingle sets reaches the threshold.
 
 Classes are the connected components of the links.  Result: doc_id, class_id
@@ -97,6 +99,16 @@ def signatures(row: np.ndarray, key: np.ndarray, weight: np.ndarray, n_rows: int
     return owner.reshape(n_rows, m)
 
 
+def plain_signatures(row: np.ndarray, key: np.ndarray, weight: np.ndarray, sig: np.ndarray) -> np.ndarray:
+    """The signatures where every count is 1, given those of the counts: rows without a repeated shingle keep theirs."""
+    again = np.zeros(len(sig), bool)
+    again[row[weight > 1]] = True
+    on = again[row]
+    plain = sig.copy()
+    plain[again] = signatures((np.cumsum(again) - 1)[row[on]], key[on], np.ones(int(on.sum())), int(again.sum()), sig.shape[1])
+    return plain
+
+
 def similarity(a, b, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
     """(probability Jaccard, plain Jaccard) by row of two weighted sets (row, key, count)."""
     ka, kb = pair_hash(a[0].astype(U), a[1]), pair_hash(b[0].astype(U), b[1])
@@ -123,7 +135,10 @@ def similarity(a, b, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, node, bands array<long>, sketch binary): a hash of the text, the band hashes, one byte a slot."""
+    """(doc_id, node, bands array<long>, sketch binary): a hash of the text, the distinct band hashes and one byte a slot,
+    of the signature by counts and of the plain one.
+
+    Both signatures have the same salts: a text without repeats has the same bands in both, and meets the plain ones of others."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("node"), text.alias("text"))
 
@@ -134,13 +149,14 @@ def _signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for i, j in row_slices(offs, SLICE_BYTES):
                 row, key, count = shingles(buf[offs[i]:offs[j]], offs[i:j + 1] - offs[i])
                 sig = signatures(row, key, count, j - i)
-                parts = sig.reshape(j - i, BANDS, ROWS)
-                band = np.broadcast_to(salt, (j - i, BANDS))
+                both = np.concatenate((sig, plain_signatures(row, key, count, sig)), axis=1)
+                parts = both.reshape(j - i, 2 * BANDS, ROWS)
+                band = np.broadcast_to(np.concatenate((salt, salt)), (j - i, 2 * BANDS))
                 for k in range(ROWS):
                     band = pair_hash(band, parts[:, :, k])
                 solid = np.bincount(row, minlength=j - i) > 0
-                bands = pa.array([b if s else None for b, s in zip(band.view(np.int64), solid)], pa.list_(pa.int64()))
-                sketch = (sig >> U(40)).astype(np.uint8)
+                bands = pa.array([np.unique(b) if s else None for b, s in zip(band.view(np.int64), solid)], pa.list_(pa.int64()))
+                sketch = (both >> U(40)).astype(np.uint8)
                 yield pa.record_batch([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), bands,
                                        pa.array([s.tobytes() for s in sketch], pa.binary())],
                                       names=["doc_id", "node", "bands", "sketch"])
@@ -189,8 +205,8 @@ def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, tex
     def agree(batches):
         for batch in batches:
             if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, m) for c in (2, 3))
-                near = pa.array((x == y).mean(1) >= least)
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, 2, m) for c in (2, 3))
+                near = pa.array((x == y).mean(2).max(1) >= least)
                 yield batch.select([0, 1]).filter(near)
 
     s = nodes.select("node", "sketch")

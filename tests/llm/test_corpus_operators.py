@@ -232,6 +232,25 @@ def test_chains_and_stars(spark):
     assert got == sorted(brute.near_duplicate_classes(rows), key=repr)
 
 
+def test_one_text_repeats_a_passage(spark):
+    """Plain Jaccard about 0.97, probability Jaccard about 0.5: linked, though the counts share hardly a slot."""
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    rows = []
+    for k in range(8):
+        w = rng.choices(vocabulary, k=600)
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(w + w[-10:] * 50))]
+    counts = [brute.shingle_counts(t) for _, t in rows]
+    for a, b in zip(counts[::2], counts[1::2]):
+        weighted, plain = brute.jaccards(a, b)
+        assert weighted < 0.7 and plain > 0.95
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(brute.near_duplicate_classes(rows), key=repr)
+    assert sorted({(c, n) for _, c, n in want}) == [(2 * k, 2) for k in range(8)]
+    assert rows_of(neardup.classes(docs).select("doc_id", "class_id", "class_size")) == want
+    assert neardup.one_of_each(docs).count() == 8
+
+
 def test_one_of_each(odd, odd_rows, clashing):
     got = rows_of(neardup.one_of_each(odd))
     classes = brute.near_duplicate_classes(pairs(odd_rows))
