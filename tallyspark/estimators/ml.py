@@ -9,6 +9,7 @@ from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, Lin
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
 from .linear import COEF_SCHEMA
 
 
@@ -51,6 +52,7 @@ def boosted_trees(df: DataFrame, y: str, xs: list[str], *, n_trees: int = 500, d
                   rate: float = 0.05, subsample: float = 0.8, seed: int = 42):
     """ES17 (and ES18 baseline): in-sample RMSE and R² of boosted trees and of a linear model,
     and the trees' feature importances."""
+    ensure_checkpoint_dir(df.sparkSession)  # hundreds of trees: the fit cuts its lineage there
     d = VectorAssembler(inputCols=xs, outputCol="__f").transform(df.select(y, *xs).dropna()).cache()
     gbt = GBTRegressor(featuresCol="__f", labelCol=y, maxIter=n_trees, maxDepth=depth, stepSize=rate,
                        subsamplingRate=subsample, seed=seed).fit(d)

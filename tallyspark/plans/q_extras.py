@@ -200,7 +200,7 @@ def src7_ingest(spark, d):
 @register("ag27_feature_importance_groups")
 def ag27_importance_groups(spark, d):
     f = _doc_features(Tables(spark, d)).withColumn("quality", F.col("quality").cast("double"))
-    m = ml.boosted_trees(f, "quality", ["num_words", "log_chars", "is_en"], n_trees=20, depth=4)
+    m = ml.boosted_trees(f, "quality", ["num_words", "log_chars", "is_en"])
     groups = spark.createDataFrame([("importance_num_words", "words"), ("importance_log_chars", "text"),
                                     ("importance_is_en", "language")], "metric string, feature_group string")
     return (m.join(F.broadcast(groups), "metric").groupBy("feature_group")

@@ -119,7 +119,7 @@ def es13_kernel(spark, d):
 def es14_bootstrap(spark, d):
     e = Tables(spark, d).events.select("event_id", (F.hour("ts").cast("double") + F.minute("ts") / 60.0).alias("x"),
                                        F.col("value").alias("y"))
-    return kernel.weighted_kreg(e, "x", "y", 2.0, [float(i) for i in range(24)], nboot=50, key="event_id")
+    return kernel.weighted_kreg(e, "x", "y", 2.0, [float(i) for i in range(24)], nboot=200, key="event_id")
 
 
 @register("es15_moving_window_line", """
@@ -140,7 +140,7 @@ def es15_moving_window(spark, d):
 
 @register("es16_pca_explained_variance")
 def es16_pca(spark, d):
-    ev, _ = ml.pca(Tables(spark, d).embeddings, "embedding", 3, key="vec_id", n_ratio=10)
+    ev, _ = ml.pca(Tables(spark, d).embeddings, "embedding", 3, key="vec_id")
     return ev
 
 
@@ -153,7 +153,7 @@ def es16_pca_scores(spark, d):
 @register("es17_es18_boosted_trees_vs_linear")
 def es17_gbt(spark, d):
     f = _doc_features(Tables(spark, d)).withColumn("quality", F.col("quality").cast("double"))
-    return ml.boosted_trees(f, "quality", ["num_words", "log_chars", "is_en"], n_trees=20, depth=4)
+    return ml.boosted_trees(f, "quality", ["num_words", "log_chars", "is_en"])
 
 
 @register("es19_model_table", """

@@ -390,8 +390,7 @@ def wn23_global_prefix(spark, d):
 
 @register("wn22_prior_category_mean_kernel")
 def wn22_prior_kernel(spark, d):
-    """Time-of-day-kernel prior means (cosine-series form, 8 terms); brute-force checked in tests."""
+    """Time-of-day-kernel prior means (cosine-series form); brute-force checked in tests."""
     p = prior_posts(Tables(spark, d))
-    out = sq.kernel_prior_category_means(p, "o_custkey", "o_orderdate", "o_orderkey", "cat", "y", CATS,
-                                         n_terms=8)
+    out = sq.kernel_prior_category_means(p, "o_custkey", "o_orderdate", "o_orderkey", "cat", "y", CATS)
     return out.select("o_orderkey", *[r6(f"prior_kernel_mean_{c}").alias(f"prior_kernel_mean_{c}") for c in CATS])
