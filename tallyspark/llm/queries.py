@@ -1,4 +1,4 @@
-"""The ten operators over their whole tables, with production parameters; importing this module registers them."""
+"""The operators over their whole tables, with production parameters; importing this module registers them."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import bpe, idfiles, langid, lm, mixing, neardup, quality, sharding, suffixes, topk
+from . import bpe, idfiles, langid, lm, mixing, neardup, quality, ranking, secretscan, sharding, suffixes, topk, whitening
 from .registry import register
 from .textblocks import crc_remainder
 
@@ -125,3 +125,46 @@ def op4_repeats(spark, sf_dir):
 def op2_idfiles(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
     return idfiles.read_files(idfiles.write_files(docs, public_tokenizers.path("byte_bpe_50k.json")))
+
+
+@register("op11_whitening")
+def op11_whitening(spark, sf_dir):
+    return whitening.whitened(read_table(spark, sf_dir, "embeddings"))
+
+
+@register("op12_secrets")
+def op12_secrets(spark, sf_dir):
+    return secretscan.scan(read_table(spark, sf_dir, "documents"))
+
+
+@register("op13_ranking", """
+WITH words AS (
+  SELECT doc_id, row_number() OVER () AS d,
+         list_transform(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'),
+                        lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS t
+  FROM documents WHERE text IS NOT NULL),
+docs AS (SELECT *, len(t)::BIGINT AS n FROM words WHERE len(t) > 0),
+asked AS (
+  SELECT item_id, i, t, count(*)::BIGINT AS times
+  FROM (SELECT item_id, row_number() OVER () AS i,
+               unnest(list_transform(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'),
+                      lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) AS t
+        FROM benchmark WHERE text IS NOT NULL)
+  GROUP BY ALL),
+total AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM docs),
+postings AS (
+  SELECT doc_id, d, n, t, count(*)::BIGINT AS tf
+  FROM (SELECT doc_id, d, n, unnest(t) AS t FROM docs) WHERE t IN (SELECT t FROM asked) GROUP BY ALL),
+weights AS (
+  SELECT t, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+  FROM postings, total GROUP BY t, n_docs),
+scored AS (
+  SELECT item_id, i, d, doc_id,
+         sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM asked JOIN weights USING (t) JOIN postings USING (t), total GROUP BY ALL),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM placed WHERE rank <= 10
+""")
+def op13_ranking(spark, sf_dir):
+    return ranking.rank(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
