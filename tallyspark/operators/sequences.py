@@ -2,7 +2,7 @@
 
 Per-key windows here run over panels (rows per key bounded by the calendar
 span) or over per-user event rows; running sums over raw facts go through
-:func:`scan.prefix_sums`, which partitions by (key, day) so a hot key is split.
+:mod:`scan`, which deals rows by ranges of (key, time), so hot keys and hot days are split.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from . import scan
 
 U = Window.unboundedPreceding
@@ -217,30 +218,28 @@ def prior_category_means(df: DataFrame, user: str, time: str, tiebreak: str, cat
     * uniform, all users since this user's first post (WN19): prefix sums
       once, difference at the user's first time;
     * own posts only (WN20): ``own_only=True``;
-    * exponentially decayed (WN21): ``decay_half_life_days``; weights
-      e^{lambda (t_j - T0)} cancel in the ratio, T0 = the earliest time.
+    * exponentially decayed (WN21), of all users or with ``own_only`` of the
+      user: ``decay_half_life_days`` (:func:`scan.decayed_means`).
 
     Earlier = before in (time, tiebreak) order (rule N8).  No earlier post of
     the category gives NULL (0/0).
     """
-    lam = 0.0 if decay_half_life_days is None else math.log(2) / (decay_half_life_days * 86400.0)
-    t0 = df.agg(F.min(time).alias("__t0"))
-    d = df.crossJoin(F.broadcast(t0))  # one row
-    wgt = F.exp(F.lit(lam) * (F.unix_micros(F.col(time)) - F.unix_micros(F.col("__t0"))) / 1e6)
+    by = [user] if own_only else []
+    if decay_half_life_days is not None:
+        return scan.decayed_means(df, by, time, [tiebreak], cat, y, categories, decay_half_life_days * 86400.0, "prior_mean_")
     vals = {}
     for c in categories:
         is_c = (F.col(cat) == F.lit(c)).cast("double")
-        vals[f"__num_{c}"] = is_c * F.col(y).cast("double") * wgt
-        vals[f"__den_{c}"] = is_c * wgt
-    by = [user] if own_only else []
+        vals[f"__num_{c}"] = is_c * F.col(y).cast("double")
+        vals[f"__den_{c}"] = is_c
     use_base = not own_only and since_user_first
-    d = scan.prefix_sums(d, by, time, vals, strict=False, tiebreak=[tiebreak],
+    d = scan.prefix_sums(df, by, time, vals, strict=False, tiebreak=[tiebreak],
                          strict_suffix="_strict" if use_base else None)
     if use_base:
         d = _subtract_user_first(d, user, time, tiebreak, list(vals))
     res = [F.try_divide(F.col(f"__num_{c}"), F.nullif(F.col(f"__den_{c}"), F.lit(0.0))).alias(f"prior_mean_{c}")
            for c in categories]
-    return d.select(*[c for c in d.columns if not c.startswith("__")], *res)
+    return d.select(*df.columns, *res)
 
 
 def _subtract_user_first(d: DataFrame, user: str, time: str, tiebreak: str, cols: list[str]) -> DataFrame:
@@ -248,7 +247,7 @@ def _subtract_user_first(d: DataFrame, user: str, time: str, tiebreak: str, cols
     first time).  The first row is found by a min_by aggregation (partial, skew-safe), not a window."""
     first = d.groupBy(user).agg(F.min_by(F.struct(*[F.col(c + "_strict").alias(c) for c in cols]),
                                          F.struct(time, tiebreak)).alias("__base"))
-    d = d.join(first, user, "left")
+    d = scan.join_on(d, first, [user], "left")
     return d.select(*[c for c in d.columns if c not in cols and not c.endswith("_strict") and c != "__base"],
                     *[(F.col(c) - F.col("__base")[c]).alias(c) for c in cols])
 
@@ -274,57 +273,128 @@ def strictly_prior_totals(posts: DataFrame, zaps: DataFrame, user: str, time: st
     return out.where(F.col("__is_post") == 1).drop("__is_post", "__sats", "__zflag")
 
 
-def kernel_fourier_coefficients(half_life_s: float, period: float, n_terms: int) -> list[float]:
-    """Cosine-series coefficients of the wrapped activity kernel exp(-(d / sigma)^2), sigma = half-life / ln 2.
+def kernel_weight(distance: Column, half_life_s: float, period: float) -> Column:
+    """The activity kernel exp(-(d / sigma)^2) of a distance wrapped to half a period; sigma = half-life / ln 2."""
+    wrapped = F.pmod(distance + period / 2, F.lit(period)) - period / 2
+    return F.exp(-F.pow(wrapped * F.lit(math.log(2) / half_life_s), F.lit(2.0)))
+
+
+def kernel_series(half_life_s: float, period: float, tolerance: float) -> list[float]:
+    """Cosine coefficients a_0, ..., a_M of the activity kernel, M the least with 2 (|a_M+1| + |a_M+2| + ...) <= tolerance.
 
-    A parameter-sized numeric integral (not data)."""
+    So the series a_0 + 2 sum a_m cos(2 pi m d / period) is within ``tolerance`` of the kernel everywhere.  The
+    coefficients fall as 1 / m^2, as the kernel w has a corner half a period away.  Those up to 2^14 are added up; by
+    parts four times, the ones beyond come to at most period |w'(period / 2)| / (2 pi^2 2^14) and a term in 2^-42.  A mean
+    of values in [-Y, Y] is off by at most 2 Y tolerance / (mean weight of the posts it is over)."""
     import numpy as np
-    sigma = half_life_s / math.log(2)
-    d = np.linspace(-period / 2, period / 2, 200_001)
-    w = np.exp(-(d / sigma) ** 2)
-    return [float(np.trapezoid(w * np.cos(2 * math.pi * m * d / period), d) / period) for m in range(n_terms + 1)]
+    sigma, n, top = half_life_s / math.log(2), 1 << 18, 1 << 14
+    d = np.arange(n) * (period / n)
+    a = np.fft.rfft(np.exp(-(np.minimum(d, period - d) / sigma) ** 2)).real / n
+    slope = abs(period / sigma ** 2 * math.exp(-(period / 2 / sigma) ** 2))
+    rest = period * slope / (2 * math.pi ** 2 * top) + (period / sigma / top) ** 3
+    tail = 2 * (np.append(np.cumsum(np.abs(a[top:0:-1]))[::-1], 0.0) + rest)  # tail[m]: what terms beyond m come to
+    enough = np.flatnonzero(tail <= tolerance)
+    if not len(enough):
+        raise ValueError(f"tolerance {tolerance} needs more than {top} terms")
+    return a[:enough[0] + 1].tolist()
+
+
+def _second_of_day(time: str) -> Column:
+    return (F.hour(time) * 3600 + F.minute(time) * 60 + F.second(time)).cast("double")
+
+
+def with_peak(df: DataFrame, user: str, time: str, out: str = "__peak") -> DataFrame:
+    """Add the mean second of the day at which the row's user posts."""
+    peak = df.groupBy(user).agg(F.avg(_second_of_day(time)).alias(out))
+    return scan.join_on(df, peak, [user], "left")
 
 
 def kernel_prior_category_means(df: DataFrame, user: str, time: str, tiebreak: str, cat: str, y: str,
-                                categories: list, *, half_life_hours: float = 3.0, n_terms: int = 12,
-                                own_only: bool = False, period: float = 86400.0) -> DataFrame:
+                                categories: list, *, half_life_hours: float = 3.0, tolerance: float = 1e-4,
+                                own_only: bool = False, period: float = 86400.0, uniform: str | None = None) -> DataFrame:
     """WN22: prior category means weighted by closeness of each earlier post's time of day to the
     user's mean posting time (circular distance, kernel exp(-(d/sigma)^2)).
 
-    The kernel is periodic in (peak - s), so it is expanded in a cosine series
-    and cos(m(a - b)) splits into products: the weighted sums become 2M+1
-    plain prefix sums per category (the two-level scan), evaluated at each
-    post with its user's peak -- linear work instead of users x posts.  The
-    truncation error is set by ``n_terms``.  Information set as WN19 (all
-    users' posts since this user's first post) or, with ``own_only``, the
-    user's own earlier posts.
+    * ``own_only``: the user's own earlier posts.  Their weights depend on the
+      user alone, so plain prefix sums of weighted values are exact;
+    * else all users' posts since this user's first one.  The kernel is periodic in (peak - s), so it is
+      expanded in a cosine series (:func:`kernel_series`, within ``tolerance``) and cos(m(a - b)) splits into
+      products: the weighted sums become one vector of prefix sums a category, which a task evaluates at each
+      post with its user's peak -- linear work instead of users x posts, and the vectors stay in the task.
+
+    No earlier post of the category (an exact count) gives NULL.  ``uniform``: also add the unweighted means under
+    this prefix, from the same pass.
     """
-    a = kernel_fourier_coefficients(half_life_hours * 3600.0, period, n_terms)
-    sod = (F.hour(time) * 3600 + F.minute(time) * 60 + F.second(time)).cast("double")
-    theta = sod * F.lit(2 * math.pi / period)
-    d = df.withColumn("__theta", theta)
-    peak = d.groupBy(user).agg((F.avg(sod) * F.lit(2 * math.pi / period)).alias("__peak"))
-    vals = {}
-    for c in categories:
-        is_c = (F.col(cat) == F.lit(c)).cast("double")
-        for kind, base in (("n", is_c * F.col(y).cast("double")), ("d", is_c)):
-            vals[f"__{kind}_{c}_0"] = base
-            for m in range(1, n_terms + 1):
-                vals[f"__{kind}_{c}_c{m}"] = base * F.cos(F.col("__theta") * m)
-                vals[f"__{kind}_{c}_s{m}"] = base * F.sin(F.col("__theta") * m)
-    by = [user] if own_only else []
-    out = scan.prefix_sums(d, by, time, vals, strict=False, tiebreak=[tiebreak],
-                           strict_suffix=None if own_only else "_strict")
-    if not own_only:
-        out = _subtract_user_first(out, user, time, tiebreak, list(vals))
-    out = out.join(peak, user, "left")
-
-    def series(kind, c):
-        s = F.lit(a[0]) * F.col(f"__{kind}_{c}_0")
-        for m in range(1, n_terms + 1):
-            s = s + F.lit(2 * a[m]) * (F.cos(F.col("__peak") * m) * F.col(f"__{kind}_{c}_c{m}")
-                                        + F.sin(F.col("__peak") * m) * F.col(f"__{kind}_{c}_s{m}"))
-        return s
-    res = [F.when(F.col(f"__d_{c}_0") > 0.5, series("n", c) / series("d", c)).alias(f"prior_kernel_mean_{c}")
-           for c in categories]
-    return out.select(*[c for c in out.columns if not c.startswith("__")], *res)
+    half, names = half_life_hours * 3600.0, [f"prior_kernel_mean_{c}" for c in categories]
+    d = with_peak(df, user, time)
+    if own_only:
+        w = kernel_weight(F.col("__peak") - _second_of_day(time), half, period)
+        vals = {}
+        for i, c in enumerate(categories):
+            is_c = (F.col(cat) == F.lit(c)).cast("double")
+            vals |= {f"__kn{i}": is_c * F.col(y).cast("double") * w, f"__kd{i}": is_c * w, f"__n{i}": is_c * F.col(y).cast("double"), f"__d{i}": is_c}
+        out = scan.prefix_sums(d, [user], time, vals, strict=False, tiebreak=[tiebreak])
+    else:
+        a, k = kernel_series(half, period, tolerance), len(categories)
+        terms = len(a) - 1
+        turn = 2 * math.pi / period
+        code = F.coalesce(F.array_position(F.array(*[F.lit(c) for c in categories]), F.col(cat)), F.lit(0))
+        compact = F.array(F.when(F.col(time).isNull(), 0).otherwise(code).cast("double"), F.coalesce(F.col(y).cast("double"), F.lit(0.0)),
+                          F.coalesce(_second_of_day(time), F.lit(0.0)) * turn)
+        order = F.array(*[F.struct(F.lit(float(m)).alias("m"), F.lit(2 * x).alias("x")) for m, x in enumerate(a[1:], 1)])
+        angle = F.coalesce(F.col("__peak"), F.lit(0.0)) * turn
+        coefficients = F.concat(F.array(F.lit(a[0])), F.transform(order, lambda t: t["x"] * F.cos(angle * t["m"])),
+                                F.transform(order, lambda t: t["x"] * F.sin(angle * t["m"])))
+
+        def expand(v):
+            """Kernel numerator and denominator, and the plain ones (first coefficient only), of each category."""
+            import numpy as np
+            waves = np.empty((len(v), 2 * terms + 1))
+            waves[:, 0] = 1.0
+            angles = v[:, 2:] * np.arange(1, terms + 1)
+            np.cos(angles, out=waves[:, 1:terms + 1])
+            np.sin(angles, out=waves[:, terms + 1:])
+            out = np.zeros((len(v), 4 * k, 2 * terms + 1))
+            for c in range(k):
+                at = np.flatnonzero(v[:, 0] == c + 1)
+                out[at, 4 * c] = waves[at] * v[at, 1:2]
+                out[at, 4 * c + 1] = waves[at]
+                out[at, 4 * c + 2, 0] = v[at, 1]
+                out[at, 4 * c + 3, 0] = 1.0
+            return out.reshape(len(v), -1)
+
+        out = scan.prefix_vectors(d, [], time, compact, tiebreak=[tiebreak], strict=True, expand=expand, width=4 * k * (2 * terms + 1),
+                                  project=coefficients, groups=4 * k)
+        cols = [f"__{kind}{i}" for i in range(k) for kind in ("kn", "kd", "n", "d")]
+        out = out.select("*", *[F.col("__before")[j].alias(c) for j, c in enumerate(cols)],
+                         *[F.col("__earlier")[j].alias(c + "_strict") for j, c in enumerate(cols)])
+        out = _subtract_user_first(out, user, time, tiebreak, cols)
+        out = out.withColumns({f"__{kind}{i}": F.col(f"__{kind}{i}") / F.lit(a[0]) for i in range(k) for kind in ("n", "d")})
+    res = [F.when(F.col(f"__d{i}") > 0.5, F.col(f"__kn{i}") / F.col(f"__kd{i}")).alias(n) for i, n in enumerate(names)]
+    if uniform is not None:
+        res += [F.when(F.col(f"__d{i}") > 0.5, F.col(f"__n{i}") / F.round(f"__d{i}")).alias(f"{uniform}{c}") for i, c in enumerate(categories)]
+    return out.select(*df.columns, *res)
+
+
+def prior_histories(df: DataFrame, user: str, time: str, tiebreak: str, cat: str, y: str, categories: list, *,
+                    decay_half_life_days: float = 28.0, kernel_half_life_hours: float = 3.0, tolerance: float = 1e-4) -> DataFrame:
+    """The seven history families of the choice set, ``{family}_{category}``: means of y over earlier posts of
+
+    * all users since the user's first post: ``cum_avg``, ``cum_avg_activity`` (time-of-day weights);
+    * all users: ``cum_avg_recent`` (decayed);
+    * the user: ``cum_avg_u`` and ``cum_avg_user`` (unweighted), ``cum_avg_recent_u``, ``cum_avg_activity_u``.
+
+    Four scans: for each information set one of plain and time-of-day sums and one of decayed ones.  Each is
+    checkpointed, as the next one's plan would hold it twice.
+    """
+    keys = (user, time, tiebreak, cat, y, categories)
+    out = kernel_prior_category_means(df, *keys, half_life_hours=kernel_half_life_hours, tolerance=tolerance, uniform="cum_avg_")
+    out = out.withColumnsRenamed({f"prior_kernel_mean_{c}": f"cum_avg_activity_{c}" for c in categories})
+    out = prior_category_means(cut_lineage(out), *keys, decay_half_life_days=decay_half_life_days)
+    out = out.withColumnsRenamed({f"prior_mean_{c}": f"cum_avg_recent_{c}" for c in categories})
+    out = kernel_prior_category_means(cut_lineage(out), *keys, half_life_hours=kernel_half_life_hours, own_only=True, uniform="cum_avg_u_")
+    out = out.withColumnsRenamed({f"prior_kernel_mean_{c}": f"cum_avg_activity_u_{c}" for c in categories})
+    out = prior_category_means(cut_lineage(out), *keys, decay_half_life_days=decay_half_life_days, own_only=True)
+    out = out.withColumnsRenamed({f"prior_mean_{c}": f"cum_avg_recent_u_{c}" for c in categories})
+    out = cut_lineage(out)
+    return out.withColumns({f"cum_avg_user_{c}": F.col(f"cum_avg_u_{c}") for c in categories})

@@ -85,13 +85,27 @@ def es6_fixed_effects(spark, d):
 
 
 @register("es6_two_effects_balanced", f"""
-WITH {WEEKLY_SQL}
-SELECT 'sub' AS effect_of, sub AS level, ROUND(AVG(log_posts), 6) AS effect, COUNT(*) AS n_obs FROM wk GROUP BY sub
+WITH RECURSIVE {WEEKLY_SQL},
+n AS (SELECT sub, count(*)::DOUBLE AS n FROM wk GROUP BY sub),
+m AS (SELECT week, count(*)::DOUBLE AS n, avg(log_posts) AS y FROM wk GROUP BY week),
+-- normal equations of the subs, the weeks taken out: s (x) u = b
+b AS (SELECT sub, sum(log_posts - m.y) AS b FROM wk JOIN m USING (week) GROUP BY sub),
+s AS (SELECT a.sub, c.sub AS other, sum(1 / m.n) AS s FROM wk a JOIN wk c USING (week) JOIN m USING (week) GROUP BY ALL),
+r(sub, u, step) AS (
+  SELECT sub, 0.0::DOUBLE, 0 FROM n
+  UNION ALL
+  SELECT r.sub, any_value(r.u) + (any_value(b.b) - any_value(n.n) * any_value(r.u) + sum(s.s * o.u)) / any_value(n.n), any_value(r.step) + 1
+  FROM r JOIN n USING (sub) JOIN b USING (sub) JOIN s USING (sub) JOIN r o ON o.sub = s.other
+  WHERE r.step < 400 GROUP BY r.sub),
+u AS (SELECT sub, u FROM r WHERE step = 400),
+w AS (SELECT week, avg(log_posts - u) AS w, count(*) AS n_obs FROM wk JOIN u USING (sub) GROUP BY week)
+SELECT 'sub' AS effect_of, sub AS level, ROUND(u + (SELECT avg(w) FROM w), 6) AS effect, n.n::BIGINT AS n_obs FROM u JOIN n USING (sub)
 UNION ALL
-SELECT 'week', strftime(week, '%Y-%m-%d'), ROUND(AVG(log_posts) - (SELECT AVG(log_posts) FROM wk), 6), COUNT(*) FROM wk GROUP BY week
+SELECT 'week', strftime(week, '%Y-%m-%d'), ROUND(w - (SELECT avg(w) FROM w), 6), n_obs FROM w
 """)
 def es6_two_effects(spark, d):
-    """Two-way effects of a balanced panel: the unit means, and the week means about the grand mean."""
+    """Two-way effects of a panel, balanced or not: least squares, the weeks' effects about zero (the SQL takes the weeks
+    out of the normal equations and iterates on the units)."""
     w = weekly_posts(Tables(spark, d)).withColumn("week", F.date_format("week", "yyyy-MM-dd"))
     fit = linear.Fit("means", [], np.zeros(0), np.zeros((0, 0)), 0, 0.0, 0)
     eff = linear.fixed_effects(w, fit, "log_posts", ["sub", "week"])

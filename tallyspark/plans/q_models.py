@@ -200,12 +200,6 @@ def _choice_set(spark, d):
     return cs.drop("__mx", "__mn")
 
 
-@register("dt21_choice_set")
-def dt21_choice_set(spark, d):
-    cs = _choice_set(spark, d)
-    return cs.select("o_orderkey", "alternative", "chosen", "cum_avg", "cum_avg_user", "experience_posts")
-
-
 @register("es9_es10_es11_conditional_logit")
 def es9_clogit(spark, d):
     from ..estimators import clogit

@@ -386,11 +386,3 @@ def wn23_global_prefix(spark, d):
     e = Tables(spark, d).events
     out = scan.prefix_sums(e, [], "ts", {"running_before": F.col("value")}, strict=False, tiebreak=["event_id"])
     return out.select("event_id", r6("running_before").alias("running_before"))
-
-
-@register("wn22_prior_category_mean_kernel")
-def wn22_prior_kernel(spark, d):
-    """Time-of-day-kernel prior means (cosine-series form); brute-force checked in tests."""
-    p = prior_posts(Tables(spark, d))
-    out = sq.kernel_prior_category_means(p, "o_custkey", "o_orderdate", "o_orderkey", "cat", "y", CATS)
-    return out.select("o_orderkey", *[r6(f"prior_kernel_mean_{c}").alias(f"prior_kernel_mean_{c}") for c in CATS])

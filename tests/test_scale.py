@@ -35,9 +35,9 @@ def test_filters_and_columns_reach_the_scan(spark):
 
 
 @pytest.mark.parametrize("name", ["jn4_asof_owner", "wn16_strictly_prior_totals", "wn23_global_prefix_sum"])
-def test_fact_scans_are_bucketed_by_time(spark, name):
-    # the running scans partition facts by (key, day bucket), never by the key alone
-    assert "__bucket" in plan(spark, name)
+def test_fact_scans_are_dealt_by_ranges(spark, name):
+    # the running scans deal facts by ranges of (key, time), never by the key or the day alone
+    assert "rangepartitioning" in plan(spark, name)
 
 
 def test_attribution_aggregates_in_two_levels(spark):
