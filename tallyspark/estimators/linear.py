@@ -17,6 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import connected_components
 from ..operators.scan import join_on
 from ..session import cut_lineage
 
@@ -116,56 +117,165 @@ def drop_singletons(df: DataFrame, fes: list[str]) -> DataFrame:
     return cur
 
 
-def demean(df: DataFrame, cols: list[str], fes: list[str], *, tol: float = 1e-9, max_iter: int = 1000,
-           checkpoint_every: int = 1) -> DataFrame:
-    """ES2: remove fixed effects by backfitting (Gauss-Seidel alternating projections).
+#: Up to so many levels and cells the normal equations of the levels are solved on the driver; beyond, by conjugate gradients.
+DIRECT_LEVELS, DIRECT_CELLS = 2_048, 200_000
 
-    The facts are read twice: once to sum them up per cell (combination of
-    levels, with partial aggregation, so a hot cell is pre-summed in every
-    task) and once at the end, to take the effects off.  A sweep works on the
-    cells alone: for each effect f it joins the *other* effects' current level
-    tables (one row per level) and averages the rest by level of f.  Only the
-    level tables are checkpointed per sweep, so the plan stays linear.  The
-    sweeps stop when no level moves by more than ``tol`` x (column scale); a
-    sweep too many is an error.  One fixed effect is exact in one pass.
+
+def cell_table(df: DataFrame, cols: list[str], fes: list[str]) -> DataFrame:
+    """One row a combination of levels: its rows ``__n`` and the sums ``__s`` of ``cols``, with partial aggregation, so a
+    hot cell is pre-summed in every task."""
+    return df.groupBy(*fes).agg(F.count(F.lit(1)).alias("__n"), *[F.sum(c).alias(f"__s{i}") for i, c in enumerate(cols)]).select(
+        *fes, "__n", F.array(*[F.coalesce(f"__s{i}", F.lit(0.0)) for i in range(len(cols))]).alias("__s"))
+
+
+def solve_levels(cells: DataFrame, fes: list[str], k: int, *, tol: float = 1e-10, max_rounds: int = 200, direct: bool | None = None,
+                 seen: dict | None = None) -> dict[str, DataFrame]:
+    """The least-squares levels of all effects for each of the k columns of ``cells``: effect -> (level, ``__n`` rows, ``__a`` array).
+
+    The levels solve the normal equations, cell counts by cell sums.  They are
+    identified up to one constant an effect in each *connected set* of levels (levels that share cells, directly or over others),
+    so the second and later effects have mean zero over the levels of each set and the first carries the level; three
+    and more effects that are tied in further ways get the smallest solution.
+
+    At most ``DIRECT_LEVELS`` levels and ``DIRECT_CELLS`` cells are solved on the driver (both are counted first); beyond that
+    conjugate gradients work on the level tables, scaled by the levels' counts: a round is one join and aggregation of the
+    cells an effect and one small sum, and only the level tables are checkpointed.  ``direct`` chooses the way in tests.
+    ``seen`` takes the number of rounds.
     """
-    scale = df.agg(*[F.stddev_pop(c).alias(c) for c in cols]).first()
-    limits = {c: tol * max(scale[c] or 0.0, 1e-300) for c in cols}
-    cells = df.groupBy(*fes).agg(F.count(F.lit(1)).alias("__n"), *[F.sum(c).alias(f"__s_{c}") for c in cols]).persist()
-    alpha: dict[str, DataFrame | None] = {f: None for f in fes}
-
-    def others(frame: DataFrame, skip: str | None) -> tuple[DataFrame, dict]:
-        """The frame with the levels of all effects but one, and their sum by column."""
-        add = {c: F.lit(0.0) for c in cols}
-        for g in fes:
-            if g != skip and alpha[g] is not None:
-                frame = join_on(frame, alpha[g], [g], "left")
-                add = {c: add[c] + F.coalesce(F.col(f"__a_{g}_{c}"), F.lit(0.0)) for c in cols}
-        return frame, add
-
-    for it in range(max_iter):
-        moved = False
+    if direct is None:
+        sizes = cells.agg(F.count(F.lit(1)).alias("c"), *[(F.countDistinct(f) + F.count_if(F.col(f).isNull())).alias(f"l{i}") for i, f in enumerate(fes)]).first()
+        direct = sizes["c"] <= DIRECT_CELLS and sum(sizes[f"l{i}"] for i in range(len(fes))) <= DIRECT_LEVELS
+    return _solve_directly(cells, fes, k) if direct else _solve_by_gradients(cells, fes, k, tol, max_rounds, seen)
+
+
+def _solve_directly(cells: DataFrame, fes: list[str], k: int) -> dict[str, DataFrame]:
+    rows = cells.select(*[F.col(f).alias(f"__f{i}") for i, f in enumerate(fes)], "__n", "__s").collect()
+    names: list[dict] = [{} for _ in fes]
+    at = np.array([[m.setdefault(r[i], len(m)) for i, m in enumerate(names)] for r in rows], np.int64).reshape(len(rows), len(fes))
+    first = np.cumsum([0] + [len(m) for m in names])
+    at = at + first[:-1]
+    n, sums, size = np.array([r["__n"] for r in rows], float), np.array([r["__s"] for r in rows], float).reshape(len(rows), k), int(first[-1])
+    a, b = np.zeros((size, size)), np.zeros((size, k))
+    for i in range(len(fes)):
+        np.add.at(b, at[:, i], sums)
+        for j in range(len(fes)):
+            np.add.at(a, (at[:, i], at[:, j]), n)
+    sets = np.arange(size)  # connected sets: the smallest level index reached
+    while True:
+        least = sets[at].min(axis=1)
+        new = sets.copy()
+        for i in range(len(fes)):
+            np.minimum.at(new, at[:, i], least)
+        if (new == sets).all():
+            break
+        sets = new
+    counts = np.diag(a).copy()
+    scale = counts.mean() if size else 1.0
+    for s in np.unique(sets):
+        for i in range(1, len(fes)):  # the sum of the set's levels of this effect is to be zero
+            v = ((sets == s) & (np.arange(size) >= first[i]) & (np.arange(size) < first[i + 1])).astype(float)
+            a += np.outer(v, v) * scale / max(v.sum(), 1.0)
+    try:
+        x = np.linalg.solve(a, b) if size else b
+        if not np.isfinite(x).all() or np.linalg.cond(a) > 1e13:
+            raise np.linalg.LinAlgError
+    except np.linalg.LinAlgError:
+        x = np.linalg.lstsq(a, b, rcond=1e-12)[0]
+    out, spark = {}, cells.sparkSession
+    for i, f in enumerate(fes):
+        levels = [(level, int(counts[first[i] + j]), x[first[i] + j].tolist(), int(sets[first[i] + j])) for level, j in names[i].items()]
+        kind = cells.schema[f].dataType.simpleString()
+        out[f] = spark.createDataFrame(levels, f"`{f}` {kind}, __n long, __a array<double>, __set long")
+    return out
+
+
+def _solve_by_gradients(cells: DataFrame, fes: list[str], k: int, tol: float, max_rounds: int, seen: dict | None) -> dict[str, DataFrame]:
+    def zip_with(a, b, fn):
+        return F.zip_with(F.col(a), F.col(b), fn)
+
+    def sums(expr, name):
+        return [F.sum(expr[i]).alias(f"{name}{i}") for i in range(k)]
+
+    tables = {}
+    for f in fes:
+        t = cells.groupBy(f).agg(F.sum("__n").alias("__n"), *sums(F.col("__s"), "__b")).select(f, "__n", F.array(*[f"__b{i}" for i in range(k)]).alias("__r"))
+        tables[f] = cut_lineage(t.select("*", F.array(*[F.lit(0.0)] * k).alias("__a"), F.transform("__r", lambda r: r / F.col("__n")).alias("__p")))
+    start = None
+    for rounds in range(1, max_rounds + 1):
+        frame = cells.select(*fes, "__n")
+        for i, g in enumerate(fes):
+            frame = join_on(frame, tables[g].select(g, F.col("__p").alias(f"__p{i}")), [g])
+        total = F.array(*[sum(F.col(f"__p{j}")[i] for j in range(len(fes))) * F.col("__n") for i in range(k)])
+        frame = frame.select(*fes, total.alias("__t"))
+        for f in fes:
+            q = frame.groupBy(f).agg(*sums(F.col("__t"), "__q")).select(f, F.array(*[f"__q{i}" for i in range(k)]).alias("__q"))
+            tables[f] = cut_lineage(join_on(tables[f], q, [f]))
+        parts = None
         for f in fes:
-            frame, add = others(cells, f)
-            new = frame.groupBy(f).agg(*[(F.sum(F.col(f"__s_{c}") - F.col("__n") * add[c]) / F.sum("__n")).alias(f"__a_{f}_{c}")
-                                         for c in cols])
-            new = cut_lineage(new) if (it + 1) % checkpoint_every == 0 else new.persist()
-            if alpha[f] is None:
-                moved = True
-            else:
-                old = alpha[f].select(f, *[F.col(f"__a_{f}_{c}").alias(f"__o_{c}") for c in cols])
-                d = join_on(new, old, [f]).agg(*[F.max(F.abs(F.col(f"__a_{f}_{c}") - F.col(f"__o_{c}"))).alias(c)
-                                                 for c in cols]).first()
-                moved |= any((d[c] or 0.0) > limits[c] for c in cols)
-            alpha[f] = new
-        if len(fes) == 1 or not moved:
+            r, p, q, n = F.col("__r"), F.col("__p"), F.col("__q"), F.col("__n")
+            part = tables[f].agg(*[x for i in range(k) for x in (
+                F.sum(p[i] * q[i]).alias(f"pq{i}"), F.sum(r[i] * r[i] / n).alias(f"rr{i}"),
+                F.sum(r[i] * q[i] / n).alias(f"rq{i}"), F.sum(q[i] * q[i] / n).alias(f"qq{i}"))])
+            parts = part if parts is None else parts.unionAll(part)
+        got = {c: sum(row[c] or 0.0 for row in rows) for rows in [parts.collect()] for c in parts.columns}
+        rr = np.array([got[f"rr{i}"] for i in range(k)])
+        start = rr if start is None else start
+        step = np.array([got[f"rr{i}"] / got[f"pq{i}"] if got[f"pq{i}"] > 0 else 0.0 for i in range(k)])
+        after = np.array([max(0.0, rr[i] - 2 * step[i] * got[f"rq{i}"] + step[i] ** 2 * got[f"qq{i}"]) for i in range(k)])
+        turn = [float(a / b) if b > 0 else 0.0 for a, b in zip(after, rr)]
+        moves, turns = F.array(*[F.lit(float(s)) for s in step]), F.array(*[F.lit(t) for t in turn])
+        for f in fes:
+            t = tables[f].select(f, "__n", F.zip_with("__r", F.zip_with(moves, "__q", lambda s, q: s * q), lambda r, q: r - q).alias("__r"),
+                                 F.zip_with("__a", F.zip_with(moves, "__p", lambda s, p: s * p), lambda a, p: a + p).alias("__a"), "__p")
+            tables[f] = t.withColumn("__p", F.zip_with(F.transform("__r", lambda r: r / F.col("__n")),
+                                                       F.zip_with(turns, "__p", lambda s, p: s * p), lambda r, p: r + p))
+        if (after <= tol ** 2 * start).all():
             break
     else:
-        raise RuntimeError(f"the fixed effects still move after {max_iter} sweeps")
-    cells.unpersist()
-    df.sparkSession.conf.set("tally.last_demean_sweeps", str(it + 1))
-    frame, add = others(df, None)
-    return frame.select(*[x for x in df.columns if x not in cols], *[(F.col(c) - add[c]).alias(c) for c in cols])
+        raise RuntimeError(f"the fixed effects still move after {max_rounds} rounds")
+    if seen is not None:
+        seen["rounds"] = rounds
+    return _centred_in_sets(cells, fes, k, {f: cut_lineage(t.select(f, "__n", "__a")) for f, t in tables.items()})
+
+
+def _centred_in_sets(cells: DataFrame, fes: list[str], k: int, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Later effects with mean zero in each connected set, the first effect taking their means."""
+    def node(i, f):
+        return F.xxhash64(F.lit(i), F.col(f).cast("string"), F.col(f).isNull())
+
+    if len(fes) == 1:
+        return {fes[0]: tables[fes[0]].withColumn("__set", node(0, fes[0]))}
+    edges = None
+    for i, f in enumerate(fes[1:], 1):
+        e = cells.select(node(0, fes[0]).alias("src"), node(i, f).alias("dst")).distinct()
+        edges = e if edges is None else edges.unionAll(e)
+    sets = connected_components(edges).select(F.col("node").alias("__node"), F.col("component").alias("__set"))
+    out = {f: t.withColumn("__node", node(i, f)).join(sets, "__node").drop("__node") for i, (f, t) in enumerate(tables.items())}
+    shift = None
+    for f in fes[1:]:
+        m = out[f].groupBy("__set").agg(F.array(*[F.avg(F.col("__a")[i]) for i in range(k)]).alias("__m"))
+        out[f] = cut_lineage(out[f].join(m, "__set").select(f, "__n", F.zip_with("__a", "__m", lambda a, b: a - b).alias("__a"), "__set"))
+        shift = m if shift is None else shift.join(m.withColumnRenamed("__m", "__m2"), "__set").select(
+            "__set", F.zip_with("__m", "__m2", lambda a, b: a + b).alias("__m"))
+    f = fes[0]
+    out[f] = cut_lineage(out[f].join(shift, "__set").select(f, "__n", F.zip_with("__a", "__m", lambda a, b: a + b).alias("__a"), "__set"))
+    return out
+
+
+def demean(df: DataFrame, cols: list[str], fes: list[str], *, tol: float = 1e-10, max_rounds: int = 200, direct: bool | None = None) -> DataFrame:
+    """ES2: remove fixed effects.  The facts are read twice: once to sum them up per cell, once to take the levels off
+    (:func:`solve_levels`; one effect: the group means)."""
+    if len(fes) == 1:
+        levels = {fes[0]: df.groupBy(*fes).agg(F.array(*[F.avg(c) for c in cols]).alias("__a"))}
+    else:
+        cells = cell_table(df, cols, fes).persist()
+        levels = solve_levels(cells, fes, len(cols), tol=tol, max_rounds=max_rounds, direct=direct)
+        cells.unpersist()
+    frame, add = df, [F.lit(0.0) for _ in cols]
+    for j, f in enumerate(fes):
+        frame = join_on(frame, levels[f].select(f, F.col("__a").alias(f"__a{j}")), [f], "left")
+        add = [x + F.col(f"__a{j}")[i] for i, x in enumerate(add)]
+    return frame.select(*[x for x in df.columns if x not in cols], *[(F.col(c) - add[i]).alias(c) for i, c in enumerate(cols)])
 
 
 def feols(df: DataFrame, y: str, xs: list[str], fes: list[str], *, name: str = "feols",
@@ -200,43 +310,16 @@ def fitted_residuals(df: DataFrame, fit: Fit, y: str, keys: list[str],
     return df.select(*keys, y, pred.alias("fitted")).withColumn("residual", F.col(y) - F.col("fitted"))
 
 
-def fixed_effects(df: DataFrame, fit: Fit, y: str, fes: list[str], *, tol: float = 1e-10,
-                  max_iter: int = 1000) -> dict[str, DataFrame]:
-    """ES6: recover the fixed-effect values (first effect carries the level, others centred at 0).
-
-    The fact table is persisted once; a sweep joins the other effects' level
-    tables to it and averages by level, until no level moves by more than
-    ``tol`` x the residual's scale; a sweep too many is an error."""
-    r = df.select(*fes, (F.col(y) - sum((F.lit(float(b)) * F.col(n) for n, b in zip(fit.names, fit.beta)),
-                                        F.lit(0.0))).alias("__r")).persist()
-    limit = tol * max(r.agg(F.stddev_pop("__r")).first()[0] or 0.0, 1e-300)
-    effects: dict[str, DataFrame | None] = {f: None for f in fes}
-    for _ in range(max_iter):
-        moved = False
-        for f in fes:
-            cur, others = r, F.lit(0.0)
-            for i, g in enumerate(fes):
-                if g != f and effects[g] is not None:
-                    cur = join_on(cur, effects[g].select(g, F.col("effect").alias(f"__e{i}")), [g], "left")
-                    others = others + F.col(f"__e{i}")
-            new = cut_lineage(cur.groupBy(f).agg(F.avg(F.col("__r") - others).alias("effect"), F.count(F.lit(1)).alias("n_obs")))
-            if effects[f] is None:
-                moved = True
-            else:
-                old = effects[f].select(f, F.col("effect").alias("__old"))
-                step = join_on(new, old, [f]).agg(F.max(F.abs(F.col("effect") - F.col("__old")))).first()[0]
-                moved |= (step or 0.0) > limit
-            effects[f] = new
-        if len(fes) == 1 or not moved:
-            break
-    else:
-        raise RuntimeError(f"the fixed effects still move after {max_iter} sweeps")
-    r.unpersist()
-    for f in fes[1:]:  # what centring takes from an effect goes to the first
-        m = effects[f].agg(F.avg("effect")).first()[0]
-        effects[f] = effects[f].withColumn("effect", F.col("effect") - F.lit(m))
-        effects[fes[0]] = effects[fes[0]].withColumn("effect", F.col("effect") + F.lit(m))
-    return effects
+def fixed_effects(df: DataFrame, fit: Fit, y: str, fes: list[str], *, tol: float = 1e-10, max_rounds: int = 200,
+                  direct: bool | None = None, seen: dict | None = None) -> dict[str, DataFrame]:
+    """ES6: the fixed-effect values, effect -> (level, ``effect``, ``n_obs``, ``set_id``): the least-squares solution for what
+    the fit leaves, balanced panel or not.  In each connected set of levels (``set_id``) the first effect carries the level
+    and the others have mean zero (:func:`solve_levels`)."""
+    left = F.col(y) - sum((F.lit(float(b)) * F.col(n) for n, b in zip(fit.names, fit.beta)), F.lit(0.0))
+    cells = cell_table(df.select(*fes, left.alias("__r")), ["__r"], fes).persist()
+    levels = solve_levels(cells, fes, 1, tol=tol, max_rounds=max_rounds, direct=direct, seen=seen)
+    cells.unpersist()
+    return {f: t.select(f, F.col("__a")[0].alias("effect"), F.col("__n").alias("n_obs"), F.col("__set").alias("set_id")) for f, t in levels.items()}
 
 
 def event_time_name(k: int) -> str:
