@@ -240,16 +240,18 @@ def _best(rows: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _chunk(docs: DataFrame, doc_id: str, items: list, item_schema: str, k: int) -> DataFrame:
-    """Ranks all documents for the collected items: (item id, copies of the item, text)."""
+def _chunk(docs: DataFrame, doc_id: str, items: list, item_schema: str, k: int) -> DataFrame | None:
+    """Ranks all documents for the collected items: (item id, copies of the item, text); None if no document has a term."""
     spark = docs.sparkSession
     counted = [(key, copies, Counter(terms(text.encode()) if text else ())) for key, copies, text in items]
     vocabulary = {t: i for i, t in enumerate(sorted({t for *_, c in counted for t in c}))}
     index = written(blocks(docs, doc_id, vocabulary), "ranking-index")
     total = index.agg(F.sum("n_docs").alias("d"), F.sum("n_terms").alias("t")).first()
     n_docs, n_terms = int(total["d"] or 0), int(total["t"] or 0)
+    if not n_terms:
+        return None
     df = dict(index.select(F.explode(F.arrays_zip("terms", "dfs")).alias("p")).groupBy(F.col("p.terms").alias("t"))
-              .agg(F.sum("p.dfs").alias("df")).collect()) if n_terms else {}
+              .agg(F.sum("p.dfs").alias("df")).collect())  # as many rows as the chunk has terms
     weight = {i: int(math.floor(1000 * math.log((2 * n_docs + 2) / (2 * f + 1)))) for i, f in df.items()}
     asked = []
     for _, _, counts in counted:
@@ -276,8 +278,8 @@ def rank(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str
     for c in range(chunks if chars else 0):
         rows = distinct.where(F.pmod(F.xxhash64("key", "text"), F.lit(chunks)) == c).where(F.length("text") > 0)
         mine = [(r["key"], r["copies"], r["text"]) for r in rows.collect()]  # about ITEM_CHARS characters
-        if mine:
-            part = _chunk(docs, doc_id, mine, f"item int, key {key_kind}, copies int", k)
+        part = _chunk(docs, doc_id, mine, f"item int, key {key_kind}, copies int", k) if mine else None
+        if part is not None:
             out = part if out is None else out.unionAll(part)
     if out is None:
         out = docs.sparkSession.createDataFrame([], f"key {key_kind}, rank int, id {doc_kind}, score long")
