@@ -15,13 +15,16 @@ probability equal to the plain Jaccard; where no shingle repeats both are one.
 ``BANDS`` bands of ``ROWS`` slots of either signature give candidate buckets; a pair at
 0.8 by either measure shares none with probability below 1e-5.
 
-Only distinct texts take part (copies share a hash of the whole text).  In a
+Only distinct texts take part (copies share the 128-bit digest of the whole text).  In a
 bucket not all pairs are formed: every member is verified against one pivot,
 the member whose buckets are fullest, usually the common original.  Members of
-buckets that still hold several classes are then closed if they cannot have a
-partner: either similarity is at most the share of a text's shingles, by count
-or by number, that stand in any other such text.  Of what is left, the pairs between
-different classes that were not tested yet are verified too.  So a
+buckets that still hold several classes then leave a bucket where they cannot have a
+partner.  Of the n shingles of a text let s stand in any other such text.  Two texts share at most min(s, s') shingles,
+so their plain Jaccard reaches t only if n + n' <= min(s, s') (1 + t) / t; and with e = (mass that stands nowhere else) /
+(the rest) of the counts, their probability Jaccard is at most 1 / (1 + e + e') (the terms p q / (q + u p) it is bounded by
+are concave and add up).  Both are tested against the extremes of the bucket, ``CLOSING`` times as texts that left no longer count, and then
+for each pair that is formed.  The pairs between
+different classes that pass and were not tested yet are verified too.  So a
 link can be skipped only where both ends are in one class already, or where it
 is proved not to exist.  Before texts are compared a pair passes a check of its whole signatures: the larger of the two agreements
 is at most five standard errors below the threshold.  Verification is exact: a pair is linked if its probability Jaccard
@@ -50,6 +53,8 @@ from .textblocks import U, mix64, pair_hash, row_slices, span_hashes, text_buffe
 SHINGLE_WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 5
 SLICE_BYTES = 4 << 20
+#: Times that texts without a possible partner are taken out of buckets before pairs are formed.
+CLOSING = 2
 
 
 def shingles(buf: np.ndarray, offs: np.ndarray, words: int = SHINGLE_WORDS):
@@ -134,13 +139,17 @@ def similarity(a, b, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
     return np.bincount(r, 1 / total, n_rows), plain
 
 
+def _digest(text):
+    return F.unhex(F.md5(text.cast("binary")))
+
+
 def _signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, node, bands array<long>, sketch binary): a hash of the text, the distinct band hashes and one byte a slot,
+    """(doc_id, node, bands array<long>, sketch binary): the digest of the text, the distinct band hashes and one byte a slot,
     of the signature by counts and of the plain one.
 
     Both signatures have the same salts: a text without repeats has the same bands in both, and meets the plain ones of others."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("node"), text.alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), _digest(text).alias("node"), text.alias("text"))
 
     def run(batches):
         salt = mix64(np.arange(BANDS, dtype=U))
@@ -162,39 +171,49 @@ def _signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                                       names=["doc_id", "node", "bands", "sketch"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, node long, bands array<long>, sketch binary")
+    return rows.mapInArrow(run, f"doc_id {kind}, node binary, bands array<long>, sketch binary")
 
 
 def _texts(used: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(node, text) of the nodes in ``used``: the text of the node's smallest id, or of a row without id if none is known."""
-    where = used.join(nodes.select("node", F.col("first_id").alias("__first")), "node")
+    """(node, text) of the nodes in ``used``, once each: the text of the node's smallest id, or of a row without id if none is known."""
+    where = used.join(nodes.select("node", F.col("first_id").alias("__first")), "node").withColumnRenamed("node", "__node")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return (docs.select(F.col(id_col).alias("__id"), F.xxhash64(text).alias("node"), text.alias("text"))
-            .join(where, "node").where(F.col("__id").eqNullSafe(F.col("__first"))).select("node", "text"))
+    rows = docs.select(F.col(id_col).alias("__id"), _digest(text).alias("node"), text.alias("text"))
+    rows = rows.join(where, (F.col("node") == F.col("__node")) & F.col("__id").eqNullSafe(F.col("__first")))
+    return rows.groupBy("node").agg(F.first("text").alias("text"))  # rows may repeat
 
 
-def _without_partner(open_rows: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
-    """The nodes of ``open_rows`` that reach the threshold with no other: too many of their shingles stand in no other text."""
+def _grams(open_rows: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(node, key, w, n, w_all): the shingles of the open texts with their counts, and the texts' totals."""
     texts = _texts(open_rows.select("node").distinct(), nodes, docs, id_col, text_col)
 
     def count(batches):
         for batch in batches:
             buf, offs = text_buffer(batch.column(1))
-            own = batch.column(0).to_numpy()
             for i, j in row_slices(offs, SLICE_BYTES):
                 row, key, weight = shingles(buf[offs[i]:offs[j]], offs[i:j + 1] - offs[i])
                 n, w = np.bincount(row, minlength=j - i), np.bincount(row, weight, j - i).astype(np.int64)
-                yield pa.record_batch([pa.array(own[i:j][row]), pa.array(key.view(np.int64)), pa.array(weight.astype(np.int64)),
-                                       pa.array(n[row].astype(np.int64)), pa.array(w[row])], names=["node", "key", "w", "n_all", "w_all"])
+                yield pa.record_batch([batch.column(0).slice(i, j - i).take(pa.array(row)), pa.array(key.view(np.int64)), pa.array(weight.astype(np.int64)),
+                                       pa.array(n[row].astype(np.int64)), pa.array(w[row])], names=["node", "key", "w", "n", "w_all"])
+
+    return texts.mapInArrow(count, "node binary, key long, w long, n long, w_all long")
+
+
+def _reach(grams: DataFrame, threshold: float) -> DataFrame:
+    """What the texts' partners must satisfy: (node, n, most, e, again), ``most`` the greatest n of a partner by the plain measure,
+    ``e`` the counts' excess and ``again`` whether a shingle repeats (else both measures are one)."""
+    alone = (grams.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node"), F.min("w").alias("w")).where("c = 1")
+             .groupBy("node").agg(F.count(F.lit(1)).alias("alone_n"), F.sum("w").alias("alone_w")))
+    rows = grams.groupBy("node").agg(F.first("n").alias("n"), F.first("w_all").alias("w")).join(alone, "node", "left")
+    s, u = F.col("n") - F.coalesce("alone_n", F.lit(0)), F.coalesce("alone_w", F.lit(0))
+    return rows.select("node", "n", (s * F.lit((1 + threshold) / threshold * (1 + 1e-9)) - F.col("n")).alias("most"),
+                       (u / F.greatest(F.col("w") - u, F.lit(1e-9))).alias("e"), (F.col("w") > F.col("n")).alias("again"))
+
 
-    grams = texts.mapInArrow(count, "node long, key long, w long, n_all long, w_all long")
-    alone = (grams.groupBy("key").agg(F.min("node").alias("node"), F.max("node").alias("other"), F.min("w").alias("w"),
-                                      F.min("n_all").alias("n_all"), F.min("w_all").alias("w_all")).where("node = other")
-             .groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"), F.first("n_all").alias("n_all"),
-                                  F.first("w_all").alias("w_all")))
-    enough = F.lit(threshold - 1e-9)
-    return alone.where((F.col("n_all") - F.col("n") < enough * F.col("n_all"))
-                       & (F.col("w_all") - F.col("w") < enough * F.col("w_all"))).select("node")
+def _may_meet(x: dict, y: dict, threshold: float):
+    """Whether two texts (or a text and a bucket's extremes) can reach the threshold by either measure."""
+    plain = (x["n"] <= y["most"]) & (y["n"] <= x["most"])
+    return plain | ((x["again"] | y["again"]) & (x["e"] + y["e"] <= F.lit(1 / threshold - 1 + 1e-9)))
 
 
 def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
@@ -212,7 +231,7 @@ def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, tex
     s = nodes.select("node", "sketch")
     near = (pairs.join(s.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a")
             .join(s.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b").select("a", "b", "sa", "sb")
-            .mapInArrow(agree, "a long, b long"))
+            .mapInArrow(agree, "a binary, b binary"))
     near = written(near, "near-pairs")
     texts = _texts(near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct(),
                    nodes, docs, id_col, text_col)
@@ -227,14 +246,14 @@ def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, tex
 
     both = (near.join(texts.withColumnsRenamed({"node": "a", "text": "ta"}), "a")
             .join(texts.withColumnsRenamed({"node": "b", "text": "tb"}), "b").select("a", "b", "ta", "tb"))
-    return written(both.mapInArrow(verify, "a long, b long").distinct(), "links")
+    return written(both.mapInArrow(verify, "a binary, b binary").distinct(), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, label) of the nodes that have links (a, b): the smallest node that links lead to.
 
     Each round every node follows its smallest neighbour, and that one's, and the links
-    are drawn anew between the nodes arrived at, until no link is left.  Nodes are hashes, so their order is
+    are drawn anew between the nodes arrived at, until no link is left.  Nodes are digests, so their order is
     random along any chain: a fixed share of the nodes goes each round, and rounds are few."""
     steps = []
     edges = links.where("a <> b").select("a", "b")
@@ -261,10 +280,10 @@ def _labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
     return rows.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
-def _several(labelled: DataFrame) -> DataFrame:
+def _several(labelled: DataFrame, more: list[str] = []) -> DataFrame:
     """The rows of the buckets that hold more than one class."""
     mixed = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-    return labelled.join(mixed.select("bucket"), "bucket").select("bucket", "node", "score", "label")
+    return labelled.join(mixed.select("bucket"), "bucket").select("bucket", "node", "score", "label", *more)
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -283,11 +302,18 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     tested = written(met.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct(), "pairs")
     label = components(_links(tested, nodes, docs, id_col, text_col, threshold))
     open_rows = written(_several(_labelled(rows, label)), "open")
-    closed = written(_without_partner(open_rows, nodes, docs, id_col, text_col, threshold), "closed")
-    open_rows = written(_several(open_rows.join(closed, "node", "left_anti")), "open")
-    x = open_rows.select("bucket", F.col("node").alias("x"), F.col("label").alias("lx"))
-    y = open_rows.select("bucket", F.col("node").alias("y"), F.col("label").alias("ly"))
-    pairs = x.join(y, "bucket").where("lx < ly").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    grams = written(_grams(open_rows, nodes, docs, id_col, text_col), "open-grams")
+    names = ["n", "most", "e", "again"]
+    for turn in range(CLOSING):
+        left = grams if turn == 0 else grams.join(open_rows.select("node").distinct(), "node", "left_semi")
+        met = open_rows.select("bucket", "node", "score", "label").join(_reach(left, threshold), "node")
+        ends = met.groupBy("bucket").agg(F.min("n").alias("b_n"), F.max("most").alias("b_most"), F.min("e").alias("b_e"), F.max("again").alias("b_again"))
+        met = met.join(ends, "bucket").where(_may_meet({c: F.col(c) for c in names}, {c: F.col("b_" + c) for c in names}, threshold))
+        open_rows = written(_several(met.select("bucket", "node", "score", "label", *names), names), "open")
+    x, y = (open_rows.select("bucket", F.col("node").alias(e), F.col("label").alias("l" + e), *[F.col(c).alias(e + "_" + c) for c in names]) for e in "xy")
+    pairs = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("lx") < F.col("ly"))
+                   & _may_meet({c: F.col("x_" + c) for c in names}, {c: F.col("y_" + c) for c in names}, threshold))
+    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
     if not pairs.isEmpty():  # the new links join classes
         new = _links(pairs, nodes, docs, id_col, text_col, threshold)
@@ -313,7 +339,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             .groupBy(F.col("doc_id").alias("id"), "node").agg((F.count(F.lit(1)) > 1).alias("twice")))
     rows, (own_id, text) = numbered(docs, id_col, text_col)
     columns = rows.columns
-    rows = rows.withColumn("hash", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    rows = rows.withColumn("hash", _digest(F.coalesce(F.col(text), F.lit(""))))
     rows = rows.join(kept, (F.col("hash") == F.col("node")) & F.col(own_id).eqNullSafe(F.col("id")))
     # Only rows of an id and text that stand more than once are grouped.
     return (rows.where("NOT twice").unionByName(rows.where("twice").dropDuplicates(["node", "id"]))

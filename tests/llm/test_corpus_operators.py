@@ -272,3 +272,32 @@ def test_empty_and_null_tables(spark, none):
         assert neardup.classes(docs).count() == n
         assert neardup.one_of_each(docs).count() == min(n, 1)
         assert lm.score(docs).count() == n
+
+
+def test_near_duplicates_of_many_repeated_rows(spark):
+    """Two near texts of 400 equal rows each are one pair to verify, not 160,000."""
+    rng = random.Random(31)
+    words = [f"w{i}" for i in range(300)]
+    a = rng.choices(words, k=120)
+    b = a[:60] + ["x"] + a[61:]
+    rows = [(1, " ".join(a))] * 400 + [(2, " ".join(b))] * 400 + [(None, " ".join(b))] * 30
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    nodes = df.groupBy(neardup._digest(F.col("text")).alias("node")).agg(F.min("doc_id").alias("first_id"))
+    assert neardup._texts(nodes.select("node"), nodes, df, "doc_id", "text").count() == 2
+    got = neardup.classes(df).select("doc_id", "class_id", "class_size").distinct().collect()
+    assert {(r[0], r[1], r[2]) for r in got} == {(1, 1, 830), (2, 1, 830), (None, 1, 830)}
+
+
+def test_near_duplicates_in_a_group_of_mixed_similarity(spark):
+    """Copies of one text with few to many changed words, of which some repeat changes of others."""
+    rng = random.Random(37)
+    words = [f"w{i}" for i in range(500)]
+    base, rows = rng.choices(words, k=150), []
+    for i in range(130):
+        t = list(base) if i % 3 or not rows else rows[rng.randrange(len(rows))][1].split()
+        for _ in range(rng.choice([0, 1, 2, 4, 6, 9, 14])):
+            t[rng.randrange(len(t))] = rng.choice(words)
+        t = t[:len(t) - rng.choice([0, 0, 0, 10, 25])] + (t[:30] if rng.random() < 0.1 else [])
+        rows.append((i, " ".join(t)))
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == {i: c for i, c, _ in brute.near_duplicate_classes(rows)}
