@@ -19,10 +19,11 @@ Only distinct texts take part (copies share the 128-bit digest of the whole text
 bucket not all pairs are formed: every member is verified against one pivot,
 the member whose buckets are fullest, usually the common original.  Members of
 buckets that still hold several classes then leave a bucket where they cannot have a
-partner.  Of the n shingles of a text let s stand in any other such text.  Two texts share at most min(s, s') shingles,
-so their plain Jaccard reaches t only if n + n' <= min(s, s') (1 + t) / t; and with e = (mass that stands nowhere else) /
-(the rest) of the counts, their probability Jaccard is at most 1 / (1 + e + e') (the terms p q / (q + u p) it is bounded by
-are concave and add up).  Both are tested against the extremes of the bucket, ``CLOSING`` times as texts that left no longer count, and then
+partner.  Of the n shingles of a text let s stand in any other such text, and let u be the share of its counts (w in all) that stands
+nowhere else.  Two texts share at most min(s, s') shingles, so their plain Jaccard reaches t only if n + n' <= min(s, s')
+(1 + t) / t.  The share of the counts outside the other text is a >= max(u, (n - s') / w), and a' likewise; the probability
+Jaccard is at most (1 - a) (1 - a') / (1 - a a'), as its terms are at most p q / (q + a' p), a concave function that adds up over the
+common shingles.  Both are tested against the extremes of the bucket, ``CLOSING`` times as texts that left no longer count, and then
 for each pair that is formed.  The pairs between
 different classes that pass and were not tested yet are verified too.  So a
 link can be skipped only where both ends are in one class already, or where it
@@ -199,21 +200,26 @@ def _grams(open_rows: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str,
     return texts.mapInArrow(count, "node binary, key long, w long, n long, w_all long")
 
 
-def _reach(grams: DataFrame, threshold: float) -> DataFrame:
-    """What the texts' partners must satisfy: (node, n, most, e, again), ``most`` the greatest n of a partner by the plain measure,
-    ``e`` the counts' excess and ``again`` whether a shingle repeats (else both measures are one)."""
+#: What ``_may_meet`` needs of a text: shingles, those that others have, counts, share of the counts that stands alone, and
+#: whether a shingle repeats (else both measures are one); and of a bucket, the extremes that bound all its texts.
+_REACH = {"n": F.min, "s": F.max, "w": F.max, "u": F.min, "again": F.max}
+
+
+def _reach(grams: DataFrame) -> DataFrame:
+    """(node, n, s, w, u, again) of the open texts."""
     alone = (grams.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node"), F.min("w").alias("w")).where("c = 1")
              .groupBy("node").agg(F.count(F.lit(1)).alias("alone_n"), F.sum("w").alias("alone_w")))
     rows = grams.groupBy("node").agg(F.first("n").alias("n"), F.first("w_all").alias("w")).join(alone, "node", "left")
-    s, u = F.col("n") - F.coalesce("alone_n", F.lit(0)), F.coalesce("alone_w", F.lit(0))
-    return rows.select("node", "n", (s * F.lit((1 + threshold) / threshold * (1 + 1e-9)) - F.col("n")).alias("most"),
-                       (u / F.greatest(F.col("w") - u, F.lit(1e-9))).alias("e"), (F.col("w") > F.col("n")).alias("again"))
+    return rows.select("node", "n", (F.col("n") - F.coalesce("alone_n", F.lit(0))).alias("s"), "w",
+                       (F.coalesce("alone_w", F.lit(0)) / F.col("w")).alias("u"), (F.col("w") > F.col("n")).alias("again"))
 
 
 def _may_meet(x: dict, y: dict, threshold: float):
-    """Whether two texts (or a text and a bucket's extremes) can reach the threshold by either measure."""
-    plain = (x["n"] <= y["most"]) & (y["n"] <= x["most"])
-    return plain | ((x["again"] | y["again"]) & (x["e"] + y["e"] <= F.lit(1 / threshold - 1 + 1e-9)))
+    """Whether two texts (or a text and any of a bucket, given its extremes) can reach the threshold by either measure."""
+    plain = x["n"] + y["n"] <= F.least(x["s"], y["s"]) * F.lit((1 + threshold) / threshold * (1 + 1e-9))
+    a, b = (F.greatest(p["u"], (p["n"] - q["s"]) / p["w"]) for p, q in ((x, y), (y, x)))
+    counts = (1 - a) * (1 - b) >= (1 - a * b) * F.lit(threshold - 1e-9)
+    return plain | ((x["again"] | y["again"]) & counts)
 
 
 def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
@@ -303,11 +309,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     label = components(_links(tested, nodes, docs, id_col, text_col, threshold))
     open_rows = written(_several(_labelled(rows, label)), "open")
     grams = written(_grams(open_rows, nodes, docs, id_col, text_col), "open-grams")
-    names = ["n", "most", "e", "again"]
+    names = list(_REACH)
     for turn in range(CLOSING):
         left = grams if turn == 0 else grams.join(open_rows.select("node").distinct(), "node", "left_semi")
-        met = open_rows.select("bucket", "node", "score", "label").join(_reach(left, threshold), "node")
-        ends = met.groupBy("bucket").agg(F.min("n").alias("b_n"), F.max("most").alias("b_most"), F.min("e").alias("b_e"), F.max("again").alias("b_again"))
+        met = open_rows.select("bucket", "node", "score", "label").join(_reach(left), "node")
+        ends = met.groupBy("bucket").agg(*[extreme(c).alias("b_" + c) for c, extreme in _REACH.items()])
         met = met.join(ends, "bucket").where(_may_meet({c: F.col(c) for c in names}, {c: F.col("b_" + c) for c in names}, threshold))
         open_rows = written(_several(met.select("bucket", "node", "score", "label", *names), names), "open")
     x, y = (open_rows.select("bucket", F.col("node").alias(e), F.col("label").alias("l" + e), *[F.col(c).alias(e + "_" + c) for c in names]) for e in "xy")

@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 
 import llm_brute as brute
 import numpy as np
@@ -301,3 +302,32 @@ def test_near_duplicates_in_a_group_of_mixed_similarity(spark):
         rows.append((i, " ".join(t)))
     got = {r["doc_id"]: r["class_id"] for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
     assert got == {i: c for i, c, _ in brute.near_duplicate_classes(rows)}
+
+
+def test_texts_that_may_not_meet_are_below_the_threshold(spark):
+    """The bound that closes texts holds for every pair of random weighted sets, pairwise and against a bucket's extremes."""
+    rng = random.Random(41)
+    sets = []
+    for i in range(60):
+        base = sets[rng.randrange(len(sets))] if sets and rng.random() < 0.8 else {f"k{i}_{j}": 1 for j in range(rng.randint(10, 30))}
+        t = {k: c for k, c in base.items() if rng.random() > rng.choice([0.0, 0.05, 0.15, 0.3])}
+        t |= {f"n{i}_{j}": 1 for j in range(rng.choice([0, 1, 2, 5]))}
+        sets.append({k: rng.choice([c, c, c, c + 1]) if rng.random() < 0.2 else c for k, c in t.items()} or {"x": 1})
+    grams = spark.createDataFrame([(i, hash(k), c, len(t), sum(t.values())) for i, t in enumerate(sets) for k, c in t.items()],
+                                  "node long, key long, w long, n long, w_all long")
+    reach = neardup._reach(grams).collect()
+    names = list(neardup._REACH)
+    rows = {r["node"]: {c: r[c] for c in names} for r in reach}
+    ends = {"n": min(r["n"] for r in rows.values()), "s": max(r["s"] for r in rows.values()), "w": max(r["w"] for r in rows.values()),
+            "u": min(r["u"] for r in rows.values()), "again": True}
+    pairs = [(i, j) for i in range(60) for j in range(i)]
+    df = spark.createDataFrame([(i, j, *[rows[i][c] for c in names], *[rows[j][c] for c in names], *[ends[c] for c in names]) for i, j in pairs],
+                               ["i", "j", *["x_" + c for c in names], *["y_" + c for c in names], *["b_" + c for c in names]])
+    side = lambda p: {c: F.col(p + c) for c in names}
+    got = df.select("i", "j", neardup._may_meet(side("x_"), side("y_"), 0.8).alias("pair"), neardup._may_meet(side("x_"), side("b_"), 0.8).alias("bucket")).collect()
+    links = 0
+    for r in got:
+        if max(brute.jaccards(Counter(sets[r["i"]]), Counter(sets[r["j"]]))) >= 0.8:
+            links += 1
+            assert r["pair"] and r["bucket"]
+    assert links > 20 and sum(not r["pair"] for r in got) > 500
