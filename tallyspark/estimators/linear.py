@@ -14,6 +14,7 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,48 +34,82 @@ class Fit:
     n: int
     r2: float
     df_resid: int
+    #: Regressors left out because the ones before them (and the effects) already give them.
+    dropped: tuple = ()
 
     def table(self, spark) -> DataFrame:
         se = np.sqrt(np.clip(np.diag(self.vcov), 0, None))
         rows = [(self.name, n, float(b), float(s)) for n, b, s in zip(self.names, self.beta, se)]
+        rows += [(self.name, n, None, None) for n in self.dropped]
         rows += [(self.name, "_n", float(self.n), None), (self.name, "_r2", float(self.r2), None)]
         return spark.createDataFrame(rows, COEF_SCHEMA)
 
 
-def _cross(df: DataFrame, cols: list[str], y: str, w: str | None):
-    wt = F.col(w) if w else F.lit(1.0)
-    aggs = [F.sum(wt).alias("n_w"), F.count(F.lit(1)).alias("n"), F.sum(wt * F.col(y)).alias("sy"),
-            F.sum(wt * F.col(y) * F.col(y)).alias("syy")]
-    for i, a in enumerate(cols):
-        aggs.append(F.sum(wt * F.col(a) * F.col(y)).alias(f"xy{i}"))
-        for j in range(i, len(cols)):
-            aggs.append(F.sum(wt * F.col(a) * F.col(cols[j])).alias(f"xx{i}_{j}"))
-    r = df.agg(*aggs).first().asDict()
-    k = len(cols)
-    xx = np.zeros((k, k))
-    for i in range(k):
-        for j in range(i, k):
-            xx[i, j] = xx[j, i] = r[f"xx{i}_{j}"]
-    xy = np.array([r[f"xy{i}"] for i in range(k)])
-    return xx, xy, r
+def cross_products(df: DataFrame, cols: list[str]) -> np.ndarray:
+    """Sums of products of all pairs of columns, one row a column and one more for plain sums: a matrix product a batch, the
+    tasks' matrices added by cell."""
+    def run(batches):
+        total = None
+        for b in batches:
+            if b.num_rows:
+                x = np.column_stack([np.asarray(c, dtype=np.float64) for c in b.columns])
+                part = np.vstack((x.T @ x, x.sum(0)))
+                total = part if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], ["i", "row"])
+
+    cells = (df.select(*[F.col(c).cast("double") for c in cols]).mapInArrow(run, "i int, row array<double>")
+             .select("i", F.posexplode("row").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v")).collect())
+    out = np.zeros((len(cols) + 1, len(cols)))
+    for i, j, v in cells:
+        out[i, j] = v
+    return out
+
+
+def independent(xx: np.ndarray, least: np.ndarray) -> list[int]:
+    """The columns that the ones before them do not give: a Cholesky factorisation of the cross products in the order given,
+    which leaves a column out when what is left of its square sum is at most ``least``."""
+    kept: list[int] = []
+    factor = np.zeros((len(xx), 0))  # rows: columns of the model, columns: kept ones
+    for j in range(len(xx)):
+        rest = xx[j, j] - factor[j] @ factor[j]
+        if rest > least[j]:
+            new = (xx[:, j] - factor @ factor[j]) / math.sqrt(rest)
+            factor = np.column_stack((factor, new))
+            kept.append(j)
+    return kept
 
 
 def ols(df: DataFrame, y: str, xs: list[str], *, name: str = "ols", intercept: bool = True,
         cluster: str | None = None, absorbed_dof: int = 0, centred_tss: bool = True,
-        tss_override: float | None = None, weight: str | None = None) -> Fit:
-    """ES1: OLS with classical or one-way clustered (ES4) errors, and R² (ES5)."""
+        tss_override: float | None = None, weight: str | None = None, scale: dict[str, float] | None = None) -> Fit:
+    """ES1: OLS with classical or one-way clustered (ES4) errors, and R² (ES5).
+
+    Collinear regressors are left out, the later of a set first, and named in ``dropped``; ``scale`` has the square sums
+    that they are measured against, where they are not the columns' own (absorbed effects)."""
     d = df.select(y, *xs, *([cluster] if cluster else []), *([weight] if weight else [])).dropna()
     cols = list(xs)
     if intercept:
         d = d.withColumn("__one", F.lit(1.0))
         cols = ["__one"] + cols
-    xx, xy, r = _cross(d, cols, y, weight)
-    inv = np.linalg.pinv(xx)
+    wide = d
+    if weight:
+        wide = d.select(*[(F.col(c) * F.sqrt(weight)).alias(c) for c in [*cols, y]], F.sqrt(weight).alias("__w"))
+    else:
+        wide = d.select(*cols, y, F.lit(1.0).alias("__w"))
+    both = cross_products(wide.select(*cols, y, "__w"), [*cols, y, "__w"])
+    k = len(cols)
+    n = d.count() if weight else int(round(both[k + 1, k + 1]))
+    full, xy_full, syy, sy, n_w = both[:k, :k], both[:k, k], both[k, k], both[k, k + 1], both[k + 1, k + 1]
+    least = np.array([1e-10 * (scale or {}).get(c, full[i, i]) for i, c in enumerate(cols)])
+    kept = independent(full, least)
+    dropped = tuple(c for i, c in enumerate(cols) if i not in kept)
+    cols = [cols[i] for i in kept]
+    xx, xy, k = full[np.ix_(kept, kept)], xy_full[kept], len(kept)
+    inv = np.linalg.inv(xx) if k else xx
     beta = inv @ xy
-    n, k = int(r["n"]), len(cols)
-    ssr = r["syy"] - 2 * beta @ xy + beta @ xx @ beta
-    tss = tss_override if tss_override is not None else (
-        r["syy"] - r["sy"] ** 2 / r["n_w"] if centred_tss else r["syy"])
+    ssr = syy - 2 * beta @ xy + beta @ xx @ beta
+    tss = tss_override if tss_override is not None else (syy - sy ** 2 / n_w if centred_tss else syy)
     r2 = 1 - ssr / tss if tss else float("nan")
     dof = n - k - absorbed_dof
     if cluster is None:
@@ -82,20 +117,12 @@ def ols(df: DataFrame, y: str, xs: list[str], *, name: str = "ols", intercept: b
     else:
         e = F.col(y) - sum((F.lit(float(b)) * F.col(c) for b, c in zip(beta, cols)), F.lit(0.0))
         scores = d.groupBy(cluster).agg(*[F.sum(F.col(c) * e).alias(f"s{i}") for i, c in enumerate(cols)])
-        meat_aggs = [F.count(F.lit(1)).alias("g")]
-        for i in range(k):
-            for j in range(i, k):
-                meat_aggs.append(F.sum(F.col(f"s{i}") * F.col(f"s{j}")).alias(f"m{i}_{j}"))
-        m = scores.agg(*meat_aggs).first().asDict()
-        meat = np.zeros((k, k))
-        for i in range(k):
-            for j in range(i, k):
-                meat[i, j] = meat[j, i] = m[f"m{i}_{j}"]
-        g = m["g"]
+        meat = cross_products(scores.withColumn("__one", F.lit(1.0)), [*[f"s{i}" for i in range(k)], "__one"])
+        g = meat[k, k]
         adj = (g / (g - 1)) * ((n - 1) / (n - k - absorbed_dof)) if g > 1 else 1.0
-        vcov = adj * inv @ meat @ inv
-    names = (["(Intercept)"] if intercept else []) + list(xs)
-    return Fit(name, names, beta, vcov, n, r2, dof)
+        vcov = adj * inv @ meat[:k, :k] @ inv
+    names = ["(Intercept)" if c == "__one" else c for c in cols]
+    return Fit(name, names, beta, vcov, n, r2, dof, dropped)
 
 
 def drop_singletons(df: DataFrame, fes: list[str]) -> DataFrame:
@@ -280,13 +307,16 @@ def demean(df: DataFrame, cols: list[str], fes: list[str], *, tol: float = 1e-10
 
 def feols(df: DataFrame, y: str, xs: list[str], fes: list[str], *, name: str = "feols",
           cluster: str | None = None, singletons: bool = True) -> Fit:
-    """ES2-ES5: OLS absorbing fixed effects, optional clustered errors; R² is the full-model R²."""
+    """ES2-ES5: OLS absorbing fixed effects, optional clustered errors; R² is the full-model R².  Regressors that the effects
+    or the regressors before them give are left out and named."""
     keep = [y, *xs, *fes] + ([cluster] if cluster and cluster not in fes else [])
     # start the iterative part from a checkpoint of the narrow model frame
     d = cut_lineage(df.select(*keep).dropna())
     if singletons:
         d = drop_singletons(d, fes)
-    tss = d.agg((F.sum(F.col(y) * F.col(y)) - F.sum(y) ** 2 / F.count(F.lit(1))).alias("t")).first()["t"]
+    raw = d.agg((F.sum(F.col(y) * F.col(y)) - F.sum(y) ** 2 / F.count(F.lit(1))).alias("t"),
+                *[F.sum(F.col(x).cast("double") * F.col(x)).alias(f"x{i}") for i, x in enumerate(xs)]).first()
+    tss, scale = raw["t"], {x: raw[f"x{i}"] or 0.0 for i, x in enumerate(xs)}
     dm = demean(d, [y, *xs], fes)
     n_levels = d.agg(*[F.countDistinct(f).alias(f) for f in fes]).first().asDict()
     levels = sum(n_levels.values()) - (len(fes) - 1)
@@ -297,7 +327,7 @@ def feols(df: DataFrame, y: str, xs: list[str], fes: list[str], *, name: str = "
             if f == cluster or d.groupBy(f).agg(F.countDistinct(cluster).alias("c")).where("c > 1").isEmpty():
                 nested += n_levels[f]
     fit = ols(dm, y, xs, name=name, intercept=False, cluster=cluster,
-              absorbed_dof=levels - (nested if cluster else 0), tss_override=tss)
+              absorbed_dof=levels - (nested if cluster else 0), tss_override=tss, scale=scale)
     return fit
 
 
@@ -322,5 +352,33 @@ def fixed_effects(df: DataFrame, fit: Fit, y: str, fes: list[str], *, tol: float
     return {f: t.select(f, F.col("__a")[0].alias("effect"), F.col("__n").alias("n_obs"), F.col("__set").alias("set_id")) for f, t in levels.items()}
 
 
-def event_time_name(k: int) -> str:
-    return f"lead{-k}" if k < 0 else f"lag{k}"
+def stars(coef, se):
+    """Significance marks: three above 2.576 standard errors (or without error), two above 1.96, one above 1.645."""
+    t = F.abs(coef / se)
+    return F.when((se == 0) | (t > 2.576), "***").when(t > 1.96, "**").when(t > 1.645, "*").otherwise("")
+
+
+def model_table(coefs: DataFrame, models: list[str]) -> DataFrame:
+    """ES19: coefficients by row, models by column: ``{model}`` the estimate with stars, ``{model}_se`` its standard error in
+    brackets; NULL where a model lacks the coefficient."""
+    e, s = F.col("estimate"), F.col("serr")
+    cells = coefs.withColumn("__e", F.concat(F.format_string("%.3f", e), stars(e, s))).withColumn("__s", F.concat(F.lit("("), F.format_string("%.3f", s), F.lit(")")))
+    return cells.groupBy("coef_name").agg(*[F.max(F.when(F.col("regression_name") == m, F.col(c))).alias(n)
+                                            for m in models for c, n in (("__e", m), ("__s", m + "_se"))])
+
+
+def event_terms(k: int, signs: tuple = ("pos", "neg"), prefix: str = "fee_chg") -> list[str]:
+    """The regressors of an event study in their order: leads k to 1, the event, lags 1 to k, of each sign."""
+    return [n for s in signs for n in [*[f"{prefix}_{s}_F{i}" for i in range(k, 0, -1)], f"{prefix}_{s}", *[f"{prefix}_{s}_L{i}" for i in range(1, k + 1)]]]
+
+
+def event_study(quality: DataFrame, quantity: DataFrame, *, k: int = 12, week: str = "weekId", sub: str = "subId", user: str = "userId") -> list[Fit]:
+    """ES7: the pre-trends check, with week and territory effects and errors clustered by territory: ln(1 + sats48) of
+    posts (r1) and with the poster's effect (r2), ln(1 + posts) of weeks (r3) and with the growth control (r4)."""
+    terms = event_terms(k)
+    ql = quality.withColumn("log_sats48", F.log1p("sats48"))
+    qn = quantity.withColumn("log_posts", F.log1p("n_posts"))
+    return [feols(ql, "log_sats48", terms, [week, sub], cluster=sub, name="r1", singletons=False),
+            feols(ql, "log_sats48", terms, [week, sub, user], cluster=sub, name="r2", singletons=False),
+            feols(qn, "log_posts", terms, [week, sub], cluster=sub, name="r3", singletons=False),
+            feols(qn, "log_posts", [*terms, "L12_growth"], [week, sub], cluster=sub, name="r4", singletons=False)]

@@ -49,13 +49,14 @@ def pca(df: DataFrame, vec_col: str, k: int, key: str | None = None, n_ratio: in
 
 
 def boosted_trees(df: DataFrame, y: str, xs: list[str], *, n_trees: int = 500, depth: int = 6,
-                  rate: float = 0.05, subsample: float = 0.8, seed: int = 42):
+                  rate: float = 0.05, subsample: float = 0.8, colsample: float = 0.8, seed: int = 42):
     """ES17 (and ES18 baseline): in-sample RMSE and R² of boosted trees and of a linear model,
-    and the trees' feature importances."""
+    and the trees' feature importances.  ``subsample`` rows a tree and ``colsample`` of the columns a split."""
     ensure_checkpoint_dir(df.sparkSession)  # hundreds of trees: the fit cuts its lineage there
     d = VectorAssembler(inputCols=xs, outputCol="__f").transform(df.select(y, *xs).dropna()).cache()
     gbt = GBTRegressor(featuresCol="__f", labelCol=y, maxIter=n_trees, maxDepth=depth, stepSize=rate,
-                       subsamplingRate=subsample, seed=seed).fit(d)
+                       subsamplingRate=subsample,
+                       featureSubsetStrategy=str(colsample) if colsample < 1 else "all", seed=seed).fit(d)
     lin = LinearRegression(featuresCol="__f", labelCol=y).fit(d)
     spark = df.sparkSession
 

@@ -341,6 +341,26 @@ def adoption_sample(panel_df: DataFrame, users_df: DataFrame, regime_date: str,
     return d.where(F.col("regime") & pr.is_true(F.col("week") <= F.col("first_week")))
 
 
+def adoption_samples(panel_df: DataFrame, users_df: DataFrame, recv_date: str, send_date: str, only_date: str,
+                     cfg: ForumConfig = DEFAULT) -> dict[str, DataFrame]:
+    """DT20 (userId, week), both samples of the study: user-weeks in which a receiving (sending) wallet could be attached, up to
+    the week of the user's first auto-withdrawal (first tip paid by invoice); staff and the anonymous user left out."""
+    from ..functions import mathfn as mf
+    u = users_df.select("userId", tf.as_week("first_autowithdraw_date").alias("first_autowithdraw_week"),
+                        tf.as_week("first_p2p_zap_date").alias("first_p2p_zap_week"))
+    d = panel_df.join(u, "userId", "left")
+    for c, day in (("can_attach_recv", recv_date), ("can_attach_send", send_date), ("only_own_wallets", only_date)):
+        d = d.withColumn(c, F.col("week") >= tf.as_week(_ts(day)))
+    d = d.withColumn("attached_recv_wallet", pr.is_true(F.col("week") >= F.col("first_autowithdraw_week")))
+    d = d.withColumn("attached_send_wallet", pr.is_true(F.col("week") >= F.col("first_p2p_zap_week")))
+    for c in ("rolling_profit1", "rolling_profit0", "rolling_posts", "rolling_items"):
+        if c in d.columns:
+            d = d.withColumn("log_" + c, mf.signed_log(c))
+    d = d.where(pr.not_in("userId", cfg.staff_ids) & pr.differs("userId", cfg.anon_id))
+    return {"receiving": d.where(F.col("can_attach_recv") & pr.is_true(F.col("week") <= F.col("first_autowithdraw_week"))),
+            "sending": d.where(F.col("can_attach_send") & pr.is_true(F.col("week") <= F.col("first_p2p_zap_week")))}
+
+
 def choice_set(df: DataFrame, user: str, time: str, key: str, cat: str, categories: list,
                history: dict[str, str]) -> DataFrame:
     """DT21: one row per (post, alternative); drops posts with any NULL history value.
@@ -376,6 +396,11 @@ def pretrend_quantity(quantity: DataFrame, changes: DataFrame) -> DataFrame:
     return d.withColumn("L12_growth", F.log1p(F.lag("n_posts", 1).over(w)) - F.log1p(F.lag("n_posts", 12).over(w)))
 
 
+def pretrend_quality(quality: DataFrame, changes: DataFrame) -> DataFrame:
+    """DT22 (itemId): the quality sample with the fee changes of its territory's week and of the weeks around it."""
+    return quality.join(changes.withColumn("week", F.col("week").cast(quality.schema["week"].dataType)), ["subName", "week"], "left")
+
+
 def fee_spells(fees: DataFrame, posts_df: DataFrame, data_end: Column) -> DataFrame:
     """DT24: constant-fee spells with days, posts inside [start, end) and the posting rate; the last
     spell of a territory ends at the *date* of the data end."""

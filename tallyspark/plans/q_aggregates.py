@@ -252,16 +252,6 @@ def ag20_dataset_summary(spark, d):
                  F.count_if(pr.not_failed()).alias("n_kept"))
 
 
-@register("ag21_mean_std_summary", """
-SELECT ROUND(AVG(o_totalprice), 6) AS cost_mean, ROUND(STDDEV_SAMP(o_totalprice), 4) AS cost_sd,
-       COUNT(*) AS n FROM orders
-""")
-def ag21_mean_std(spark, d):
-    o = Tables(spark, d).orders
-    return o.agg(r6(F.avg("o_totalprice")).alias("cost_mean"),
-                 F.round(F.stddev_samp("o_totalprice"), 4).alias("cost_sd"), F.count(F.lit(1)).alias("n"))
-
-
 @register("ag22_hour_of_week_profile", """
 WITH x AS (SELECT (ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' AS lt, value FROM events
            WHERE ts >= TIMESTAMP '2024-01-03')

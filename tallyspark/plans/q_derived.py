@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from ..functions import timefn as tf
 from ..session import cut_lineage, ensure_checkpoint_dir
 from ..sources import io
+from ..sources.keyed_store import KeyedStore
 from ..sources.tables import Tables
 from . import forum
 from .q_graph import EDGES_SQL as GRAPH_EDGES_SQL
@@ -491,7 +492,7 @@ def dt16_quantity(spark, d):
 @register("dt17_internal_digraph", rf"""
 WITH {ITEM_SQL},
 it0 AS (SELECT itemId, invoiceActionState,
-               CASE WHEN parentId IS NULL AND title = '1-URGENT'
+               CASE WHEN parentId IS NULL
                     THEN COALESCE(text, '') || ' https://site.example/items/' || CAST(userId AS VARCHAR) ELSE text END AS text
         FROM item),
 it AS (SELECT * FROM it0 WHERE invoiceActionState IS DISTINCT FROM 'FAILED' AND text IS NOT NULL AND length(text) > 0),
@@ -504,7 +505,7 @@ def dt17_digraph(spark, d):
     """Items' texts hold links (built from user keys) to other items."""
     fo = Forum(spark, d)
     it = fo.item()
-    it = it.withColumn("text", F.when(F.col("parentId").isNull() & (F.col("title") == "1-URGENT"),
+    it = it.withColumn("text", F.when(F.col("parentId").isNull(),
                                       F.concat(F.coalesce("text", F.lit("")), F.lit(" https://site.example/items/"),
                                                F.col("userId").cast("string"))).otherwise(F.col("text")))
     return forum.internal_digraph(it, CFG)
@@ -638,6 +639,29 @@ def wn11_pretrend_quantity(spark, d):
                       "fee_chg_pos", "fee_chg_neg")
 
 
+@register("dt22_pretrend_quality", f"""
+WITH RECURSIVE {DT22_SQL},
+qs AS (SELECT * REPLACE (date_trunc('second', created_at) AS created_at) FROM posts
+       WHERE invoiceActionState IS DISTINCT FROM 'FAILED' AND NOT bio AND NOT freebie AND NOT saloon
+        AND subName IS NOT NULL AND subName <> '' AND subName NOT IN {tuple(CFG.excluded_subs)}
+        AND epoch_us(TIMESTAMP '{CFG.data_end}') - epoch_us(created_at) >= 172800000000),
+qo AS (SELECT qs.*, tr.subOwner FROM qs ASOF LEFT JOIN tr ON qs.subName = tr.subName AND qs.created_at >= tr.tts),
+qk AS (SELECT *, CAST(created_at AS DATE) - CAST(dayofweek(created_at) AS INTEGER) AS week
+       FROM qo WHERE NOT COALESCE(userId = subOwner, false) AND cost > 0),
+lw AS (SELECT subName, week, fee_chg_pos, fee_chg_neg, {", ".join(f"{f}({c}, {i}) OVER w AS {n}" for n, f, c, i in DT22_SHIFTS)}
+       FROM tw WINDOW w AS (PARTITION BY subName ORDER BY week))
+SELECT itemId, sats48, CAST(fee_chg_pos AS DOUBLE) AS fee_chg_pos, CAST(fee_chg_neg AS DOUBLE) AS fee_chg_neg,
+  {", ".join(f"CAST({n} AS DOUBLE) AS {n}" for n, *_ in DT22_SHIFTS)}
+FROM qk LEFT JOIN lw USING (subName, week)
+""")
+def dt22_pretrend_quality(spark, d):
+    fo = Forum(spark, d)
+    pnl = forum.territory_day_panel(fo.fees(), fo.posts(), fo.cycles(), fo.transfers(), CFG)
+    q = forum.post_quality_sample(fo.posts(), fo.transfers(), fo.weekly_prices(), CFG)
+    out = forum.pretrend_quality(q, forum.event_study_sample(pnl, "subName", "date", "posting_fee", k=12))
+    return out.select("itemId", "sats48", *[F.col(c).cast("double").alias(c) for c in ("fee_chg_pos", "fee_chg_neg", *[n for n, *_ in DT22_SHIFTS])])
+
+
 def _dt23_sql():
     from ..config import IMG_LINK_PATTERN
     from ..functions.textfn import WS_CLASS
@@ -645,7 +669,7 @@ def _dt23_sql():
     return rf"""
 WITH {POSTS_SQL},
 it0 AS (SELECT itemId, invoiceActionState,
-               CASE WHEN parentId IS NULL AND title = '1-URGENT'
+               CASE WHEN parentId IS NULL
                     THEN COALESCE(text, '') || ' https://site.example/items/' || CAST(userId AS VARCHAR) ELSE text END AS text
         FROM item),
 itl AS (SELECT * FROM it0 WHERE invoiceActionState IS DISTINCT FROM 'FAILED' AND text IS NOT NULL AND length(text) > 0),
@@ -710,18 +734,26 @@ def src6_materialize(spark, d):
 
 
 @register("src8_vector_store_lookup_upsert", """
-WITH s AS (SELECT sha256(CAST(vec_id AS VARCHAR)) AS text_hash, embedding FROM embeddings),
+WITH first AS (SELECT sha256(CAST(vec_id AS VARCHAR)) AS text_hash, list_sum(embedding) AS total, TIMESTAMP '2024-01-01' AS t
+               FROM embeddings WHERE vec_id % 3 <> 0),
+second AS (SELECT sha256(CAST(vec_id AS VARCHAR)) AS text_hash, -list_sum(embedding) AS total, TIMESTAMP '2024-02-01' AS t
+           FROM embeddings WHERE vec_id % 2 = 0),
+s AS (SELECT text_hash, arg_max(total, t) AS total, max(t) AS t FROM (SELECT * FROM first UNION ALL SELECT * FROM second) GROUP BY 1),
 k AS (SELECT DISTINCT sha256(CAST(doc_id AS VARCHAR)) AS text_hash FROM documents)
-SELECT COUNT(*) FILTER (WHERE s.text_hash IS NOT NULL) AS hits, COUNT(*) FILTER (WHERE s.text_hash IS NULL) AS misses
-FROM k LEFT JOIN s USING (text_hash)
+SELECT k.text_hash, s.text_hash IS NOT NULL AS hit, ROUND(s.total, 3) AS total, s.t AS last_updated_at FROM k LEFT JOIN s USING (text_hash)
 """)
 def src8_vector_store(spark, d):
+    """Two upserts into a store, the second over some of the first's keys, then a lookup of every document's key."""
     t = Tables(spark, d)
-    store = t.embeddings.select(F.sha2(F.col("vec_id").cast("string"), 256).alias("text_hash"), "embedding",
-                                F.lit("2024-01-01").cast("timestamp").alias("last_updated_at"))
-    keys = t.documents.select(F.sha2(F.col("doc_id").cast("string"), 256).alias("text_hash"))
-    hits, misses = io.store_lookup(store, keys)
-    return hits.agg(F.count(F.lit(1)).alias("hits")).crossJoin(misses.agg(F.count(F.lit(1)).alias("misses")))
+    v = t.embeddings.select("vec_id", F.sha2(F.col("vec_id").cast("string"), 256).alias("text_hash"),
+                            F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda a, x: a + x).alias("total"))
+    store = KeyedStore(spark, scratch(spark, "src8"), partitions=16)
+    at = lambda day: F.lit(day).cast("timestamp").alias("last_updated_at")
+    store.upsert(v.where("vec_id % 3 <> 0").select("text_hash", "total", at("2024-01-01")))
+    store.upsert(v.where("vec_id % 2 = 0").select("text_hash", (-F.col("total")).alias("total"), at("2024-02-01")))
+    hits, misses = store.lookup(t.documents.select(F.sha2(F.col("doc_id").cast("string"), 256).alias("text_hash")))
+    found = hits.select("text_hash", F.lit(True).alias("hit"), F.round("total", 3).alias("total"), "last_updated_at")
+    return found.unionByName(misses.select("text_hash", F.lit(False).alias("hit")), allowMissingColumns=True)
 
 
 @register("src9_metrics_upsert_last_wins", """

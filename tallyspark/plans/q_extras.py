@@ -11,10 +11,12 @@ from ..functions import textfn as tx
 from ..functions import timefn as tf
 from ..operators import scan
 from ..operators import sequences as sq
+from ..session import cut_lineage
 from ..sources import io
 from ..sources.tables import Tables
-from .q_derived import scratch
-from .q_models import _doc_features, _li, _round_table
+from . import forum
+from .q_derived import CFG, Forum, scratch
+from .q_models import TREE_GROUPS, _li, tree_features
 from .q_windows import PANEL_SQL, WEEKLY_SQL, user_day_panel, weekly_posts
 from .registry import ORACLE, r6, register
 
@@ -115,25 +117,19 @@ def es6_two_effects(spark, d):
 
 @register("es7_event_study")
 def es7_event_study(spark, d):
-    """Leads/lags of an event (each unit's busiest week) with unit and week effects, clustered by unit."""
-    w = weekly_posts(Tables(spark, d))
-    ev = w.groupBy("sub").agg(F.max_by("week", F.struct("log_posts", F.negative(F.unix_date(F.to_date("week")))))
-                              .alias("event_week"))
-    x = w.join(ev, "sub").withColumn("k", F.floor(F.datediff("week", "event_week") / 7).cast("int"))
-    names = []
-    for k in range(-12, 13):
-        if k == -1:
-            continue
-        n = linear.event_time_name(k)
-        x = x.withColumn(n, (F.col("k") == k).cast("double"))
-        names.append(n)
-    fit = linear.feols(x, "log_posts", names, ["sub", "week"], cluster="sub", name="event_study")
-    tab = fit.table(spark).where(~F.col("coef_name").startswith("_"))
-    k_of = F.when(F.col("coef_name").startswith("lead"), -F.substring("coef_name", 5, 3).cast("int")) \
-        .otherwise(F.substring("coef_name", 4, 3).cast("int"))
-    return tab.select(k_of.alias("event_time"), r6("estimate").alias("estimate"), r6("serr").alias("serr"),
-                      r6(F.col("estimate") - 1.96 * F.col("serr")).alias("ci_low"),
-                      r6(F.col("estimate") + 1.96 * F.col("serr")).alias("ci_high"))
+    """The four pre-trend models: 50 leads and lags of fee rises and falls on the quality and the quantity sample.  Terms
+    that the others give have no estimate and are marked."""
+    fo = Forum(spark, d)
+    pnl = forum.territory_day_panel(fo.fees(), fo.posts(), fo.cycles(), fo.transfers(), CFG)
+    changes = cut_lineage(forum.event_study_sample(pnl, "subName", "date", "posting_fee"))
+    quality = forum.pretrend_quality(forum.post_quality_sample(fo.posts(), fo.transfers(), fo.weekly_prices(), CFG), changes)
+    quantity = forum.pretrend_quantity(forum.post_quantity_sample(pnl, fo.weekly_prices()), changes)
+    out = None
+    for fit in linear.event_study(quality, quantity):
+        t = fit.table(spark).withColumn("dropped", F.col("coef_name").isin(list(fit.dropped)))
+        out = t if out is None else out.unionByName(t)
+    return out.select("regression_name", "coef_name", r6("estimate").alias("estimate"), r6("serr").alias("serr"),
+                      r6(F.col("estimate") - 1.96 * F.col("serr")).alias("ci_low"), r6(F.col("estimate") + 1.96 * F.col("serr")).alias("ci_high"), "dropped")
 
 
 @register("tk1_sorted_within_partitions", "SELECT o_orderkey, o_custkey, o_orderdate FROM orders")
@@ -211,14 +207,15 @@ def src7_ingest(spark, d):
                                    vec.count())], "requests long, written long, errors long, existing long, new long")
 
 
+def importance_groups(metrics, groups: dict[str, str]):
+    """AG27: the trees' importances summed by group of features."""
+    names = metrics.sparkSession.createDataFrame([("importance_" + f, g) for f, g in groups.items()], "metric string, feature_group string")
+    return metrics.join(F.broadcast(names), "metric").groupBy("feature_group").agg(F.sum("value").alias("importance"))  # a row a feature
+
+
 @register("ag27_feature_importance_groups")
 def ag27_importance_groups(spark, d):
-    f = _doc_features(Tables(spark, d)).withColumn("quality", F.col("quality").cast("double"))
-    m = ml.boosted_trees(f, "quality", ["num_words", "log_chars", "is_en"])
-    groups = spark.createDataFrame([("importance_num_words", "words"), ("importance_log_chars", "text"),
-                                    ("importance_is_en", "language")], "metric string, feature_group string")
-    return (m.join(F.broadcast(groups), "metric").groupBy("feature_group")
-            .agg(F.sum("value").alias("importance")))
+    return importance_groups(ml.boosted_trees(tree_features(Tables(spark, d)), "quality", list(TREE_GROUPS)), TREE_GROUPS)
 
 
 @register("src4_weekly_csv_roundtrip", """

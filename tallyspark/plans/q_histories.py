@@ -12,7 +12,10 @@ import math
 
 from pyspark.sql import functions as F
 
+from ..estimators import clogit
+from ..functions import timefn as tf
 from ..operators import sequences as sq
+from ..session import cut_lineage
 from ..sources.tables import Tables
 from . import forum
 from .q_windows import CATS, prior_posts
@@ -102,12 +105,16 @@ FAMILIES = {"cum_avg": "cum_avg_", "cum_avg_u": "cum_avg_u_", "cum_avg_recent":
             "cum_avg_activity": "cum_avg_activity_", "cum_avg_activity_u": "cum_avg_activity_u_", "cum_avg_user": "cum_avg_user_"}
 
 
+def histories(spark, d):
+    """One row per post with its 35 history means."""
+    p = event_posts(Tables(spark, d))
+    return sq.prior_histories(p, "user_id", "ts", "event_id", "cat", "y", TYPES, decay_half_life_days=DECAY_DAYS,
+                              kernel_half_life_hours=HALF_LIFE_S / 3600, tolerance=TOLERANCE)
+
+
 def choice_set(spark, d):
     """DT21: one row per post and alternative, the seven history means of the alternative; posts that lack any of the 35 go."""
-    p = event_posts(Tables(spark, d))
-    h = sq.prior_histories(p, "user_id", "ts", "event_id", "cat", "y", TYPES, decay_half_life_days=DECAY_DAYS,
-                           kernel_half_life_hours=HALF_LIFE_S / 3600, tolerance=TOLERANCE)
-    return forum.choice_set(h, "user_id", "ts", "event_id", "cat", TYPES, FAMILIES)
+    return forum.choice_set(histories(spark, d), "user_id", "ts", "event_id", "cat", TYPES, FAMILIES)
 
 
 def _decayed_sql(name: str, prefix: str, own: bool) -> str:
@@ -140,3 +147,27 @@ def dt21_choice_set(spark, d):
     cs = choice_set(spark, d)
     return cs.select("event_id", "alternative", "choice", "chosen", F.col("experience_posts").cast("int").alias("experience_posts"),
                      r6("experience_days").alias("experience_days"), *[r6(c).alias(c) for c in FAMILIES])
+
+
+#: The study's six models: signal family and, where surprise is in, the family of the user's own history.
+MODELS = {"r0": ("cum_avg_", None), "r1": ("cum_avg_recent_", None), "r2": ("cum_avg_activity_", None), "r3": ("cum_avg_", "cum_avg_u_"),
+          "r4": ("cum_avg_recent_", "cum_avg_recent_u_"), "r5": ("cum_avg_activity_", "cum_avg_activity_u_")}
+
+
+@register("es9_es10_es11_conditional_logit")
+def es9_clogit(spark, d):
+    """Six conditional logits of the type chosen: signal, signal x ln(1 + posts so far) and, in three, surprise (own history less
+    signal), with constants and a time trend by type; errors clustered by user, pseudo R²."""
+    h = sq.sequence_number(histories(spark, d), "user_id", "ts", "event_id").dropna(subset=[p + c for p in FAMILIES.values() for c in TYPES])
+    first = h.agg(F.min(tf.as_week("ts")).alias("__w0"), F.max(tf.as_week("ts")).alias("__w1"))  # one row
+    weeks = lambda a, b: F.datediff(a, b) / 7
+    h = cut_lineage(h.crossJoin(F.broadcast(first)).withColumn("time", weeks(tf.as_week("ts"), F.col("__w0")) / F.greatest(weeks(F.col("__w1"), F.col("__w0")), F.lit(1.0))))
+    chosen = F.array_position(F.array(*[F.lit(c) for c in TYPES]), F.col("cat")) - 1
+    out = None
+    for model, (signal, own) in MODELS.items():
+        s = [F.col(signal + c) for c in TYPES]
+        x, generic = clogit.utilities(s, F.col("time"), F.log1p("experience_posts"), [F.col(own + c) - F.col(signal + c) for c in TYPES] if own else None)
+        names = generic + [f"{kind}:{c}" for kind in ("(Intercept)", "time") for c in TYPES[1:]]
+        table, _ = clogit.fit(h, x, chosen, names, cluster=F.col("user_id"), name=model)
+        out = table if out is None else out.unionByName(table)
+    return out.select("regression_name", "coef_name", r6("estimate").alias("estimate"), r6("serr").alias("serr"))

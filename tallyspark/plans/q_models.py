@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..estimators import kernel, linear, ml
 from ..functions import textfn as tx
 from ..functions import timefn as tf
+from ..session import cut_lineage
 from ..sources.tables import Tables
 from .registry import r6, register
 
@@ -150,60 +151,27 @@ def es16_pca_scores(spark, d):
     return scores
 
 
-@register("es17_es18_boosted_trees_vs_linear")
-def es17_gbt(spark, d):
-    f = _doc_features(Tables(spark, d)).withColumn("quality", F.col("quality").cast("double"))
-    return ml.boosted_trees(f, "quality", ["num_words", "log_chars", "is_en"])
+#: Principal components of title and of text vectors among the trees' features.
+TITLE_PCS, TEXT_PCS = 10, 20
+TREE_GROUPS = {"num_words": "num_words", "num_img_or_links": "num_img_or_links", "is_en": "is_en",
+               **{f"title_emb_{k}": "title_embeddings" for k in range(TITLE_PCS)}, **{f"text_emb_{k}": "text_embeddings" for k in range(TEXT_PCS)}}
 
 
-@register("es19_model_table", """
-WITH d AS (SELECT ln(l_extendedprice) AS y, l_discount, l_tax, l_quantity FROM lineitem),
-c AS (SELECT '(Intercept)' AS coef_name, regr_intercept(y, l_discount) AS m_discount, regr_intercept(y, l_tax) AS m_tax,
-             regr_intercept(y, l_quantity) AS m_quantity FROM d
-      UNION ALL
-      SELECT 'x', regr_slope(y, l_discount), regr_slope(y, l_tax), regr_slope(y, l_quantity) FROM d)
-SELECT coef_name, ROUND(m_discount, 6) AS m_discount, ROUND(m_tax, 6) AS m_tax, ROUND(m_quantity, 6) AS m_quantity
-FROM c
-""")
-def es19_model_table(spark, d):
-    li = _li(Tables(spark, d))
-    tabs = None
-    for x in ("l_discount", "l_tax", "l_quantity"):
-        t = linear.ols(li, "y", [x], name="m_" + x[2:]).table(spark)
-        t = t.where(~F.col("coef_name").startswith("_")).withColumn(
-            "coef_name", F.when(F.col("coef_name") == "(Intercept)", "(Intercept)").otherwise("x"))
-        tabs = t if tabs is None else tabs.unionByName(t)
-    p = tabs.groupBy("coef_name").pivot("regression_name", ["m_discount", "m_tax", "m_quantity"]).agg(
-        F.first("estimate"))
-    return p.select("coef_name", *[r6(c).alias(c) for c in ("m_discount", "m_tax", "m_quantity")])
-
-
-def _choice_set(spark, d):
-    from ..operators import sequences as sq
-    from ..plans import forum
-    from .q_windows import CATS, prior_posts
-    p = prior_posts(Tables(spark, d))
-    h = sq.prior_category_means(p, "o_custkey", "o_orderdate", "o_orderkey", "cat", "y", CATS)
-    for c in CATS:
-        h = h.withColumnRenamed(f"prior_mean_{c}", f"cum_avg_{c}")
-    own = sq.prior_category_means(p, "o_custkey", "o_orderdate", "o_orderkey", "cat", "y", CATS, own_only=True)
-    own = own.select("o_orderkey", *[F.col(f"prior_mean_{c}").alias(f"cum_avg_user_{c}") for c in CATS])
-    h = h.join(own, "o_orderkey")
-    cs = forum.choice_set(h, "o_custkey", "o_orderdate", "o_orderkey", "cat", CATS,
-                          {"cum_avg": "cum_avg_", "cum_avg_user": "cum_avg_user_"})
-    span = cs.agg(F.max("o_orderdate").alias("__mx"), F.min("o_orderdate").alias("__mn"))
-    cs = cs.crossJoin(F.broadcast(span)).withColumn(
-        "trend", (F.unix_micros("o_orderdate") - F.unix_micros("__mn")) / (F.unix_micros("__mx") - F.unix_micros("__mn")))
-    for i, c in enumerate(CATS[1:], 1):
-        is_c = (F.col("alternative") == c).cast("double")
-        cs = cs.withColumn(f"alt{i}", is_c).withColumn(f"alt{i}_trend", is_c * F.col("trend"))
-    return cs.drop("__mx", "__mn")
-
-
-@register("es9_es10_es11_conditional_logit")
-def es9_clogit(spark, d):
-    from ..estimators import clogit
-    cs = _choice_set(spark, d)
-    xs = [f"alt{i}" for i in range(1, 5)] + [f"alt{i}_trend" for i in range(1, 5)] + ["cum_avg", "cum_avg_user"]
-    table, _ = clogit.fit(cs, "o_orderkey", "chosen", xs, cluster="o_custkey", alternative="alternative")
-    return _round_table(table)
+def tree_features(t):
+    """One row a labelled document: word and link counts, language, and PCA scores of its title and text vectors (the halves
+    of its embedding)."""
+    v = t.embeddings.select(F.col("vec_id").alias("doc_id"), F.slice("embedding", 1, 32).cast("array<double>").alias("title"),
+                            F.slice("embedding", 33, 32).cast("array<double>").alias("text_v"))
+    doc = t.documents.select("doc_id", tx.word_count("text").cast("double").alias("num_words"),
+                             tx.count_image_or_links("text").cast("double").alias("num_img_or_links"), (F.col("lang") == "en").cast("double").alias("is_en"))
+    f = cut_lineage(doc.join(t.labels.select("doc_id", F.col("quality").cast("double").alias("quality")), "doc_id").join(v, "doc_id").dropna())
+    out = f.drop("title", "text_v")
+    for column, name, k in (("title", "title_emb", TITLE_PCS), ("text_v", "text_emb", TEXT_PCS)):
+        _, scores = ml.pca(f, column, k, key="doc_id", n_ratio=k)
+        out = out.join(scores.withColumnsRenamed({f"pc{i + 1}": f"{name}_{i}" for i in range(k)}), "doc_id")
+    return cut_lineage(out)
+
+
+@register("es17_es18_boosted_trees_vs_linear")
+def es17_gbt(spark, d):
+    return ml.boosted_trees(tree_features(Tables(spark, d)), "quality", list(TREE_GROUPS))

@@ -40,4 +40,4 @@ def money_sum(c) -> Column:
 def load_all() -> None:
     from . import (q_aggregates, q_derived, q_graph, q_joins, q_models, q_projections,  # noqa: F401
                    q_scalar, q_streaming, q_windows)
-    from . import q_extras, q_histories  # noqa: F401  (use the loaded oracle strings)
+    from . import q_extras, q_histories, q_users  # noqa: F401  (use the loaded oracle strings)

@@ -64,3 +64,37 @@ def test_three_effects_by_gradients(spark):
     fitted = [sum(got[f][r["fgh".index(f)]] for f in "fgh") for r in rows]
     np.testing.assert_allclose(fitted, dense(rows, range(3)), atol=1e-6)
     assert seen["rounds"] <= 20
+
+
+def test_collinear_terms_are_left_out_and_named(spark):
+    """Leads and lags of which some repeat others, one is a constant within its effect and one a sum: numpy with what is kept."""
+    rng = np.random.default_rng(4)
+    n = 400
+    f, g = rng.integers(0, 8, n), rng.integers(0, 12, n)
+    x = (rng.random((n, 5)) < 0.3).astype(float)
+    cols = {"a": x[:, 0], "b": x[:, 1], "twin": x[:, 0], "c": x[:, 2], "sum": x[:, 0] + x[:, 1] + x[:, 2], "of_f": 2.0 * f, "d": x[:, 3], "none": np.zeros(n)}
+    y = 0.5 * x[:, 0] - x[:, 1] + 0.2 * f - 0.1 * g + rng.standard_normal(n)
+    names = list(cols)
+    df = spark.createDataFrame([(int(f[i]), int(g[i]), float(y[i]), *[float(cols[c][i]) for c in names]) for i in range(n)], ["f", "g", "y", *names])
+    fit = linear.feols(df, "y", names, ["f", "g"], cluster="f", singletons=False)
+    assert fit.names == ["a", "b", "c", "d"] and fit.dropped == ("twin", "sum", "of_f", "none")
+    dummies = np.column_stack([(f == i) for i in range(8)] + [(g == i) for i in range(1, 12)]).astype(float)
+    design = np.column_stack([cols[c] for c in fit.names])
+    proj = dummies @ np.linalg.lstsq(dummies, np.column_stack([design, y]), rcond=None)[0]
+    xd, yd = design - proj[:, :4], y - proj[:, 4]
+    beta = np.linalg.lstsq(xd, yd, rcond=None)[0]
+    e, inv = yd - xd @ beta, np.linalg.inv(xd.T @ xd)
+    s = np.array([(xd * e[:, None])[f == i].sum(0) for i in range(8)])
+    # 12 + 8 - 1 levels, the 8 nested in the cluster not counted
+    vcov = inv @ (s.T @ s) @ inv * (8 / 7) * ((n - 1) / (n - 4 - 11))
+    np.testing.assert_allclose(fit.beta, beta, atol=1e-9)
+    np.testing.assert_allclose(np.sqrt(np.diag(fit.vcov)), np.sqrt(np.diag(vcov)), rtol=1e-8)
+    table = {r["coef_name"]: r["estimate"] for r in fit.table(spark).collect()}
+    assert all(table[c] is None for c in fit.dropped) and table["_n"] == n
+    plain = linear.ols(df, "y", ["a", "twin", "b"], weight=None)
+    assert plain.names == ["(Intercept)", "a", "b"] and plain.dropped == ("twin",)
+
+
+def test_event_terms_are_the_fifty():
+    t = linear.event_terms(12)
+    assert len(t) == 50 and t[0] == "fee_chg_pos_F12" and t[12] == "fee_chg_pos" and t[24] == "fee_chg_pos_L12" and t[-1] == "fee_chg_neg_L12"
