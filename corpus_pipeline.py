@@ -4,7 +4,7 @@
 2. near_duplicates: of each class of near-duplicates the document with the smallest id stays (operator 10);
 3. repeats: byte strings that also start in a document with a smaller id are cut out (operator 4); a text may become empty;
 4. mixture: documents are taken zero, one or two times so that the sources come to their target shares (operator 9);
-5. tokens: texts become token ids (operator 1).
+5. tokens: texts become token ids, which are decoded again: ids and the digest of the decoded text (operator 1).
 
 A stage takes ``(spark, docs, sf_dir)``; all but the last return the columns of
 ``documents``, ``n_chars`` following the text.  Each stage's result is written as
@@ -42,7 +42,7 @@ def mixture_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json")).select("doc_id", F.size("ids").alias("n_tokens"), "ids")
+    return bpe.tokens(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [("quality", quality_stage), ("near_duplicates", near_duplicate_stage), ("repeats", repeat_stage),

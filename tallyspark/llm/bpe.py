@@ -246,6 +246,26 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
 
+def tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, ids, decoded_sha256) per document: its ids, and the digest of the text that they decode to."""
+    spec, rows = read_spec(path), docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
+
+    def run(batches):
+        bpe = load(spec)
+        for batch in batches:
+            ids = [list(chain.from_iterable(bpe.encode(t or ""))) for t in batch.column(1).to_pylist()]
+            digests = []
+            for x in ids:
+                h = hashlib.sha256()
+                for part in bpe.decode([x]):
+                    h.update(part.encode())
+                digests.append(h.hexdigest())
+            yield pa.record_batch([batch.column(0), pa.array([len(x) for x in ids], pa.int32()), pa.array(ids, pa.list_(pa.int32())),
+                                   pa.array(digests, pa.string())], names=["doc_id", "n_tokens", "ids", "decoded_sha256"])
+
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens int, ids array<int>, decoded_sha256 string")
+
+
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """(doc_id, text) from (doc_id, ids); null ids give an empty text."""
     spec, rows = read_spec(path), encoded.select("doc_id", "ids")

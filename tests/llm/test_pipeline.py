@@ -1,5 +1,6 @@
 """The pipeline's stages and its whole run against plain Python, and the registered queries against their SQL."""
 
+import hashlib
 import os
 
 import duckdb
@@ -31,8 +32,13 @@ def run_brute(rows):
 
 def test_run_matches_python(spark):
     rows = [tuple(r) for r in read_table(spark, SF, "documents").collect()]
-    got = [(r["doc_id"], list(r["ids"])) for r in cp.run(spark, SF).collect()]
+    out = cp.run(spark, SF).collect()
+    got = [(r["doc_id"], list(r["ids"])) for r in out]
     assert sorted(got) == sorted(run_brute(rows))
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    for r in out:
+        text = t.decode(list(r["ids"]), skip_special_tokens=False)
+        assert r["n_tokens"] == len(r["ids"]) and r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
 
 
 def test_stages_on_odd_rows(odd, clashing, none, spark):
