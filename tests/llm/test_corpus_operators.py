@@ -149,13 +149,33 @@ def test_top_k_matches_python(spark, monkeypatch):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
-def test_search_stops_on_proof():
-    """One vector far above the others: its proof comes before the last plane, and few are rescored."""
+def test_bit_lengths_are_exact():
+    x = np.array([0, 1, -1, 2, 3, 4, -7, 8, 255, 256, 2 ** 53 - 1, 2 ** 53, 2 ** 60 - 1, -(2 ** 62) + 1])
+    assert topk.bit_lengths(x).tolist() == [int(v).bit_length() for v in np.abs(x)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_search_stops_on_proof_on_ordinary_vectors(seed):
+    """Normal vectors: the k best are exact, and the proof comes before all postings are read."""
+    rng = np.random.default_rng(seed)
+    x = np.floor(256 * rng.standard_normal((3000, 48)) / 7).astype(np.int16)
+    x[5], x[7] = x[6], x[6]  # ties
+    ids, pick = rng.permutation(3000), np.arange(0, 3000, 40)
+    q = x[pick].astype(np.int64)
+    row, at, score, share = topk.search(ids[pick], q, ids, topk.Segments(x), 5)
+    full = q @ x.astype(np.int64).T
+    full[np.arange(len(pick)), pick] = np.iinfo(np.int64).min
+    for i in range(len(pick)):
+        want = sorted(range(3000), key=lambda j: (-int(full[i, j]), ids[j]))[:5]
+        assert at[row == i].tolist() == want and (score[row == i] == full[i, want]).all()
+    assert 0.3 < share < 0.95
+
+
+def test_search_stops_early_where_few_stand_out():
     x = np.random.default_rng(0).integers(-20, 20, (500, 16))
     x[:5] += 4000
-    ids, q = np.arange(500), np.full((1, 16), 50)
-    row, at, score, rescored = topk.search(np.array([-1]), q, ids, topk.planes_of(x), x, 5)
-    assert sorted(at) == [0, 1, 2, 3, 4] and rescored < 100
+    row, at, score, share = topk.search(np.array([-1]), np.full((1, 16), 50), np.arange(500), topk.Segments(x), 5)
+    assert sorted(at) == [0, 1, 2, 3, 4] and share < 0.1
     assert (score == (x[at] * 50).sum(1)).all()
 
 
