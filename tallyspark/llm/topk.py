@@ -7,8 +7,8 @@ and their signed components.  Components of 0 have no posting.
 Search.  A query's component of bit length m meets a segment of impact l with
 contributions below 2^(m + l), so its segments are processed by descending m + l,
 a score class at a time.  After the classes down to c, a vector's unread postings
-come to at most B = sum over dimensions d of |q_d| min(2^(c - 1 - m_d) - 1, the
-greatest |x_d| of the block) -- nothing about a vector is known before its postings
+come to at most B = sum over dimensions d of |q_d| times the greatest component of the
+segments of d with impact up to c - 1 - m_d -- nothing about a vector is known before its postings
 are read.  With accumulators a, every score lies in [a - B, a + B]: vectors with
 a + B below the k-th best a - B are out.  Processing stops as soon as that proof
 leaves at most ``STOP_AT`` x k vectors a query, or all segments are read; the
@@ -57,7 +57,9 @@ class Segments:
         self.x, level = x, bit_lengths(x)
         self.parts = {int(l): np.where(level == l, x, 0) for l in np.unique(level) if l > 0}
         self.postings = {l: int((level == l).sum()) for l in self.parts}
-        self.greatest = np.abs(x.astype(np.int64)).max(axis=0, initial=0)
+        size = np.abs(x.astype(np.int64))
+        #: By impact l and dimension: the greatest component of the segments up to l.
+        self.tops = np.array([np.where(level <= l, size, 0).max(axis=0, initial=0) for l in range(int(level.max(initial=0)) + 1)])
 
 
 def _dot(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -82,8 +84,8 @@ def search(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, index: Segments, k
             score += _dot(q_parts[m], index.parts[l])
             read += q_dims[m] * index.postings[l]
         # postings not read: of impact at most c - 1 - m in a dimension of bit length m
-        unread = np.clip(c - 1 - levels, 0, 62)
-        bound = (size * np.minimum(np.left_shift(np.int64(1), unread) - 1, index.greatest)).sum(axis=1)
+        unread = np.clip(c - 1 - levels, 0, len(index.tops) - 1)
+        bound = (size * index.tops[unread, np.arange(q.shape[1])]).sum(axis=1)
         low = np.where(alive, score - bound[:, None], np.iinfo(np.int64).min)
         if len(ids) > k:
             kth = np.partition(low, len(ids) - k, axis=1)[:, len(ids) - k]
