@@ -53,7 +53,7 @@ from .textblocks import U, mix64, pair_hash, row_slices, span_hashes, text_buffe
 
 SHINGLE_WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 5
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: Times that texts without a possible partner are taken out of buckets before pairs are formed.
 CLOSING = 2
 
@@ -316,9 +316,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
         ends = met.groupBy("bucket").agg(*[extreme(c).alias("b_" + c) for c, extreme in _REACH.items()])
         met = met.join(ends, "bucket").where(_may_meet({c: F.col(c) for c in names}, {c: F.col("b_" + c) for c in names}, threshold))
         open_rows = written(_several(met.select("bucket", "node", "score", "label", *names), names), "open")
-    x, y = (open_rows.select("bucket", F.col("node").alias(e), F.col("label").alias("l" + e), *[F.col(c).alias(e + "_" + c) for c in names]) for e in "xy")
+    # A pair is formed in the least of the buckets that it still shares (a text has at most 2 BANDS).
+    shared = open_rows.groupBy("node").agg(F.collect_set("bucket").alias("all"))
+    open_rows = open_rows.join(shared, "node")
+    x, y = (open_rows.select("bucket", F.col("node").alias(e), F.col("label").alias("l" + e), *[F.col(c).alias(e + "_" + c) for c in ("all", *names)]) for e in "xy")
     pairs = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("lx") < F.col("ly"))
-                   & _may_meet({c: F.col("x_" + c) for c in names}, {c: F.col("y_" + c) for c in names}, threshold))
+                   & _may_meet({c: F.col("x_" + c) for c in names}, {c: F.col("y_" + c) for c in names}, threshold)
+                   & (F.array_min(F.array_intersect("x_all", "y_all")) == x["bucket"]))
     pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
     if not pairs.isEmpty():  # the new links join classes
