@@ -197,17 +197,28 @@ def _solve_directly(cells: DataFrame, fes: list[str], k: int) -> dict[str, DataF
             break
         sets = new
     counts = np.diag(a).copy()
-    scale = counts.mean() if size else 1.0
+    # the effect with the most levels is taken out of the equations: its own block is diagonal
+    most = int(np.argmax([len(m) for m in names]))
+    own = (np.arange(size) >= first[most]) & (np.arange(size) < first[most + 1])
+    rest, cross = a[np.ix_(~own, ~own)], a[np.ix_(~own, own)]
+    left = rest - (cross / counts[own]) @ cross.T
+    right = b[~own] - (cross / counts[own]) @ b[own]
+    effect_of, held = np.searchsorted(first, np.arange(size), "right")[~own] - 1, sets[~own]
     for s in np.unique(sets):
-        for i in range(1, len(fes)):  # the sum of the set's levels of this effect is to be zero
-            v = ((sets == s) & (np.arange(size) >= first[i]) & (np.arange(size) < first[i + 1])).astype(float)
-            a += np.outer(v, v) * scale / max(v.sum(), 1.0)
-    try:
-        x = np.linalg.solve(a, b) if size else b
-        if not np.isfinite(x).all() or np.linalg.cond(a) > 1e13:
-            raise np.linalg.LinAlgError
-    except np.linalg.LinAlgError:
-        x = np.linalg.lstsq(a, b, rcond=1e-12)[0]
+        for i in set(effect_of.tolist()):  # the sum of the set's levels of this effect is to be zero
+            v = ((held == s) & (effect_of == i)).astype(float)
+            left += np.outer(v, v) * counts.mean() / max(v.sum(), 1.0)
+    x = np.zeros((size, k))
+    if len(left):
+        regular = np.linalg.cond(left) < 1e13
+        x[~own] = np.linalg.solve(left, right) if regular else np.linalg.lstsq(left, right, rcond=1e-12)[0]
+    x[own] = (b[own] - cross.T @ x[~own]) / counts[own][:, None]
+    for s in np.unique(sets):
+        for i in range(1, len(fes)):
+            mine = np.flatnonzero(sets[first[i]:first[i + 1]] == s) + first[i]
+            mean = x[mine].mean(axis=0) if len(mine) else 0.0
+            x[mine] -= mean
+            x[np.flatnonzero(sets[:first[1]] == s)] += mean
     out, spark = {}, cells.sparkSession
     for i, f in enumerate(fes):
         levels = [(level, int(counts[first[i] + j]), x[first[i] + j].tolist(), int(sets[first[i] + j])) for level, j in names[i].items()]
@@ -317,7 +328,8 @@ def feols(df: DataFrame, y: str, xs: list[str], fes: list[str], *, name: str = "
     raw = d.agg((F.sum(F.col(y) * F.col(y)) - F.sum(y) ** 2 / F.count(F.lit(1))).alias("t"),
                 *[F.sum(F.col(x).cast("double") * F.col(x)).alias(f"x{i}") for i, x in enumerate(xs)]).first()
     tss, scale = raw["t"], {x: raw[f"x{i}"] or 0.0 for i, x in enumerate(xs)}
-    dm = demean(d, [y, *xs], fes)
+    # read several times from here on; the plan of many differences would also be slow to optimise
+    dm = cut_lineage(demean(d, [y, *xs], fes))
     n_levels = d.agg(*[F.countDistinct(f).alias(f) for f in fes]).first().asDict()
     levels = sum(n_levels.values()) - (len(fes) - 1)
     nested = 0

@@ -20,6 +20,7 @@ from ..operators import aggregates as ag
 from ..operators import attribution as attr
 from ..operators import intervals, panel, scan
 from ..operators import sequences as sq
+from ..session import cut_lineage
 
 
 def _ts(s: str) -> Column:
@@ -159,11 +160,12 @@ def territory_day_panel(fees: DataFrame, posts_df: DataFrame, cycles: DataFrame,
     past = pr.is_true(F.col("date") > F.col("billing_cycle_end"))
     t = t.where(~(past & (F.col("n_posts") == 0))).drop("billing_cycle_end")
     t = t.where(F.col("subName") != "")
-    t = panel.keep_groups_with_total(t, ["subName"], "n_posts", 0)
+    # a scan's plan holds its input twice, so chained scans start from checkpoints (of panel rows)
+    t = cut_lineage(panel.keep_groups_with_total(t, ["subName"], "n_posts", 0))
     f = fees.withColumn("__ft", F.col("date").cast("timestamp")).select("subName", "__ft", "posting_fee")
     t = scan.asof_join(t, f, ["subName"], "__dt", "__ft", ["posting_fee"])
     t = scan.backfill(t, ["subName"], ["date"], ["posting_fee"]).where(F.col("posting_fee").isNotNull())
-    t = find_subowner(t, transfers, "__dt")
+    t = find_subowner(cut_lineage(t), transfers, "__dt")
     t = scan.backfill(t, ["subName"], ["date"], ["subOwner"])
     return t.drop("__dt")
 

@@ -73,6 +73,9 @@ class Forum:
     def fees(self):
         return self._once("fees", lambda: forum.fee_history(self.posts(), self.transfers(), CFG))
 
+    def day_panel(self):
+        return self._once("day_panel", lambda: forum.territory_day_panel(self.fees(), self.posts(), self.cycles(), self.transfers(), CFG))
+
     def cycles(self):
         return forum.billing_cycles(forum_subact(self.t), CFG)
 
@@ -285,7 +288,7 @@ SELECT subName, date, n_posts, ROUND(posting_fee, 6) AS posting_fee, CAST(subOwn
 """)
 def dt8_panel(spark, d):
     fo = Forum(spark, d)
-    t = forum.territory_day_panel(fo.fees(), fo.posts(), fo.cycles(), fo.transfers(), CFG)
+    t = fo.day_panel()
     return t.select("subName", F.col("date").cast("timestamp").alias("date"), "n_posts",
                     r6("posting_fee").alias("posting_fee"), F.col("subOwner").cast("double").alias("subOwner"))
 
@@ -480,7 +483,7 @@ FROM k JOIN c1 USING (subName) JOIN c2 USING (week) JOIN c3 USING (sub_subOwner)
 """)
 def dt16_quantity(spark, d):
     fo = Forum(spark, d)
-    pnl = forum.territory_day_panel(fo.fees(), fo.posts(), fo.cycles(), fo.transfers(), CFG)
+    pnl = fo.day_panel()
     q = forum.post_quantity_sample(pnl, fo.weekly_prices())
     return q.select("subName", F.col("week").cast("timestamp").alias("week"),
                     F.col("subOwner").cast("double").alias("subOwner"), F.col("n_posts").cast("bigint").alias("n_posts"),
@@ -613,7 +616,7 @@ FROM tw WINDOW w AS (PARTITION BY subName ORDER BY week)
 """)
 def dt22_event_study(spark, d):
     fo = Forum(spark, d)
-    pnl = forum.territory_day_panel(fo.fees(), fo.posts(), fo.cycles(), fo.transfers(), CFG)
+    pnl = fo.day_panel()
     out = forum.event_study_sample(pnl, "subName", "date", "posting_fee", k=12)
     return out.select("subName", F.col("week").cast("timestamp").alias("week"), "fee_chg_pos", "fee_chg_neg",
                       *[F.col(n).cast("double").alias(n) for n, *_ in DT22_SHIFTS])
@@ -631,7 +634,7 @@ FROM g LEFT JOIN tw USING (subName, week)
 """)
 def wn11_pretrend_quantity(spark, d):
     fo = Forum(spark, d)
-    pnl = forum.territory_day_panel(fo.fees(), fo.posts(), fo.cycles(), fo.transfers(), CFG)
+    pnl = fo.day_panel()
     q = forum.post_quantity_sample(pnl, fo.weekly_prices())
     out = forum.pretrend_quantity(q, forum.event_study_sample(pnl, "subName", "date", "posting_fee"))
     return out.select("subName", F.col("week").cast("timestamp").alias("week"), F.col("subOwner").cast("double").alias("subOwner"),
@@ -656,7 +659,7 @@ FROM qk LEFT JOIN lw USING (subName, week)
 """)
 def dt22_pretrend_quality(spark, d):
     fo = Forum(spark, d)
-    pnl = forum.territory_day_panel(fo.fees(), fo.posts(), fo.cycles(), fo.transfers(), CFG)
+    pnl = fo.day_panel()
     q = forum.post_quality_sample(fo.posts(), fo.transfers(), fo.weekly_prices(), CFG)
     out = forum.pretrend_quality(q, forum.event_study_sample(pnl, "subName", "date", "posting_fee", k=12))
     return out.select("itemId", "sats48", *[F.col(c).cast("double").alias(c) for c in ("fee_chg_pos", "fee_chg_neg", *[n for n, *_ in DT22_SHIFTS])])
