@@ -42,7 +42,7 @@ def test_query_matches_oracle(spark, con, name):
 OTHERWISE = {"es2_es4_feols_two_effects_clustered": "test_models", "es7_event_study": "test_models", "es8_logit": "test_models",
              "es9_es10_es11_conditional_logit": "test_clogit", "es14_kernel_bootstrap_band": "test_kernel_quantile", "es16_pca_explained_variance": "test_models",
              "es16_pca_scores": "test_models", "es17_es18_boosted_trees_vs_linear": "test_models", "ag27_feature_importance_groups": "test_models",
-             "prj13_quantile_slice_sample": "test_models", "sf12_ascii_sanitise": "test_edges", "sf13_uuid5": "test_edges"}
+             "prj13_quantile_slice_sample": "test_models", "sf12_sanitize": "test_edges", "sf13_uuid5": "test_edges"}
 
 
 def test_every_query_has_sql_or_a_test():
