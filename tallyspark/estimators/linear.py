@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from ..operators.scan import join_on
+from ..operators.scan import changes, join_on, slices
 from ..session import cut_lineage
 
 COEF_SCHEMA = "regression_name string, coef_name string, estimate double, serr double"
@@ -146,6 +146,8 @@ def drop_singletons(df: DataFrame, fes: list[str]) -> DataFrame:
 
 #: Up to so many levels and cells the normal equations of the levels are solved on the driver; beyond, by conjugate gradients.
 DIRECT_LEVELS, DIRECT_CELLS = 2_048, 200_000
+#: Up to so many levels beside those of the largest effect, that effect is taken out of the equations in the tasks.
+REST_LEVELS = 1_024
 
 
 def cell_table(df: DataFrame, cols: list[str], fes: list[str]) -> DataFrame:
@@ -156,7 +158,7 @@ def cell_table(df: DataFrame, cols: list[str], fes: list[str]) -> DataFrame:
 
 
 def solve_levels(cells: DataFrame, fes: list[str], k: int, *, tol: float = 1e-10, max_rounds: int = 200, direct: bool | None = None,
-                 seen: dict | None = None) -> dict[str, DataFrame]:
+                 seen: dict | None = None, centred: bool = True) -> dict[str, DataFrame]:
     """The least-squares levels of all effects for each of the k columns of ``cells``: effect -> (level, ``__n`` rows, ``__a`` array).
 
     The levels solve the normal equations, cell counts by cell sums.  They are
@@ -164,15 +166,104 @@ def solve_levels(cells: DataFrame, fes: list[str], k: int, *, tol: float = 1e-10
     so the second and later effects have mean zero over the levels of each set and the first carries the level; three
     and more effects that are tied in further ways get the smallest solution.
 
-    At most ``DIRECT_LEVELS`` levels and ``DIRECT_CELLS`` cells are solved on the driver (both are counted first); beyond that
-    conjugate gradients work on the level tables, scaled by the levels' counts: a round is one join and aggregation of the
+    At most ``DIRECT_LEVELS`` levels and ``DIRECT_CELLS`` cells are solved on the driver (both are counted first).  Beyond that,
+    if the effects other than the largest have at most ``REST_LEVELS`` levels, the tasks take the largest one out of the
+    equations and the driver solves the rest; else conjugate gradients work on the level tables, scaled by the levels' counts: a round is one join and aggregation of the
     cells an effect and one small sum, and only the level tables are checkpointed.  ``direct`` chooses the way in tests.
-    ``seen`` takes the number of rounds.
+    ``seen`` takes the number of rounds.  Without ``centred`` any solution may be given outside the driver's way: sums of
+    a row's levels are the same, and the connected sets need not be found.
     """
     if direct is None:
         sizes = cells.agg(F.count(F.lit(1)).alias("c"), *[(F.countDistinct(f) + F.count_if(F.col(f).isNull())).alias(f"l{i}") for i, f in enumerate(fes)]).first()
-        direct = sizes["c"] <= DIRECT_CELLS and sum(sizes[f"l{i}"] for i in range(len(fes))) <= DIRECT_LEVELS
-    return _solve_directly(cells, fes, k) if direct else _solve_by_gradients(cells, fes, k, tol, max_rounds, seen)
+        levels = [sizes[f"l{i}"] for i in range(len(fes))]
+        direct = sizes["c"] <= DIRECT_CELLS and sum(levels) <= DIRECT_LEVELS
+        if not direct and len(fes) > 1 and sum(levels) - max(levels) <= REST_LEVELS:
+            tables = _solve_by_elimination(cells, fes, k, fes[levels.index(max(levels))])
+            return _centred_in_sets(cells, fes, k, tables) if centred else tables
+    if direct:
+        return _solve_directly(cells, fes, k)
+    tables = _solve_by_gradients(cells, fes, k, tol, max_rounds, seen)
+    return _centred_in_sets(cells, fes, k, tables) if centred else tables
+
+
+def _solve_by_elimination(cells: DataFrame, fes: list[str], k: int, most: str) -> dict[str, DataFrame]:
+    """The levels with the effect ``most`` taken out of the normal equations: its own block is diagonal, so each of its levels
+    adds one outer product to the equations of the others (Schur complement), which tasks sum up and the driver solves."""
+    spark, rest = cells.sparkSession, [f for f in fes if f != most]
+    names = [[r[0] for r in cells.select(f).distinct().collect()] for f in rest]
+    first = np.cumsum([0] + [len(m) for m in names])
+    size, m = int(first[-1]), len(rest)
+
+    def table(i, columns, ddl):
+        kind = cells.schema[rest[i]].dataType.simpleString()
+        return spark.createDataFrame([(level, *columns(first[i] + j)) for j, level in enumerate(names[i])], f"`{rest[i]}` {kind}, {ddl}")
+
+    frame = cells
+    for i, f in enumerate(rest):
+        frame = join_on(frame, F.broadcast(table(i, lambda at: (int(at),), f"__i{i} int")), [f])  # at most REST_LEVELS rows
+    frame = frame.select(F.col(most).alias("__u"), F.array(*[F.col(f"__i{i}") for i in range(m)]).alias("__at"), "__n", "__s")
+    rows = frame.repartition("__u").sortWithinPartitions("__u")
+
+    def equations(batches):
+        total = held = None  # held: key, counts by level, sums and rows of the level that the last batch ended in
+
+        def add(counts, sums, n):
+            total[:, :size] -= counts.T @ (counts / n[:, None])
+            total[:, size:] -= counts.T @ (sums / n[:, None])
+
+        for batch in slices(batches, max(64, (1 << 21) // size)):
+            if total is None:
+                total = np.zeros((size, size + k))
+            at = np.asarray(batch.column(1).flatten()).reshape(-1, m)
+            n, s = np.asarray(batch.column(2), dtype=float), np.asarray(batch.column(3).flatten()).reshape(-1, k)
+            for i in range(m):
+                np.add.at(total[:, size:], at[:, i], s)
+                for j in range(m):
+                    np.add.at(total, (at[:, i], at[:, j]), n)
+            new = changes(batch, ["__u"])
+            level = np.cumsum(new) - 1
+            counts, sums, weight = np.zeros((level[-1] + 1, size)), np.zeros((level[-1] + 1, k)), np.zeros(level[-1] + 1)
+            for i in range(m):
+                np.add.at(counts, (level, at[:, i]), n)
+            np.add.at(sums, level, s)
+            np.add.at(weight, level, n)
+            if held is not None:
+                if held[0] == batch.column(0)[0].as_py():
+                    counts[0] += held[1]
+                    sums[0] += held[2]
+                    weight[0] += held[3]
+                else:
+                    add(held[1][None], held[2][None], np.array([held[3]]))
+            add(counts[:-1], sums[:-1], weight[:-1])
+            held = batch.column(0)[batch.num_rows - 1].as_py(), counts[-1].copy(), sums[-1].copy(), weight[-1]
+        if total is not None:
+            add(held[1][None], held[2][None], np.array([held[3]]))
+            yield pa.RecordBatch.from_arrays([pa.array(range(size), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], ["i", "row"])
+
+    def added(batches):
+        sums: dict = {}
+        for batch in batches:
+            for i, row in zip(batch.column(0).to_pylist(), batch.column(1)):
+                value = np.asarray(row.values)
+                sums[i] = sums[i] + value if i in sums else value.copy()
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(list(sums.values()), pa.list_(pa.float64()))], ["i", "row"])
+
+    parts = rows.mapInArrow(equations, "i int, row array<double>").repartition("i").mapInArrow(added, "i int, row array<double>")
+    both = np.zeros((size, size + k))
+    for i, row in parts.collect():
+        both[i] = row
+    scale = 1 / np.sqrt(np.maximum(np.diag(both), 1e-12 * np.abs(both[:, :size]).max() if size else 0.0))
+    x = np.linalg.lstsq(both[:, :size] * scale[:, None] * scale, both[:, size:] * scale[:, None], rcond=1e-12)[0] * scale[:, None]
+    out, frame = {}, cells
+    for i, f in enumerate(rest):
+        solved = table(i, lambda at: (x[at].tolist(),), f"__a{i} array<double>")
+        out[f] = join_on(solved.withColumnRenamed(f"__a{i}", "__a"), cells.groupBy(f).agg(F.sum("__n").alias("__n")), [f]).select(f, "__n", "__a")
+        frame = join_on(frame, F.broadcast(solved), [f])
+    left = [F.sum(F.col("__s")[c] - F.col("__n") * sum(F.col(f"__a{i}")[c] for i in range(m))).alias(f"__x{c}") for c in range(k)]
+    got = frame.groupBy(most).agg(F.sum("__n").alias("__n"), *left)
+    out[most] = cut_lineage(got.select(most, "__n", F.array(*[F.col(f"__x{c}") / F.col("__n") for c in range(k)]).alias("__a")))
+    return out
 
 
 def _solve_directly(cells: DataFrame, fes: list[str], k: int) -> dict[str, DataFrame]:
@@ -273,7 +364,7 @@ def _solve_by_gradients(cells: DataFrame, fes: list[str], k: int, tol: float, ma
         raise RuntimeError(f"the fixed effects still move after {max_rounds} rounds")
     if seen is not None:
         seen["rounds"] = rounds
-    return _centred_in_sets(cells, fes, k, {f: cut_lineage(t.select(f, "__n", "__a")) for f, t in tables.items()})
+    return {f: cut_lineage(t.select(f, "__n", "__a")) for f, t in tables.items()}
 
 
 def _centred_in_sets(cells: DataFrame, fes: list[str], k: int, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
@@ -307,7 +398,7 @@ def demean(df: DataFrame, cols: list[str], fes: list[str], *, tol: float = 1e-10
         levels = {fes[0]: df.groupBy(*fes).agg(F.array(*[F.avg(c) for c in cols]).alias("__a"))}
     else:
         cells = cell_table(df, cols, fes).persist()
-        levels = solve_levels(cells, fes, len(cols), tol=tol, max_rounds=max_rounds, direct=direct)
+        levels = solve_levels(cells, fes, len(cols), tol=tol, max_rounds=max_rounds, direct=direct, centred=False)
         cells.unpersist()
     frame, add = df, [F.lit(0.0) for _ in cols]
     for j, f in enumerate(fes):
