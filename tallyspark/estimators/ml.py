@@ -48,12 +48,23 @@ def pca(df: DataFrame, vec_col: str, k: int, key: str | None = None, n_ratio: in
     return ev, scores
 
 
+#: Rows of a partition that make a level of a tree worth a task of its own.
+ROWS_A_TASK = 20_000
+
+
+def few_partitions(df: DataFrame) -> DataFrame:
+    """All rows in as many partitions as their number is worth: a fit of hundreds of trees runs thousands of jobs over the
+    same rows, so on small input the tasks' start would be most of its time."""
+    wanted = -(-df.count() // ROWS_A_TASK)
+    return df.coalesce(max(1, wanted)) if wanted < df.rdd.getNumPartitions() else df
+
+
 def boosted_trees(df: DataFrame, y: str, xs: list[str], *, n_trees: int = 500, depth: int = 6,
                   rate: float = 0.05, subsample: float = 0.8, colsample: float = 0.8, seed: int = 42):
     """ES17 (and ES18 baseline): in-sample RMSE and R² of boosted trees and of a linear model,
     and the trees' feature importances.  ``subsample`` rows a tree and ``colsample`` of the columns a split."""
     ensure_checkpoint_dir(df.sparkSession)  # hundreds of trees: the fit cuts its lineage there
-    d = VectorAssembler(inputCols=xs, outputCol="__f").transform(df.select(y, *xs).dropna()).cache()
+    d = few_partitions(VectorAssembler(inputCols=xs, outputCol="__f").transform(df.select(y, *xs).dropna())).cache()
     gbt = GBTRegressor(featuresCol="__f", labelCol=y, maxIter=n_trees, maxDepth=depth, stepSize=rate,
                        subsamplingRate=subsample,
                        featureSubsetStrategy=str(colsample) if colsample < 1 else "all", seed=seed).fit(d)
