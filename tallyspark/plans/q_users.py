@@ -93,7 +93,9 @@ FROM x WHERE userId NOT IN {STAFF} AND userId <> {CFG.anon_id} AND {own} AND COA
 
 
 def _adoption(spark, d, which):
-    out = forum.adoption_samples(_user_panel(spark, d), users(spark, d), RECV_DATE, SEND_DATE, ONLY_DATE, CFG)[which]
+    u = forum.adoption_weeks(users(spark, d))
+    p = _user_panel(spark, d, ["rolling_profit1", "rolling_posts", *[c for c in u.columns if c != "userId"]], u)
+    out = forum.adoption_samples(p, RECV_DATE, SEND_DATE, ONLY_DATE, CFG)[which]
     return out.select("userId", F.col("week").cast("timestamp").alias("week"), "can_attach_recv", "can_attach_send", "only_own_wallets",
                       "attached_recv_wallet", "attached_send_wallet", r6("log_rolling_profit1").alias("log_rolling_profit1"),
                       r6("log_rolling_posts").alias("log_rolling_posts"))
