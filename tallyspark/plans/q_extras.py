@@ -120,10 +120,11 @@ def es7_event_study(spark, d):
     """The four pre-trend models: 50 leads and lags of fee rises and falls on the quality and the quantity sample.  Terms
     that the others give have no estimate and are marked."""
     fo = Forum(spark, d)
+    posts = fo.posts()  # all columns: the panel takes its own from them
     pnl = fo.day_panel()
     changes = cut_lineage(forum.event_study_sample(pnl, "subName", "date", "posting_fee"))
     terms = linear.event_terms(12)
-    quality = forum.pretrend_quality(forum.post_quality_sample(fo.posts(), fo.transfers(), fo.weekly_prices(), CFG), changes)
+    quality = forum.pretrend_quality(forum.post_quality_sample(posts, fo.transfers(), fo.weekly_prices(), CFG), changes)
     quality = cut_lineage(quality.select("sats48", "weekId", "subId", "userId", *terms))
     quantity = cut_lineage(forum.pretrend_quantity(forum.post_quantity_sample(pnl, fo.weekly_prices()), changes)
                            .select("n_posts", "weekId", "subId", "L12_growth", *terms))
