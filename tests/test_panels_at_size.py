@@ -90,6 +90,18 @@ def test_user_week_panel_is_the_loop(tables, made, monkeypatch):
         assert (r.rolling_profit1, r.rolling_posts) == (w["roll1"], w["rollp"])
 
 
+def test_null_user_joins_user_zero(tables, spark):
+    """A NULL user's weeks are user 0's, beside the weeks of a user 0, whose columns they take."""
+    _, _, _, s = tables
+    i = spark.createDataFrame([(None, dt.datetime(2021, 11, 30)), (0, dt.datetime(2021, 12, 7)), (5, dt.datetime(2021, 12, 20))],
+                              "userId long, created_at timestamp")
+    u = spark.createDataFrame([(0, 7), (5, 8)], "userId long, x long")
+    rows = forum.user_week_panel(s.where("userId > 900"), i, CFG, users_df=u).orderBy("userId", "account_age").collect()
+    got = [(r.userId, r.week.day, r.account_age, r.weeks_since_last_activity, r.length_of_inactivity, r.x) for r in rows]
+    days = [28, 5, 5, 12, 12, 19, 19, 26, 26]
+    assert got == [(0, d, n + 1, n, 8, 7) for n, d in enumerate(days)] + [(5, 19, 1, 0, 1, 8), (5, 26, 2, 1, 1, 8)]
+
+
 def test_user_week_panel_shuffles_its_input_only(tables, spark):
     """No window, sort or exchange above the rows of the panel: these are hundreds a user."""
     _, _, i, s = tables
