@@ -24,7 +24,8 @@ nowhere else.  Two texts share at most min(s, s') shingles, so their plain Jacca
 (1 + t) / t.  The share of the counts outside the other text is a >= max(u, (n - s') / w), and a' likewise; the probability
 Jaccard is at most (1 - a) (1 - a') / (1 - a a'), as its terms are at most p q / (q + a' p), a concave function that adds up over the
 common shingles.  Both are tested against the extremes of the bucket, ``CLOSING`` times as texts that left no longer count, and then
-for each pair that is formed.  The pairs between
+for each pair.  For a pair, s is also bounded by the two texts themselves: shingles fall into ``BINS`` hash bins, and in each bin two texts
+share at most the lesser of their numbers of shingles there.  The pairs between
 different classes that pass and were not tested yet are verified too.  So a
 link can be skipped only where both ends are in one class already, or where it
 is proved not to exist.  Before texts are compared a pair passes a check of its whole signatures: the larger of the two agreements
@@ -56,6 +57,9 @@ BANDS, ROWS = 32, 5
 SLICE_BYTES = 1 << 20
 #: Times that texts without a possible partner are taken out of buckets before pairs are formed.
 CLOSING = 2
+#: Hash bins by which the shingles common to two texts are bounded before the pair is formed (a power of two), and the number of
+#: shingles up to which a bin counts them.
+BINS, PLANES = 512, 2
 
 
 def shingles(buf: np.ndarray, offs: np.ndarray, words: int = SHINGLE_WORDS):
@@ -184,8 +188,22 @@ def _texts(used: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text
     return rows.groupBy("node").agg(F.first("text").alias("text"))  # rows may repeat
 
 
+def bin_planes(row: np.ndarray, key: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row's distinct shingles by hash bin: bit planes (n_rows, PLANES * BINS / 64), where plane k marks the bins that hold
+    more than k of them, and how many are beyond the planes."""
+    planes, rest = np.zeros((n_rows, PLANES * BINS // 64), np.int64), np.zeros(n_rows, np.int64)
+    at = (key & U(BINS - 1)).astype(np.int64)
+    for i in range(0, n_rows, 2000):
+        j = min(i + 2000, n_rows)
+        a, b = np.searchsorted(row, (i, j))
+        count = np.bincount((row[a:b] - i) * BINS + at[a:b], minlength=(j - i) * BINS).reshape(-1, BINS)
+        planes[i:j] = np.concatenate([np.packbits(count > k, axis=1, bitorder="little") for k in range(PLANES)], axis=1).view(np.int64)
+        rest[i:j] = np.maximum(count - PLANES, 0).sum(axis=1)
+    return planes, rest
+
+
 def _grams(open_rows: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(node, key, w, n, w_all): the shingles of the open texts with their counts, and the texts' totals."""
+    """(node, keys, counts, n, w, bins, rest) of the open texts: the distinct shingles and their counts, totals, and ``bin_planes``."""
     texts = _texts(open_rows.select("node").distinct(), nodes, docs, id_col, text_col)
 
     def count(batches):
@@ -194,10 +212,14 @@ def _grams(open_rows: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str,
             for i, j in row_slices(offs, SLICE_BYTES):
                 row, key, weight = shingles(buf[offs[i]:offs[j]], offs[i:j + 1] - offs[i])
                 n, w = np.bincount(row, minlength=j - i), np.bincount(row, weight, j - i).astype(np.int64)
-                yield pa.record_batch([batch.column(0).slice(i, j - i).take(pa.array(row)), pa.array(key.view(np.int64)), pa.array(weight.astype(np.int64)),
-                                       pa.array(n[row].astype(np.int64)), pa.array(w[row])], names=["node", "key", "w", "n", "w_all"])
+                at = pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32))
+                planes, rest = bin_planes(row, key, j - i)
+                yield pa.record_batch([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(at, pa.array(key.view(np.int64))),
+                                       pa.ListArray.from_arrays(at, pa.array(weight.astype(np.int64))), pa.array(n.astype(np.int64)), pa.array(w),
+                                       pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * planes.shape[1]), pa.array(planes.ravel())),
+                                       pa.array(rest)], names=["node", "keys", "counts", "n", "w", "bins", "rest"])
 
-    return texts.mapInArrow(count, "node binary, key long, w long, n long, w_all long")
+    return texts.mapInArrow(count, "node binary, keys array<long>, counts array<long>, n long, w long, bins array<long>, rest long")
 
 
 #: What ``_may_meet`` needs of a text: shingles, those that others have, counts, share of the counts that stands alone, and
@@ -205,6 +227,12 @@ def _grams(open_rows: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str,
 _REACH = {"n": F.min, "s": F.max, "w": F.max, "u": F.min, "again": F.max}
 
 
+def _each(grams: DataFrame) -> DataFrame:
+    """(node, key, w, n, w_all): a row for each distinct shingle of a text."""
+    rows = grams.select("node", "n", F.col("w").alias("w_all"), F.explode(F.arrays_zip("keys", "counts")).alias("k"))
+    return rows.select("node", F.col("k.keys").alias("key"), F.col("k.counts").alias("w"), "n", "w_all")
+
+
 def _reach(grams: DataFrame) -> DataFrame:
     """(node, n, s, w, u, again) of the open texts."""
     alone = (grams.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node"), F.min("w").alias("w")).where("c = 1")
@@ -222,6 +250,18 @@ def _may_meet(x: dict, y: dict, threshold: float):
     return plain | ((x["again"] | y["again"]) & counts)
 
 
+def _share_enough(x: dict, y: dict, threshold: float, x_bins, y_bins):
+    """Whether the most shingles that two texts can share, by ``bin_planes``, leave the threshold in reach.
+
+    In each hash bin they share at most the lesser of their numbers there.  The plain Jaccard asks for (n + n') t / (1 + t) common
+    shingles; the probability Jaccard is at most the share of a text's counts on the common ones, of which the others take 1 each."""
+    planes = [F.bit_count(x_bins[i].bitwiseAND(y_bins[i])) for i in range(PLANES * BINS // 64)]
+    most = sum(planes, F.least(x["rest"], y["rest"]))
+    plain = (x["n"] + y["n"]) * F.lit(threshold / (1 + threshold))
+    counts = F.greatest(*[p["n"] - p["w"] * F.lit(1 - threshold) for p in (x, y)])
+    return most >= F.when(x["again"] | y["again"], F.least(plain, counts)).otherwise(plain) - F.lit(1e-6)
+
+
 def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
     """The pairs (a, b) of nodes whose texts reach the threshold."""
     m = BANDS * ROWS
@@ -312,16 +352,17 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     names = list(_REACH)
     for turn in range(CLOSING):
         left = grams if turn == 0 else grams.join(open_rows.select("node").distinct(), "node", "left_semi")
-        met = open_rows.select("bucket", "node", "score", "label").join(_reach(left), "node")
+        met = open_rows.select("bucket", "node", "score", "label").join(_reach(_each(left)), "node")
         ends = met.groupBy("bucket").agg(*[extreme(c).alias("b_" + c) for c, extreme in _REACH.items()])
         met = met.join(ends, "bucket").where(_may_meet({c: F.col(c) for c in names}, {c: F.col("b_" + c) for c in names}, threshold))
         open_rows = written(_several(met.select("bucket", "node", "score", "label", *names), names), "open")
     # A pair is formed in the least of the buckets that it still shares (a text has at most 2 BANDS).
     shared = open_rows.groupBy("node").agg(F.collect_set("bucket").alias("all"))
-    open_rows = open_rows.join(shared, "node")
-    x, y = (open_rows.select("bucket", F.col("node").alias(e), F.col("label").alias("l" + e), *[F.col(c).alias(e + "_" + c) for c in ("all", *names)]) for e in "xy")
-    pairs = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("lx") < F.col("ly"))
-                   & _may_meet({c: F.col("x_" + c) for c in names}, {c: F.col("y_" + c) for c in names}, threshold)
+    open_rows = open_rows.join(shared, "node").join(grams.select("node", "bins", "rest"), "node")
+    x, y = (open_rows.select("bucket", F.col("node").alias(e), F.col("label").alias("l" + e), *[F.col(c).alias(e + "_" + c) for c in ("all", "bins", "rest", *names)]) for e in "xy")
+    ends = [{c: F.col(f"{e}_{c}") for c in ("rest", *names)} for e in "xy"]
+    pairs = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("lx") < F.col("ly")) & _may_meet(*ends, threshold)
+                   & _share_enough(*ends, threshold, F.col("x_bins"), F.col("y_bins"))
                    & (F.array_min(F.array_intersect("x_all", "y_all")) == x["bucket"]))
     pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")

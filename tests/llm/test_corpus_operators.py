@@ -351,3 +351,24 @@ def test_texts_that_may_not_meet_are_below_the_threshold(spark):
             links += 1
             assert r["pair"] and r["bucket"]
     assert links > 20 and sum(not r["pair"] for r in got) > 500
+
+
+def test_pairs_are_formed_only_where_enough_shingles_can_be_shared(spark):
+    """The bound by hash bins never rejects a pair at the threshold, and rejects nearly all others of a group of near copies."""
+    rng = random.Random(43)
+    base, sets = [rng.getrandbits(64) for _ in range(50)], []
+    for i in range(50):
+        keys = [k for k in base if rng.random() > rng.choice([0.02, 0.1, 0.2])] + [rng.getrandbits(64) for _ in range(rng.choice([0, 1, 6]))]
+        sets.append({k: rng.choice([2, 5]) if i % 4 == 0 and rng.random() < 0.1 else 1 for k in keys})
+    row = np.repeat(np.arange(50), [len(t) for t in sets])
+    planes, rest = neardup.bin_planes(row, np.array([k for t in sets for k in t], np.uint64), 50)
+    side = [(p.tolist(), int(r), len(t), sum(t.values()), sum(t.values()) > len(t)) for p, r, t in zip(planes, rest, sets)]
+    names = ["bins", "rest", "n", "w", "again"]
+    schema = "i int, j int, " + ", ".join(f"{e}_bins array<long>, {e}_rest long, {e}_n long, {e}_w long, {e}_again boolean" for e in "xy")
+    df = spark.createDataFrame([(i, j, *side[i], *side[j]) for i in range(50) for j in range(i)], schema)
+    x, y = ({c: F.col(f"{e}_{c}") for c in names} for e in "xy")
+    got = df.select("i", "j", neardup._share_enough(x, y, 0.8, x["bins"], y["bins"]).alias("formed")).collect()
+    links = [max(brute.jaccards(Counter(sets[r["i"]]), Counter(sets[r["j"]]))) >= 0.8 for r in got]
+    assert all(r["formed"] for r, linked in zip(got, links) if linked)
+    plain = [r["formed"] for r, linked in zip(got, links) if not linked and r["i"] % 4 and r["j"] % 4]
+    assert sum(links) > 50 and len(plain) > 200 and sum(plain) < len(plain) / 4
