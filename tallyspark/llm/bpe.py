@@ -40,6 +40,8 @@ from pyspark.sql import DataFrame
 
 #: Words that a worker remembers; past it the memory is emptied, which only costs time.
 REMEMBERED_WORDS = 400_000
+#: Texts whose ids are held as Python numbers at a time.
+BATCH_ROWS = 500
 #: Characters of a text that are held at a time; cut at white space only.
 TEXT_STEP = 1 << 20
 #: Ids that are decoded at a time.
@@ -205,6 +207,11 @@ class WordBpe:
                 first = False
         yield machine.decode(b"", True)
 
+    def forget(self) -> None:
+        """Drops the words that came before: a worker outlives its task and goes on with other operators."""
+        self.known.clear()
+        self.known_chunks.clear()
+
 
 class _Remembered(dict):
     """Ids of words that came before, in this worker."""
@@ -252,7 +259,7 @@ def tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def run(batches):
         bpe = load(spec)
-        for batch in batches:
+        for batch in (b.slice(i, BATCH_ROWS) for b in batches for i in range(0, b.num_rows, BATCH_ROWS)):
             ids = [list(chain.from_iterable(bpe.encode(t or ""))) for t in batch.column(1).to_pylist()]
             digests = []
             for x in ids:
@@ -262,6 +269,7 @@ def tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 digests.append(h.hexdigest())
             yield pa.record_batch([batch.column(0), pa.array([len(x) for x in ids], pa.int32()), pa.array(ids, pa.list_(pa.int32())),
                                    pa.array(digests, pa.string())], names=["doc_id", "n_tokens", "ids", "decoded_sha256"])
+        bpe.forget()
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens int, ids array<int>, decoded_sha256 string")
 

@@ -55,6 +55,8 @@ from .textblocks import U, mix64, pair_hash, row_slices, span_hashes, text_buffe
 SHINGLE_WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 5
 SLICE_BYTES = 1 << 20
+#: Rows of an Arrow batch of texts or pairs.
+BATCH_ROWS = 1000
 #: Times that texts without a possible partner are taken out of buckets before pairs are formed.
 CLOSING = 2
 #: Hash bins by which the shingles common to two texts are bounded before the pair is formed (a power of two), and the number of
@@ -278,7 +280,7 @@ def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, tex
     near = (pairs.join(s.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a")
             .join(s.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b").select("a", "b", "sa", "sb")
             .mapInArrow(agree, "a binary, b binary"))
-    near = written(near, "near-pairs")
+    near = written(near, "near-pairs", BATCH_ROWS)
     texts = _texts(near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct(),
                    nodes, docs, id_col, text_col)
 
@@ -292,7 +294,7 @@ def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, tex
 
     both = (near.join(texts.withColumnsRenamed({"node": "a", "text": "ta"}), "a")
             .join(texts.withColumnsRenamed({"node": "b", "text": "tb"}), "b").select("a", "b", "ta", "tb"))
-    return written(both.mapInArrow(verify, "a binary, b binary").distinct(), "links")
+    return written(both.mapInArrow(verify, "a binary, b binary").distinct(), "links", BATCH_ROWS)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -334,7 +336,7 @@ def _several(labelled: DataFrame, more: list[str] = []) -> DataFrame:
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, class_id, class_size, node, is_first) per document; ``is_first`` holds for the rows of the smallest id."""
-    signed = written(_signed(docs, id_col, text_col), "signatures")
+    signed = written(_signed(docs, id_col, text_col), "signatures", BATCH_ROWS)
     nodes = written(signed.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n_docs"),
                                                F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes")
     rows = nodes.where("bands IS NOT NULL").select("node", F.explode("bands").alias("bucket"))
@@ -348,7 +350,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     tested = written(met.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct(), "pairs")
     label = components(_links(tested, nodes, docs, id_col, text_col, threshold))
     open_rows = written(_several(_labelled(rows, label)), "open")
-    grams = written(_grams(open_rows, nodes, docs, id_col, text_col), "open-grams")
+    grams = written(_grams(open_rows, nodes, docs, id_col, text_col), "open-grams", BATCH_ROWS)
     names = list(_REACH)
     for turn in range(CLOSING):
         left = grams if turn == 0 else grams.join(open_rows.select("node").distinct(), "node", "left_semi")

@@ -372,3 +372,25 @@ def test_pairs_are_formed_only_where_enough_shingles_can_be_shared(spark):
     assert all(r["formed"] for r, linked in zip(got, links) if linked)
     plain = [r["formed"] for r, linked in zip(got, links) if not linked and r["i"] % 4 and r["j"] % 4]
     assert sum(links) > 50 and len(plain) > 200 and sum(plain) < len(plain) / 4
+
+
+def test_written_jobs_hold_small_arrow_batches(spark):
+    """A task of a written job gets its rows in batches of the size asked for, and the session's own setting stays."""
+    from tallyspark.llm.shared import written
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    sizes = spark.range(5000, numPartitions=1).mapInArrow(lambda batches: (pa.record_batch([pa.array([b.num_rows])], ["n"]) for b in batches), "n long")
+    assert written(sizes, "sizes", 1000).agg(F.max("n"), F.sum("n")).first() == (1000, 5000)
+    assert spark.conf.get(name) == before
+
+
+def test_a_worker_forgets_words_when_its_tokens_are_made():
+    import public_tokenizers
+    from tallyspark.llm import bpe
+    spec = bpe.read_spec(public_tokenizers.path("word_bpe_49k.json"))
+    made = bpe.load(spec)
+    ids = [list(x) for x in made.encode("some words and some words")]
+    assert made.known_chunks and ids
+    made.forget()
+    assert not made.known and not made.known_chunks
+    assert [list(x) for x in made.encode("some words and some words")] == ids
