@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tallyspark.operators import scan
 from tallyspark.operators import sequences as sq
 from tallyspark.plans import forum, q_derived, views
 from tallyspark.sources.tables import Tables
@@ -78,6 +79,23 @@ def test_root_items_are_those_of_all_items(spark, tmp_path):
     assert got == want and len(got) == 6
 
 
+def test_posts_of_a_spell_are_counted_by_day(spark, monkeypatch):
+    """A third of the posts on one day: what is looked up in the spells is a row a day, not a row a post."""
+    day = dt.datetime(2024, 1, 5)
+    fees = spark.createDataFrame([("a", day.date(), 1.0), ("a", dt.date(2024, 1, 8), 2.0), ("b", day.date(), 1.0)], "subName string, date date, posting_fee double")
+    posts = [("a", day + dt.timedelta(hours=i % 100, seconds=i), i) for i in range(300)] + [("a", day - dt.timedelta(microseconds=1), 900),
+             ("a", dt.datetime(2024, 1, 10), 901), ("a", dt.datetime(2024, 1, 9, 23, 59, 59, 999999), 902), ("a", None, 903), (None, day, 904)]
+    p = spark.createDataFrame(posts, "subName string, created_at timestamp, itemId long")
+    looked, plain = [], scan.asof_join
+    monkeypatch.setattr(scan, "asof_join", lambda left, *a, **k: looked.append(left) or plain(left, *a, **k))
+    out = forum.fee_spells(fees, p, F.lit("2024-01-10 05:00:00").cast("timestamp")).collect()
+    inside = lambda s, e: sum(1 for sub, t, _ in posts if sub == "a" and t is not None and s <= t < e)
+    got = {(r.subName, r.spell_start): (r.n_posts, r.days) for r in out}
+    mid, end = dt.datetime(2024, 1, 8), dt.datetime(2024, 1, 10)
+    assert got == {("a", day): (inside(day, mid), 3.0), ("a", mid): (inside(mid, end), 2.0), ("b", day): (0, 5.0)}
+    assert looked[0].count() < 12
+
+
 def test_a_territory_joins_customers_not_orders(spark):
     """The territories' first post is taken from one row a customer."""
     sub = views.forum_sub(Tables(spark, "/root/testdata/sf0.001"))
