@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..estimators import linear
+from ..session import stored
 from ..sources.tables import Tables
 from . import forum
 from .q_derived import CFG, PANEL_BASE_SQL, STAFF, W_SQL, Forum, _dt15_sql, _user_panel
@@ -124,7 +125,10 @@ SELECT ROUND(AVG(cost), 6) AS cost_mean, ROUND(STDDEV_SAMP(cost), 4) AS cost_sd,
 def ag21_mean_std(spark, d):
     """Mean and standard deviation of cost, sats48 and comments48 over the post-quality sample."""
     fo = Forum(spark, d)
-    q = forum.post_quality_sample(fo.posts(), fo.transfers(), fo.weekly_prices(), CFG)
+    roots = stored(fo.root_items().select("itemId", "userId", "subName", "created_at", "cost", "invoiceActionState", "bio", "freebie", "saloon",
+                                          "n_roots"), "root_items")
+    p = fo.measured(forum.quality_posts(roots, CFG), roots)
+    q = forum.post_quality_sample(p, fo.transfers(), fo.weekly_prices(), CFG, columns=["sats48", "comments48"])
     return q.agg(*[x for c in ("cost", "sats48", "comments48") for x in (r6(F.avg(c)).alias(f"{c}_mean"), F.round(F.stddev_samp(c), 4).alias(f"{c}_sd"))],
                  F.count(F.lit(1)).alias("n"))
 
