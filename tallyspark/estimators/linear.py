@@ -17,10 +17,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.graph import connected_components
 from ..operators.scan import changes, join_on, slices
-from ..session import cut_lineage
+from ..session import cut_lineage, stored
 
 COEF_SCHEMA = "regression_name string, coef_name string, estimate double, serr double"
 
@@ -173,34 +174,41 @@ def solve_levels(cells: DataFrame, fes: list[str], k: int, *, tol: float = 1e-10
     ``seen`` takes the number of rounds.  Without ``centred`` any solution may be given outside the driver's way: sums of
     a row's levels are the same, and the connected sets need not be found.
     """
-    if direct is None:
-        sizes = cells.agg(F.count(F.lit(1)).alias("c"), *[(F.countDistinct(f) + F.count_if(F.col(f).isNull())).alias(f"l{i}") for i, f in enumerate(fes)]).first()
-        levels = [sizes[f"l{i}"] for i in range(len(fes))]
-        direct = sizes["c"] <= DIRECT_CELLS and sum(levels) <= DIRECT_LEVELS
-        if not direct and len(fes) > 1 and sum(levels) - max(levels) <= REST_LEVELS:
-            tables = _solve_by_elimination(cells, fes, k, fes[levels.index(max(levels))])
-            return _centred_in_sets(cells, fes, k, tables) if centred else tables
+    direct, most = _way(cells, fes, direct)
     if direct:
         return _solve_directly(cells, fes, k)
-    tables = _solve_by_gradients(cells, fes, k, tol, max_rounds, seen)
+    if most is not None:
+        tables = _solve_by_elimination(cells, fes, k, most)
+    else:
+        tables = _solve_by_gradients(cells, fes, k, tol, max_rounds, seen)
     return _centred_in_sets(cells, fes, k, tables) if centred else tables
 
 
-def _solve_by_elimination(cells: DataFrame, fes: list[str], k: int, most: str) -> dict[str, DataFrame]:
-    """The levels with the effect ``most`` taken out of the normal equations: its own block is diagonal, so each of its levels
-    adds one outer product to the equations of the others (Schur complement), which tasks sum up and the driver solves."""
-    spark, rest = cells.sparkSession, [f for f in fes if f != most]
+def _way(cells: DataFrame, fes: list[str], direct: bool | None) -> tuple[bool, str | None]:
+    """Whether the driver solves the levels, and else the effect that the tasks take out, if the others have few levels."""
+    if direct is not None:
+        return direct, None
+    sizes = cells.agg(F.count(F.lit(1)).alias("c"), *[(F.countDistinct(f) + F.count_if(F.col(f).isNull())).alias(f"l{i}") for i, f in enumerate(fes)]).first()
+    levels = [sizes[f"l{i}"] for i in range(len(fes))]
+    if sizes["c"] <= DIRECT_CELLS and sum(levels) <= DIRECT_LEVELS:
+        return True, None
+    return False, fes[levels.index(max(levels))] if len(fes) > 1 and sum(levels) - max(levels) <= REST_LEVELS else None
+
+
+def _level_table(like: DataFrame, f: str, rows: list[tuple], ddl: str) -> DataFrame:
+    return like.sparkSession.createDataFrame(rows, f"`{f}` {like.schema[f].dataType.simpleString()}, {ddl}")
+
+
+def _rest_levels(cells: DataFrame, fes: list[str], k: int, most: str) -> tuple[list[list], np.ndarray]:
+    """The levels of the effects other than ``most``: their names, effect by effect, and their values, a row each.  ``most`` is
+    taken out of the normal equations: its own block is diagonal, so each of its levels adds one outer product to the equations
+    of the others (Schur complement), which tasks sum up and the driver solves."""
+    rest = [f for f in fes if f != most]
     names = [[r[0] for r in cells.select(f).distinct().collect()] for f in rest]
     first = np.cumsum([0] + [len(m) for m in names])
     size, m = int(first[-1]), len(rest)
 
-    def table(i, columns, ddl):
-        kind = cells.schema[rest[i]].dataType.simpleString()
-        return spark.createDataFrame([(level, *columns(first[i] + j)) for j, level in enumerate(names[i])], f"`{rest[i]}` {kind}, {ddl}")
-
-    frame = cells
-    for i, f in enumerate(rest):
-        frame = join_on(frame, F.broadcast(table(i, lambda at: (int(at),), f"__i{i} int")), [f])  # at most REST_LEVELS rows
+    frame = _numbered(cells, rest, names)  # at most REST_LEVELS rows
     frame = frame.select(F.col(most).alias("__u"), F.array(*[F.col(f"__i{i}") for i in range(m)]).alias("__at"), "__n", "__s")
     rows = frame.repartition("__u").sortWithinPartitions("__u")
 
@@ -254,10 +262,30 @@ def _solve_by_elimination(cells: DataFrame, fes: list[str], k: int, most: str) -
     for i, row in parts.collect():
         both[i] = row
     scale = 1 / np.sqrt(np.maximum(np.diag(both), 1e-12 * np.abs(both[:, :size]).max() if size else 0.0))
-    x = np.linalg.lstsq(both[:, :size] * scale[:, None] * scale, both[:, size:] * scale[:, None], rcond=1e-12)[0] * scale[:, None]
-    out, frame = {}, cells
+    return names, np.linalg.lstsq(both[:, :size] * scale[:, None] * scale, both[:, size:] * scale[:, None], rcond=1e-12)[0] * scale[:, None]
+
+
+def _numbered(df: DataFrame, fes: list[str], names: list[list]) -> DataFrame:
+    """Rows with the numbers ``__i0``, ``__i1``, ... of their levels among those of all ``fes`` (broadcast: a row a level)."""
+    first = np.cumsum([0] + [len(m) for m in names])
+    for i, f in enumerate(fes):
+        df = join_on(df, F.broadcast(_level_table(df, f, [(level, int(first[i] + j)) for j, level in enumerate(names[i])], f"__i{i} int")), [f])
+    return df
+
+
+def _solve_by_elimination(cells: DataFrame, fes: list[str], k: int, most: str) -> dict[str, DataFrame]:
+    """All levels, those of ``most`` as the means of what the others (:func:`_rest_levels`) leave."""
+    rest = [f for f in fes if f != most]
+    names, x = _rest_levels(cells, fes, k, most)
+    return _largest_levels(cells, fes, k, most, names, x)
+
+
+def _largest_levels(cells: DataFrame, fes: list[str], k: int, most: str, names: list[list], x: np.ndarray) -> dict[str, DataFrame]:
+    rest, out, frame, at = [f for f in fes if f != most], {}, cells, 0
+    m = len(rest)
     for i, f in enumerate(rest):
-        solved = table(i, lambda at: (x[at].tolist(),), f"__a{i} array<double>")
+        solved = _level_table(cells, f, [(level, x[at + j].tolist()) for j, level in enumerate(names[i])], f"__a{i} array<double>")
+        at += len(names[i])
         out[f] = join_on(solved.withColumnRenamed(f"__a{i}", "__a"), cells.groupBy(f).agg(F.sum("__n").alias("__n")), [f]).select(f, "__n", "__a")
         frame = join_on(frame, F.broadcast(solved), [f])
     left = [F.sum(F.col("__s")[c] - F.col("__n") * sum(F.col(f"__a{i}")[c] for i in range(m))).alias(f"__x{c}") for c in range(k)]
@@ -397,14 +425,81 @@ def demean(df: DataFrame, cols: list[str], fes: list[str], *, tol: float = 1e-10
     if len(fes) == 1:
         levels = {fes[0]: df.groupBy(*fes).agg(F.array(*[F.avg(c) for c in cols]).alias("__a"))}
     else:
-        cells = cell_table(df, cols, fes).persist()
-        levels = solve_levels(cells, fes, len(cols), tol=tol, max_rounds=max_rounds, direct=direct, centred=False)
-        cells.unpersist()
+        cells = stored(cell_table(df, cols, fes), "cells")
+        direct, most = _way(cells, fes, direct)
+        if direct:
+            found = [t.select(f, "__a").collect() for f, t in _solve_directly(cells, fes, len(cols)).items()]  # made on the driver
+            return _taken_off(df, cols, fes, [[r[0] for r in rows] for rows in found], np.array([r[1] for rows in found for r in rows]))
+        if most is not None:
+            return _without_largest(df, cells, cols, fes, most)
+        levels = solve_levels(cells, fes, len(cols), tol=tol, max_rounds=max_rounds, direct=False, centred=False)
     frame, add = df, [F.lit(0.0) for _ in cols]
     for j, f in enumerate(fes):
         frame = join_on(frame, levels[f].select(f, F.col("__a").alias(f"__a{j}")), [f], "left")
         add = [x + F.col(f"__a{j}")[i] for i, x in enumerate(add)]
-    return frame.select(*[x for x in df.columns if x not in cols], *[(F.col(c) - add[i]).alias(c) for i, c in enumerate(cols)])
+    # stored, as the plan of many differences is slow to optimise
+    return stored(frame.select(*[x for x in df.columns if x not in cols], *[(F.col(c) - add[i]).alias(c) for i, c in enumerate(cols)]), "demeaned")
+
+
+def _taken_off(df: DataFrame, cols: list[str], fes: list[str], names: list[list], x: np.ndarray, *, by: str | None = None, also: str | None = None) -> DataFrame:
+    """``cols`` less the levels ``x`` of the effects ``fes``, in the tasks; then less the column ``also`` (an array), or less the
+    means over the rows of each ``by``, which lie together (a task holds one at a time)."""
+    others, m = [c for c in df.columns if c not in cols and c != also], len(fes)
+    rows = _numbered(df, fes, names)
+    if by is not None:
+        rows = rows.repartition(by).sortWithinPartitions(by)
+    schema = T.StructType([*[df.schema[c] for c in others], *[T.StructField(c, T.DoubleType()) for c in cols]])
+
+    def column(batch, c):
+        return batch.column(batch.schema.get_field_index(c))
+
+    def less(batch):
+        given = [column(batch, c).cast(pa.float64()) for c in cols]
+        v = np.column_stack([np.asarray(g.fill_null(0.0)) for g in given])
+        for i in range(m):
+            v -= x[np.asarray(column(batch, f"__i{i}"))]
+        if also is not None:
+            v -= np.asarray(column(batch, also).flatten()).reshape(len(v), -1)
+        if by is not None:
+            starts = np.flatnonzero(changes(batch, [by]))
+            size = np.diff(np.append(starts, len(v)))
+            v -= np.repeat(np.add.reduceat(v, starts, axis=0) / size[:, None], size, axis=0)
+        empty = [np.asarray(g.is_null()) for g in given]
+        return pa.RecordBatch.from_arrays([*[column(batch, c) for c in others], *[pa.array(np.ascontiguousarray(v[:, i]), mask=empty[i]) for i in range(len(cols))]],
+                                          names=[f.name for f in schema])
+
+    def run(batches):
+        held = None
+        for batch in slices(batches):
+            if by is not None:
+                if held is not None:
+                    batch = pa.concat_batches([held, batch])
+                whole = int(np.flatnonzero(changes(batch, [by]))[-1])  # the last one may go on
+                held, batch = batch.slice(whole), batch.slice(0, whole)
+            if batch.num_rows:
+                yield less(batch)
+        if held is not None:
+            yield less(held)
+
+    return rows.mapInArrow(run, schema)
+
+
+#: Rows of a level beyond which they are not dealt by the level: there are at most (rows / HOT_ROWS) such levels.
+HOT_ROWS = 1 << 16
+
+
+def _without_largest(df: DataFrame, cells: DataFrame, cols: list[str], fes: list[str], most: str) -> DataFrame:
+    """``cols`` less all levels, where those of the effect ``most`` are many: they are never a table, as their rows are
+    dealt by them with the columns as they came, and means are taken off in the tasks.  Levels with more than ``HOT_ROWS``
+    rows would be one task: theirs are broadcast and their rows stay where they are."""
+    rest, k = [f for f in fes if f != most], len(cols)
+    names, x = _rest_levels(cells, fes, k, most)
+    hot = cells.groupBy(most).agg(F.sum("__n").alias("__c")).where(F.col("__c") > HOT_ROWS).select(most)
+    hot_cells = join_on(cells, F.broadcast(hot), [most])
+    levels = F.broadcast(_largest_levels(hot_cells, fes, k, most, names, x)[most].select(most, F.col("__a").alias("__hot")))
+    both = join_on(df, levels, [most], "left")
+    cold = _taken_off(both.where(F.col("__hot").isNull()).drop("__hot"), cols, rest, names, x, by=most)
+    return cold.unionByName(_taken_off(both.where(F.col("__hot").isNotNull()), cols, rest, names, x, also="__hot"))
 
 
 def feols(df: DataFrame, y: str, xs: list[str], fes: list[str], *, name: str = "feols",
@@ -412,15 +507,15 @@ def feols(df: DataFrame, y: str, xs: list[str], fes: list[str], *, name: str = "
     """ES2-ES5: OLS absorbing fixed effects, optional clustered errors; R² is the full-model R².  Regressors that the effects
     or the regressors before them give are left out and named."""
     keep = [y, *xs, *fes] + ([cluster] if cluster and cluster not in fes else [])
-    # start the iterative part from a checkpoint of the narrow model frame
-    d = cut_lineage(df.select(*keep).dropna())
+    # start from the narrow model frame, which is read several times
+    d = stored(df.select(*keep).dropna(), "model")
     if singletons:
         d = drop_singletons(d, fes)
     raw = d.agg((F.sum(F.col(y) * F.col(y)) - F.sum(y) ** 2 / F.count(F.lit(1))).alias("t"),
                 *[F.sum(F.col(x).cast("double") * F.col(x)).alias(f"x{i}") for i, x in enumerate(xs)]).first()
     tss, scale = raw["t"], {x: raw[f"x{i}"] or 0.0 for i, x in enumerate(xs)}
-    # read several times from here on; the plan of many differences would also be slow to optimise
-    dm = cut_lineage(demean(d, [y, *xs], fes))
+    # read twice; where the tasks make it, its columns of doubles are far larger than the rows they are made of and are made again
+    dm = demean(d, [y, *xs], fes)
     n_levels = d.agg(*[F.countDistinct(f).alias(f) for f in fes]).first().asDict()
     levels = sum(n_levels.values()) - (len(fes) - 1)
     nested = 0
@@ -449,9 +544,8 @@ def fixed_effects(df: DataFrame, fit: Fit, y: str, fes: list[str], *, tol: float
     the fit leaves, balanced panel or not.  In each connected set of levels (``set_id``) the first effect carries the level
     and the others have mean zero (:func:`solve_levels`)."""
     left = F.col(y) - sum((F.lit(float(b)) * F.col(n) for n, b in zip(fit.names, fit.beta)), F.lit(0.0))
-    cells = cell_table(df.select(*fes, left.alias("__r")), ["__r"], fes).persist()
+    cells = stored(cell_table(df.select(*fes, left.alias("__r")), ["__r"], fes), "cells")
     levels = solve_levels(cells, fes, 1, tol=tol, max_rounds=max_rounds, direct=direct, seen=seen)
-    cells.unpersist()
     return {f: t.select(f, F.col("__a")[0].alias("effect"), F.col("__n").alias("n_obs"), F.col("__set").alias("set_id")) for f, t in levels.items()}
 
 

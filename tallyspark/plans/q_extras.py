@@ -11,7 +11,7 @@ from ..functions import textfn as tx
 from ..functions import timefn as tf
 from ..operators import scan
 from ..operators import sequences as sq
-from ..session import cut_lineage
+from ..session import cut_lineage, stored
 from ..sources import io
 from ..sources.tables import Tables
 from . import forum
@@ -120,12 +120,12 @@ def es7_event_study(spark, d):
     """The four pre-trend models: 50 leads and lags of fee rises and falls on the quality and the quantity sample.  Terms
     that the others give have no estimate and are marked."""
     fo = Forum(spark, d)
-    posts = fo.posts()  # all columns: the panel takes its own from them
     pnl = fo.day_panel()
     changes = cut_lineage(forum.event_study_sample(pnl, "subName", "date", "posting_fee"))
     terms = linear.event_terms(12)
-    quality = forum.pretrend_quality(forum.post_quality_sample(posts, fo.transfers(), fo.weekly_prices(), CFG), changes)
-    quality = cut_lineage(quality.select("sats48", "weekId", "subId", "userId", *terms))
+    sample = forum.post_quality_sample(fo.fee_posts_with_sats(), fo.transfers(), fo.weekly_prices(), CFG, columns=["sats48"])
+    quality = forum.pretrend_quality(sample, changes)
+    quality = stored(quality.select("sats48", "weekId", "subId", "userId", *terms), "quality")  # mostly zeros: small by column
     quantity = cut_lineage(forum.pretrend_quantity(forum.post_quantity_sample(pnl, fo.weekly_prices()), changes)
                            .select("n_posts", "weekId", "subId", "L12_growth", *terms))
     out = None
